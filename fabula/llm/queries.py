@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from fabula.llm import linededup, mixing
+from fabula.llm import langid, linededup, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op4_line_dedup": linededup.op4_line_dedup,
         "op9_mix": mixing.op9_mix,
+        "op10_language": langid.op10_language,
     }
 
 
