@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from fabula.llm import langid, linededup, mixing, quality
+from fabula.llm import langid, linededup, media, mixing, quality, tokens
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op3_tokens": tokens.op3_tokens,
         "op4_line_dedup": linededup.op4_line_dedup,
+        "op8_media": media.op8_media,
         "op9_mix": mixing.op9_mix,
         "op10_language": langid.op10_language,
     }
