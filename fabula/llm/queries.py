@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fabula.llm import langid, linededup, media, mixing, quality, tokens
+from fabula.llm import langid, linededup, media, mixing, quality, tokens, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality": quality.op1_quality,
         "op3_tokens": tokens.op3_tokens,
         "op4_line_dedup": linededup.op4_line_dedup,
+        "op7_warc": warc.op7_warc,
         "op8_media": media.op8_media,
         "op9_mix": mixing.op9_mix,
         "op10_language": langid.op10_language,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.OP4_SQL}
+    return {"op4_line_dedup": linededup.OP4_SQL, "op7_warc": warc.OP7_SQL}
