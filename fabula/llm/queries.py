@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fabula.llm import decontam, langid, linededup, media, mixing, quality, tokens, warc
+from fabula.llm import decontam, jaccard, langid, linededup, media, mixing, quality, tokens, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality": quality.op1_quality,
         "op3_tokens": tokens.op3_tokens,
         "op4_line_dedup": linededup.op4_line_dedup,
+        "op5_jaccard": jaccard.op5_jaccard,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op7_warc": warc.op7_warc,
         "op8_media": media.op8_media,
