@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.session import fresh_path, materialize, shared_dir, shuffle_partitions, table  # noqa: F401
+from fabula.session import fresh_path, materialize, release, shared_dir, shuffle_partitions, table  # noqa: F401
 
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fabula.llm import decontam, jaccard, langid, linededup, media, mixing, quality, tokens, warc
+from fabula.llm import decontam, jaccard, langid, linededup, media, mixing, quality, suffixes, tokens, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_suffixes": suffixes.op2_suffixes,
         "op3_tokens": tokens.op3_tokens,
         "op4_line_dedup": linededup.op4_line_dedup,
         "op5_jaccard": jaccard.op5_jaccard,
