@@ -65,11 +65,11 @@ def hamming_blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """Pairs (doc_id, item_id) with their best window: window_start (in shingles), hamming, similarity."""
+    """Pairs (doc_id, item_id) with their best window: window_start (in shingles), hamming, similarity, text_hash."""
     items = materialize(item_shingles(benchmark), "benchmark-shingles")
     kinds = {r.k: r.n for r in items.groupBy("k").agg(F.count("*").alias("n")).collect()}  # five rows at most
     if not kinds:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, window_start int, hamming int, similarity double")
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, window_start int, hamming int, similarity double, text_hash long")
     small = sum(kinds.values()) <= BROADCAST_ROWS
     docs = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     hits = []
@@ -102,9 +102,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     known = items.groupBy("item_id", "h").agg(F.count("*").alias("in_item"))
     shared = counted.join(known, ["item_id", "h"]).groupBy(*keys).agg(F.sum(F.least("in_window", "in_item")).alias("shared"))
     exact = near.join(shared, keys).withColumn("similarity", F.col("shared") / (F.col("n") + F.col("item_size") - F.col("shared")))
-    best = exact.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("window_start"), "hamming")).alias("best"))
-    return best.select("doc_id", "item_id", (-F.col("best.col2")).alias("window_start"), F.col("best.hamming").alias("hamming"), F.col("best.similarity").alias("similarity"))
+    best = exact.where(F.col("similarity") >= similarity).groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", -F.col("window_start"), "hamming")).alias("best"))
+    return best.select("doc_id", "item_id", (-F.col("best.col2")).alias("window_start"), F.col("best.hamming").alias("hamming"), F.col("best.similarity").alias("similarity"), "text_hash")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents whose text holds no benchmark item."""
+    found = contaminated(docs, benchmark).select("doc_id", "text_hash").distinct()
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    return keyed.join(found, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("text_hash")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fabula.llm.common import documents, materialize, mix64, pieces, utf8, words_of
+from fabula.llm.common import documents, materialize, mix64, pieces, release, utf8, words_of
 from fabula.llm.components import components
 
 WORDS = 5
@@ -68,6 +68,9 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
     return int(mix64(s).sum(dtype=np.uint64).view(np.int64)), int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
 
 
+_FACTS = ["is_doc", "doc_id", "n", "node", "check", "text_key"]
+
+
 def _describe(batches):
     """Rows of two kinds: a document's size and class; a shingle's count in the batch, if it is frequent there."""
     with np.errstate(over="ignore"):
@@ -75,7 +78,7 @@ def _describe(batches):
             sets = list(_sets(batch))
             keys = [class_key(s) for s in sets]
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([True] * n, pa.bool_()), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["is_doc", "doc_id", "n", "node", "check"])
+            yield pa.RecordBatch.from_arrays([pa.array([True] * n, pa.bool_()), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), batch.column("text_key")], _FACTS)
             all_ = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
             del sets
             if len(all_):
@@ -83,7 +86,7 @@ def _describe(batches):
                 count = np.diff(np.concatenate((first, [len(all_)])))
                 often = count >= max(LOCAL_FLOOR, n // 2000)
                 m = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([False] * m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array(count[often], pa.int64()), pa.array(all_[first[often]].view(np.int64)), pa.nulls(m, pa.int64())], ["is_doc", "doc_id", "n", "node", "check"])
+                yield pa.RecordBatch.from_arrays([pa.array([False] * m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array(count[often], pa.int64()), pa.array(all_[first[often]].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], _FACTS)
 
 
 def prefix_length(n):
@@ -182,8 +185,8 @@ class JaccardJoin:
         self.context = self.spark.sparkContext
 
     def classes(self) -> None:
-        told = materialize(self.docs.mapInArrow(_describe, "is_doc boolean, doc_id long, n long, node long, check long"), "shingle-facts")
-        self.members = told.where("is_doc").select("doc_id", "n", "node", "check")
+        told = materialize(self.docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe, "is_doc boolean, doc_id long, n long, node long, check long, text_key long"), "shingle-facts")
+        self.members = told.where("is_doc").select("doc_id", "n", "node", "check", "text_key")
         total, docs = self.members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         floor = max(2 * LOCAL_FLOOR, total // HEAVY_KEPT + 1, docs // 20_000)  # at most HEAVY_KEPT shingles are in so many documents
         frequent = told.where(~F.col("is_doc")).groupBy("node").agg(F.sum("n").alias("uses")).where(F.col("uses") >= floor).toPandas()
@@ -198,7 +201,10 @@ class JaccardJoin:
         tokens = distinct.select(F.explode("prefix").alias("token"), "node")
         sorted_ = tokens.repartition("token").sortWithinPartitions("token", "node")
         made = sorted_.mapInArrow(_runs, "run long, node long, weight long")
-        return materialize(made.groupBy("run", "node").agg(F.sum("weight").alias("weight")), "runs")
+        runs = materialize(made.groupBy("run", "node").agg(F.sum("weight").alias("weight")), "runs")
+        del emitted, distinct, tokens, sorted_, made
+        release(self.spark)
+        return runs
 
     def _sets_of(self, nodes: DataFrame) -> DataFrame:
         """(node, shingles) of the wanted classes."""
@@ -232,7 +238,10 @@ class JaccardJoin:
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
         joined = pairs.select("a", "b").join(left, "a").join(right, "b")
         same = F.size(F.array_intersect("of_a", "of_b"))
-        return materialize(joined.where(same * 9 >= (F.size("of_a") + F.size("of_b")) * 4).select("a", "b"), "links")
+        found = materialize(joined.where(same * 9 >= (F.size("of_a") + F.size("of_b")) * 4).select("a", "b"), "links")
+        del sets, left, right, joined
+        release(self.spark)
+        return found
 
     def _sized(self, pairs: DataFrame, full: bool) -> DataFrame:
         """Sums the partial overlaps per pair and drops pairs that cannot reach the similarity.
@@ -282,14 +291,26 @@ class JaccardJoin:
         return materialize(labelled.join(mixed, "run", "left_semi"), "runs-apart")
 
     def result(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
+        """(doc_id, n_shingles, component_id, text_key): the smallest doc_id that links reach."""
         roots = components(self.links())
         named = self.members.where("n > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        linked = named.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        alone = self.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        linked = named.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key")
+        alone = self.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key")
         return linked.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without near copies: of each component the row of the smallest doc_id stays, and of equal rows one."""
+    result = JaccardJoin(docs).result()
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    gone = result.where(F.col("component_id") != F.col("doc_id")).select("doc_id", "text_key").distinct()
+    kept = keyed.join(gone, ["doc_id", "text_key"], "left_anti")
+    repeated = result.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "text_key").count().where("count > 1")
+    if repeated.limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text_key"])
+    return kept.select(*docs.columns)
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return JaccardJoin(documents(spark, sf_dir)).result()
+    return JaccardJoin(documents(spark, sf_dir)).result().select("doc_id", "n_shingles", "component_id")

@@ -199,6 +199,19 @@ def score(stats: DataFrame, model: QualityModel) -> DataFrame:
     return stats.mapInArrow(scored, "doc_id long, score double")
 
 
+def good_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
+    """The documents that score at least ``threshold``; rows stay where they are, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches):
+        for batch in batches:
+            raw, at = utf8(batch.column("text"))
+            good = [shared.value.score(statistics(raw[at[a] : at[b]], at[a : b + 1] - at[a])) >= threshold for a, b in pieces(at, PIECE)]
+            yield batch.filter(pa.array(np.concatenate(good))) if good else batch
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def learning_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
     return labels.where(~F.coalesce(id_fold("doc_id", 3) == 1, F.lit(False)))
