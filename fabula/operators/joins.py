@@ -124,7 +124,7 @@ def reassign(rows: DataFrame, dropped: DataFrame, fallback: DataFrame, key: str,
 
 def apply_gain(rows: DataFrame, gains: DataFrame, key: str, value: str, gain="gain_db") -> DataFrame:
     """JN-18."""
-    return rows.join(gains.select(key, gain), key, "left").withColumn(value, F.col(value) * F.pow(F.lit(10.0), F.coalesce(gain, F.lit(0.0)) / 20))
+    return rows.join(gains.select(key, gain), key, "left").withColumn(value, F.col(value) * F.pow(F.lit(10.0), F.coalesce(gain, F.lit(0.0)) / 20)).drop(gain)
 
 
 def cosine(a: Column, b: Column) -> Column:

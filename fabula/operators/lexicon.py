@@ -12,16 +12,14 @@ LAYERS = ("correction", "exception", "grammar", "bulk")
 
 
 def tokens(df: DataFrame, keys: list[str], text: str, pattern: str = r"[\p{L}́]+") -> DataFrame:
-    """STR-23: (keys, idx, start, token). A token's place follows from the lengths of the parts before it."""
+    """STR-23: (keys, idx, start, token). A token's place is the running length of the parts before it; keys name a row."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.split(text, pattern)
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(found, i))).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(F.get(gaps, i))).alias("out")
-    )
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    places = F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begin, step, lambda a: a["out"])).otherwise(F.array().cast("array<int>"))
-    zipped = F.arrays_zip(places.alias("start"), found.alias("token"))
-    return df.select(*keys, F.posexplode(zipped).alias("idx", "t")).select(*keys, "idx", F.col("t.start").alias("start"), F.col("t.token").alias("token"))
+    each = df.select(*keys, F.posexplode(F.arrays_zip(gaps.alias("gap"), found.alias("token"))).alias("idx", "t"))
+    before = W.partitionBy(*keys).orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    passed = F.coalesce(F.sum(F.length("t.gap") + F.coalesce(F.length("t.token"), F.lit(0))).over(before), F.lit(0))
+    placed = each.withColumn("start", (passed + F.length("t.gap")).cast("int"))
+    return placed.where(F.col("t.token").isNotNull()).select(*keys, "idx", "start", F.col("t.token").alias("token"))
 
 
 def phrase_match(toks: DataFrame, texts: DataFrame, phrases: DataFrame, keys: list[str], text: str) -> DataFrame:
