@@ -8,7 +8,7 @@ a block at least (pigeonhole), so the join on blocks finds all of them. The exac
 the sum of the larger multiplicities, then decides.
 
 Defined cases: text and items are lower-cased and split at ``[\\x20\\x09-\\x0D]+``; items of fewer than five words are one
-shingle; windows stop at a document's ends; null or wordless texts and items match nothing; rows that repeat a document
+shingle; windows stop at a document's ends; null or wordless texts and items match nothing, nor does a null doc_id; rows that repeat a document
 give its pairs once; a repeated item_id counts as the item of its smallest text.
 """
 
@@ -71,7 +71,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     if not kinds:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, window_start int, hamming int, similarity double, text_hash long")
     small = sum(kinds.values()) <= BROADCAST_ROWS
-    docs = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    docs = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     hits = []
     for k in kinds:
         own = items.where(F.col("k") == k).select("item_id", "item_size", "j", "h")
