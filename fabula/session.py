@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver to collect garbage, so that Spark removes the shuffle files of finished steps from disk now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Ask the driver to collect garbage, so that Spark removes the shuffle files of finished steps from disk now.
+
+    What Python lets go of is only free in the JVM after a first round, so there are two.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
