@@ -8,7 +8,7 @@ token is read with one byte and one rank per level, without decoding a block.
 File: ``DAC1``, then u64 documents, ids and levels; i64 doc_ids; u64 ends of documents; for each level u64 chunks, the
 chunks, the bitmap padded to 64 bytes, and u64 rank directory; little-endian throughout.
 
-Defined cases: a null or empty text is its end id alone; rows that repeat a doc_id follow each other, by text; an empty
+Defined cases: a null or empty text is its end id alone; a null doc_id comes first and reads back as -1; rows that repeat a doc_id follow each other, by text; an empty
 table gives no file. Files are written under names of their own, and a table of the files of finished tasks says which
 count, so a task that runs twice does no harm.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fabula.llm.common import documents, fresh_path, materialize
+from fabula.llm.common import documents, fresh_path, materialize, shuffle_partitions
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -219,7 +219,8 @@ def read_files(files: DataFrame, end_id: int = END_ID) -> DataFrame:
                     crcs.append(zlib.crc32(codes.at(np.arange(a, b)).astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(starts + base), pa.array(ends.astype(np.int64) - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = based.select("path", "base").repartition("path")
+    # a number given outright, or adaptive execution would put these few small rows, and so all files, into one task
+    spread = based.select("path", "base").repartition(max(1, min(files.count(), 8 * shuffle_partitions(files.sparkSession))))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
