@@ -1,13 +1,14 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-A document is the set of its distinct five-word shingles. Equal sets are one class. The global order of shingles puts
+A document is the set of its distinct five-word shingles. Equal sets are one class. Documents that share under four
+fifths of their shingles with any others can have no link and leave at once (a count over buckets of all shingles). The global order of shingles puts
 rare ones first: those found frequent by a partition-wise count come last, by frequency. Classes that reach the
 similarity share a shingle among the first fifth of their sets (plus one), so only that part is cut into fragments of the
 order. Each fragment counts the partial overlaps of its shingles alone; the counts are summed per pair, and the sum bounds
 what the whole overlap can still be. The pairs that stay are checked on whole sets.
 
 Only components are asked for, so pairs inside a component need no check: each run (the classes that share a shingle) is
-first joined to its smallest class, then in random rings, and only pairs of different components are then joined in full.
+first joined to its most common class, then in random rings, and only pairs of different components are then joined in full.
 No group is expanded into all its pairs unless its members really are apart; none is capped.
 
 Defined cases: null or wordless texts have no shingles and are linked with nothing (component_id is their doc_id); fewer
@@ -19,11 +20,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fabula.llm.common import documents, materialize, mix64, pieces, release, utf8, words_of
+from fabula.llm.common import documents, materialize, mix64, pieces, release, shuffle_partitions, utf8, words_of
 from fabula.llm.components import components
 
 WORDS = 5
@@ -35,6 +37,9 @@ BROADCAST_NODES = 4_000_000
 LONG_RUN = 1_000_000
 PIECE = 2_000_000
 RINGS = 2
+LIKELY = 3
+CHUNK = 10_000
+BUCKETS_A_PARTITION = 8
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray):
@@ -68,25 +73,114 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
     return int(mix64(s).sum(dtype=np.uint64).view(np.int64)), int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
 
 
-_FACTS = ["is_doc", "doc_id", "n", "node", "check", "text_key"]
+_FACTS = "kind int, bucket int, batch long, place int, doc_id long, n long, node long, check long, text_key long, data binary"
+_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+DOCUMENT, FREQUENT, TOKENS, SHARED = range(4)
 
 
-def _describe(batches):
-    """Rows of two kinds: a document's size and class; a shingle's count in the batch, if it is frequent there."""
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            sets = list(_sets(batch))
-            keys = [class_key(s) for s in sets]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([True] * n, pa.bool_()), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), batch.column("text_key")], _FACTS)
-            all_ = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-            del sets
-            if len(all_):
-                first = np.flatnonzero(np.concatenate(([True], all_[1:] != all_[:-1])))
-                count = np.diff(np.concatenate((first, [len(all_)])))
+def _facts(rows: int, **columns) -> pa.RecordBatch:
+    names = [x.split()[0] for x in _FACTS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(rows, k) for c, k in zip(names, _KINDS, strict=True)], names)
+
+
+def _describe(buckets: int):
+    """Rows of three kinds: documents with their size and class; shingles frequent in the batch; all shingles, by bucket.
+
+    A shingle travels as 32 bits beside its bucket, with its document's place in the batch: that is enough to see whether
+    other documents have it (a rare clash only lets a document through to the exact steps).
+    """
+
+    def described(batches):
+        part, turn = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1 << 16):
+                batch = whole.slice(at, 1 << 16)
+                number, turn = part << 32 | turn, turn + 1
+                with np.errstate(over="ignore"):
+                    sets = list(_sets(batch))
+                    keys = [class_key(x) for x in sets]
+                n = batch.num_rows
+                yield _facts(n, kind=[DOCUMENT] * n, bucket=(np.arange(n) % buckets).tolist(), batch=[number] * n, place=np.arange(n, dtype=np.int32), doc_id=batch.column("doc_id"), n=[len(x) for x in sets], node=[k[0] for k in keys], check=[k[1] for k in keys], text_key=batch.column("text_key"))
+                every = np.concatenate(sets)
+                place = np.repeat(np.arange(n, dtype=np.uint64), [len(x) for x in sets])
+                del sets
+                if not len(every):
+                    continue
+                sent = np.sort(every & ~np.uint64(0xFFFF) | place)
+                owner = ((sent >> np.uint64(44)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int64)
+                cuts = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [len(owner)]))
+                blobs = [(sent[a:b] >> np.uint64(16)).astype("<u4").tobytes() + sent[a:b].astype("<u2").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield _facts(len(blobs), kind=[TOKENS] * len(blobs), bucket=owner[cuts[:-1]].tolist(), batch=[number] * len(blobs), data=blobs)
+                del sent, owner
+                every.sort()
+                first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+                count = np.diff(np.concatenate((first, [len(every)])))
                 often = count >= max(LOCAL_FLOOR, n // 2000)
                 m = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([False] * m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array(count[often], pa.int64()), pa.array(all_[first[often]].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], _FACTS)
+                yield _facts(m, kind=[FREQUENT] * m, bucket=(np.arange(m) % buckets).tolist(), n=count[often], node=every[first[often]].view(np.int64))
+
+    return described
+
+
+def _count_shared(batches):
+    """Bucket by bucket: how many shingles of each document others have too, as (place, count) lists per batch."""
+    held: list[tuple[int, bytes]] = []
+    current = None
+
+    def close():
+        if not held:
+            return
+        size = [len(d) // 6 for _, d in held]
+        token = np.concatenate([np.frombuffer(d, "<u4", k) for (_, d), k in zip(held, size, strict=True)])
+        place = np.concatenate([np.frombuffer(d, "<u2", k, 4 * k) for (_, d), k in zip(held, size, strict=True)])
+        order = np.sort(token.astype(np.uint64) << np.uint64(32) | np.arange(len(token), dtype=np.uint64))
+        equal = (order[1:] >> np.uint64(32)) == (order[:-1] >> np.uint64(32))
+        shared = np.zeros(len(token), bool)
+        at = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        shared[at[1:][equal]] = True
+        shared[at[:-1][equal]] = True
+        numbers, blobs, start = [], [], 0
+        for (number, _), k in zip(held, size, strict=True):
+            count = np.bincount(place[start : start + k][shared[start : start + k]])
+            start += k
+            some = np.flatnonzero(count)
+            if len(some):
+                numbers.append(number)
+                blobs.append(some.astype("<u4").tobytes() + count[some].astype("<u4").tobytes())
+        if numbers:
+            yield _facts(len(numbers), kind=[SHARED] * len(numbers), batch=numbers, data=blobs)
+
+    for batch in batches:
+        kinds = batch.column("kind").to_numpy()
+        others = kinds != TOKENS
+        if others.any():
+            yield batch.filter(pa.array(others))
+        tokens = batch.filter(pa.array(~others))
+        for bucket, number, data in zip(*(tokens.column(c).to_pylist() for c in ("bucket", "batch", "data")), strict=True):
+            if bucket != current:
+                yield from close()
+                held, current = [], bucket
+            held.append((number, data))
+    yield from close()
+
+
+def _sum_shared(batches):
+    """Lists of one batch come together: (batch, place, shared)."""
+    current, total = None, np.zeros(0, np.int64)
+
+    def out():
+        some = np.flatnonzero(total)
+        if current is not None and len(some):
+            yield pa.RecordBatch.from_arrays([pa.array([current] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["batch", "place", "shared"])
+
+    for batch in batches:
+        for number, data in zip(batch.column("batch").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if number != current:
+                yield from out()
+                current, total = number, np.zeros(1 << 16, np.int64)
+            k = len(data) // 8
+            total[np.frombuffer(data, "<u4", k)] += np.frombuffer(data, "<u4", k, 4 * k)
+    yield from out()
 
 
 def prefix_length(n):
@@ -94,23 +188,32 @@ def prefix_length(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def _prefixes(heavy):
+def _has(nodes: np.ndarray | None, key: int) -> bool:
+    """Whether a sorted array has a key; no array has every key."""
+    return nodes is None or bool(len(nodes)) and nodes[min(np.searchsorted(nodes, key), len(nodes) - 1)] == key
+
+
+def _prefixes(heavy, wanted):
     def emitted(batches):
         frequent, rank = heavy.value
+        nodes = wanted.value
         for batch in batches:
             out = []
             with np.errstate(over="ignore"):
                 for s in _sets(batch):
-                    if len(frequent) and len(s):
+                    key = class_key(s)
+                    if not len(s) or not _has(nodes, key[0]):
+                        continue
+                    if len(frequent):
                         place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         is_heavy = frequent[place] == s
                         late = s[is_heavy][np.argsort(rank[place[is_heavy]], kind="stable")]
                         ordered = np.concatenate((s[~is_heavy], late))
                     else:
                         ordered = s
-                    out.append((*class_key(s), len(s), ordered[: prefix_length(len(s))] if len(s) else s))
+                    out.append((*key, len(s), ordered[: prefix_length(len(s))]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(o[3]) for o in out]))), pa.int32()), pa.array((np.concatenate([o[3] for o in out]) if out else np.zeros(0, np.uint64)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([o[2] for o in out], pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), lists], ["doc_id", "n", "node", "check", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[2] for o in out], pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), lists], ["n", "node", "check", "prefix"])
 
     return emitted
 
@@ -166,14 +269,47 @@ def _runs(batches):
     yield from flush()
 
 
-def _needed(a: Column, b: Column) -> Column:
-    """Least overlap of two set sizes at similarity 0.8: ceil(4 (a + b) / 9)."""
-    return F.floor((F.lit(4) * (a + b) + 8) / 9)
+def still_possible(partial, na, nb):
+    """Whether an overlap of prefixes allows the similarity: the whole overlap must be ceil(4 (na + nb) / 9), and beyond it
+    there is at most the longer of what the sets have after their prefixes."""
+    rest = np.maximum((4 * na + 4) // 5, (4 * nb + 4) // 5) - 1
+    return (partial >= (4 * (na + nb) + 8) // 9 - rest) & (np.minimum(na, nb) * 5 >= np.maximum(na, nb) * 4)
+
+
+def _count_across(batches):
+    """Rows come sorted by the asking class: sums its overlaps with each class of the larger components it meets."""
+    current, held, size = None, [], 0
 
+    def compact():
+        node, weight, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+        found, first, at = np.unique(node, return_index=True, return_inverse=True)
+        return [(found, np.bincount(at, weight).astype(np.int64), n[first])]
 
-def _rest(n: Column) -> Column:
-    """Shingles of a set beyond its prefix."""
-    return F.floor((F.lit(4) * n + 4) / 5) - 1
+    def out():
+        if held:
+            (node, partial, n), = compact()
+            good = node[still_possible(partial, current[1], n)]
+            if len(good):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), current[0])), pa.array(good)], ["a", "b"])
+
+    for batch in batches:
+        lists = batch.column("members")
+        flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        node, root, extent, n = (flat.field(i).to_numpy() for i in range(4))
+        for i, (a, root_a, extent_a, na, weight) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "root_a", "extent_a", "na", "weight")), strict=True)):
+            if current is None or a != current[0]:
+                yield from out()
+                current, held, size = (a, na), [], 0
+            cut = slice(ends[i], ends[i + 1])
+            larger = (extent[cut] > extent_a) | ((extent[cut] == extent_a) & (root[cut] > root_a))
+            own = node[cut][larger]
+            if len(own):
+                held.append((own, np.full(len(own), weight), n[cut][larger].astype(np.int64)))
+                size += len(own)
+                if size > LONG_RUN:
+                    held = compact()
+                    size = len(held[0][0])
+    yield from out()
 
 
 class JaccardJoin:
@@ -183,21 +319,42 @@ class JaccardJoin:
         self.docs = docs.select("doc_id", "text")
         self.spark = docs.sparkSession
         self.context = self.spark.sparkContext
+        self.sets: DataFrame | None = None
 
     def classes(self) -> None:
-        told = materialize(self.docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe, "is_doc boolean, doc_id long, n long, node long, check long, text_key long"), "shingle-facts")
-        self.members = told.where("is_doc").select("doc_id", "n", "node", "check", "text_key")
+        """Sizes and classes of the documents, the frequent shingles, and which classes can have a link at all.
+
+        A link needs four fifths of a document's shingles in another one, so a document with fewer that any other has is
+        out of it. Copies of one class count for each other.
+        """
+        buckets = shuffle_partitions(self.spark) * BUCKETS_A_PARTITION
+        sent = self.docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(buckets), _FACTS)
+        told = materialize(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_shared, _FACTS), "shingle-facts")
+        del sent
+        release(self.spark)
+        members = told.where(F.col("kind") == DOCUMENT)
+        self.members = members.select("doc_id", "n", "node", "check", "text_key")
         total, docs = self.members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         floor = max(2 * LOCAL_FLOOR, total // HEAVY_KEPT + 1, docs // 20_000)  # at most HEAVY_KEPT shingles are in so many documents
-        frequent = told.where(~F.col("is_doc")).groupBy("node").agg(F.sum("n").alias("uses")).where(F.col("uses") >= floor).toPandas()
+        frequent = told.where(F.col("kind") == FREQUENT).groupBy("node").agg(F.sum("n").alias("uses")).where(F.col("uses") >= floor).toPandas()
         token = frequent["node"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(token)
         self.heavy = self.context.broadcast((token[order], frequent["uses"].to_numpy().astype(np.int64)[order]))
+        shared = told.where(F.col("kind") == SHARED).select("batch", "data").repartition("batch").sortWithinPartitions("batch").mapInArrow(_sum_shared, "batch long, place int, shared long")
+        self.linkable = materialize(members.join(shared, ["batch", "place"]).where("shared * 5 >= n * 4 AND n > 0").select("node").distinct(), "linkable")
+
+    def _array_of(self, nodes: DataFrame):
+        """A broadcast of sorted nodes, or of None beyond the bound."""
+        count = nodes.count()
+        return self.context.broadcast(np.sort(np.array([r.node for r in nodes.toLocalIterator()], np.int64)) if count <= BROADCAST_NODES else None)
 
     def runs(self) -> DataFrame:
         """(run, node, weight): which classes share a shingle of their prefixes, and how many shingles a run stands for."""
-        emitted = self.docs.mapInArrow(_prefixes(self.heavy), "doc_id long, n long, node long, check long, prefix array<long>")
-        distinct = emitted.where("n > 0").groupBy("node", "check", "n").agg(F.any_value("prefix").alias("prefix"))
+        wanted = self._array_of(self.linkable)
+        emitted = self.docs.mapInArrow(_prefixes(self.heavy, wanted), "n long, node long, check long, prefix array<long>")
+        if wanted.value is None:
+            emitted = emitted.join(self.linkable, "node", "left_semi")
+        distinct = emitted.groupBy("node", "check", "n").agg(F.any_value("prefix").alias("prefix"))
         tokens = distinct.select(F.explode("prefix").alias("token"), "node")
         sorted_ = tokens.repartition("token").sortWithinPartitions("token", "node")
         made = sorted_.mapInArrow(_runs, "run long, node long, weight long")
@@ -208,8 +365,7 @@ class JaccardJoin:
 
     def _sets_of(self, nodes: DataFrame) -> DataFrame:
         """(node, shingles) of the wanted classes."""
-        count = nodes.count()
-        wanted = self.context.broadcast(np.sort(np.array([r.node for r in nodes.toLocalIterator()], np.int64)) if count <= BROADCAST_NODES else None)
+        wanted = self._array_of(nodes)
 
         def emitted(batches):
             keep = wanted.value
@@ -218,7 +374,7 @@ class JaccardJoin:
                 with np.errstate(over="ignore"):
                     for s in _sets(batch):
                         key = class_key(s)[0] if len(s) else None
-                        if key is not None and (keep is None or (len(keep) and keep[min(np.searchsorted(keep, key), len(keep) - 1)] == key)):
+                        if key is not None and _has(keep, key):
                             found.append((key, s.view(np.int64)))
                         if len(found) >= 500:
                             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["node", "shingles"])
@@ -226,14 +382,16 @@ class JaccardJoin:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["node", "shingles"])
 
         every = self.docs.mapInArrow(emitted, "node long, shingles array<long>")
-        if count > BROADCAST_NODES:
+        if wanted.value is None:
             every = every.join(nodes, "node", "left_semi")
         return materialize(every.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingle-sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the similarity."""
         nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        sets = self._sets_of(nodes)
+        if self.sets is None:  # of every class that can have a link, once
+            self.sets = self._sets_of(self.linkable)
+        sets = self.sets.join(nodes, "node", "left_semi")
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
         joined = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -243,42 +401,65 @@ class JaccardJoin:
         release(self.spark)
         return found
 
-    def _sized(self, pairs: DataFrame, full: bool) -> DataFrame:
-        """Sums the partial overlaps per pair and drops pairs that cannot reach the similarity.
-
-        A sum over all runs bounds the overlap: what is beyond the shorter rest of a set can't be shared. A sum over some
-        runs only (``full`` false) just orders the work: pairs it drops come again in the full join.
-        """
+    def _with_sizes(self, pairs: DataFrame) -> DataFrame:
+        """Sums the partial overlaps per pair; keeps pairs whose sizes allow the similarity."""
         sizes = self.members.groupBy("node").agg(F.max("n").alias("n"))
         summed = pairs.groupBy("a", "b").agg(F.sum("weight").alias("partial"))
         summed = summed.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        na, nb = F.col("na"), F.col("nb")
-        alike = (F.least(na, nb) * 5 >= F.greatest(na, nb) * 4) & (F.col("partial") >= _needed(na, nb) - F.greatest(_rest(na), _rest(nb)))
-        return materialize(summed.where(alike).select("a", "b"), "pairs")
+        return summed.where(F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4)
+
+    def _likely(self, pairs: DataFrame) -> DataFrame:
+        """For each class a its ``LIKELY`` partners b with the largest partial overlap: work to do first, not a filter,
+        as the full join comes back to every pair that is left."""
+        ranked = self._with_sizes(pairs).withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("partial"), "b")))
+        return ranked.where(F.col("rank") <= LIKELY).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def _across(self, labelled: DataFrame) -> DataFrame:
+        """Pairs of different components whose overlaps, summed over all fragments, still allow the similarity.
+
+        A class asks the larger components (by size, then root) it meets in its runs. A run's classes travel as arrays of
+        at most ``CHUNK`` entries and are counted per asking class, so rows grow with the runs, not with their squares.
+        """
+        sizes = self.members.groupBy("node").agg(F.max("n").alias("n"))
+        known = materialize(labelled.join(sizes, "node"), "runs-sized")
+        extent = known.select("root", "node").distinct().groupBy("root").agg(F.count("*").alias("extent"))
+        placed = materialize(known.join(extent, "root"), "runs-placed")
+        longest = placed.groupBy("run").count().agg(F.max("count")).first()[0] or 1
+        part = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(longest // CHUNK + 1))
+        entry = F.struct("node", "root", F.col("extent").cast("int").alias("extent"), F.col("n").cast("int").alias("n"))
+        members = placed.groupBy("run", part.alias("part")).agg(F.collect_list(entry).alias("members"))
+        most = placed.groupBy("run").agg(F.max(F.struct("extent", "root")).alias("most"))
+        asking = placed.join(most, "run").where(F.struct("extent", "root") < F.col("most")).select("run", "weight", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("extent").alias("extent_a"), F.col("n").alias("na"))
+        met = asking.join(members, "run").select("a", "root_a", "extent_a", "na", "weight", "members")
+        pairs = met.repartition("a").sortWithinPartitions("a").mapInArrow(_count_across, "a long, b long")
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def links(self) -> DataFrame:
         """Links that connect every component, checked on whole sets."""
         self.classes()
         runs = self.runs()
-        least = runs.groupBy("run").agg(F.min("node").alias("a"))
-        star = runs.join(least, "run").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"), "weight")
-        tried = self._sized(star, False)
+        # the class whose shingles most others share is the likely original of a group of edited copies
+        sizes = runs.groupBy("run").agg(F.count("*").alias("size"))
+        shared = runs.join(sizes, "run").groupBy("node").agg((F.sum(F.col("size") * F.col("weight")) / F.sum("weight")).alias("common"))
+        ranked = materialize(runs.join(shared, "node"), "runs-ranked")
+        middle = ranked.groupBy("run").agg(F.max(F.struct("common", "node")).alias("m")).select("run", F.col("m.node").alias("b"))
+        star = ranked.join(middle, "run").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b", "weight")
+        tried = materialize(self._likely(star), "pairs")
         links = self.verified(tried)
         for ring in range(RINGS):
             labelled = self._apart(runs, links)
             order = W.partitionBy("run").orderBy(F.xxhash64("node", "run", F.lit(ring)), "node")
-            beside = labelled.select("run", "root", "weight", F.col("node").alias("x"), F.lag("node").over(order).alias("y"), F.lag("root").over(order).alias("other"))
-            pairs = beside.where(F.col("root") != F.col("other")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "weight")
-            fresh = materialize(self._sized(pairs, False).join(tried, ["a", "b"], "left_anti"), "pairs")
+            beside = labelled.select("run", "root", "weight", F.col("node").alias("a"), F.lag("node").over(order).alias("b"), F.lag("root").over(order).alias("other"))
+            pairs = beside.where(F.col("root") != F.col("other")).select("a", "b", "weight")
+            fresh = materialize(self._likely(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
             if not fresh.limit(1).count():
                 break
             found = self.verified(fresh)
             tried, links = tried.unionByName(fresh), links.unionByName(found)
-        labelled = self._apart(runs, links)
-        left = labelled.select("run", "weight", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        right = labelled.select("run", F.col("node").alias("b"), F.col("root").alias("root_b"))
-        across = left.join(right, "run").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b", "weight")
-        last = materialize(self._sized(across, True).join(tried, ["a", "b"], "left_anti"), "pairs")
+            if not found.limit(1).count():
+                break
+        across = self._across(self._apart(runs, links))
+        last = materialize(across.join(tried, ["a", "b"], "left_anti"), "pairs")
         if last.limit(1).count():
             links = links.unionByName(self.verified(last))
         return links
@@ -314,3 +495,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(documents(spark, sf_dir)).result().select("doc_id", "n_shingles", "component_id")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w
+), n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1
+), p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.rid < b.rid GROUP BY 1, 2
+), l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(rid, root) AS (SELECT rid, rid FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.rid
+)
+SELECT w.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM w JOIN r ON r.rid = w.rid JOIN w o ON o.rid = r.root LEFT JOIN n ON n.rid = w.rid GROUP BY w.rid, w.doc_id
+"""

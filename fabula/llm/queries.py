@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.OP4_SQL, "op7_warc": warc.OP7_SQL}
+    return {"op4_line_dedup": linededup.OP4_SQL, "op5_jaccard": jaccard.OP5_SQL, "op7_warc": warc.OP7_SQL}
