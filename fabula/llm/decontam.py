@@ -1,8 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
-A benchmark item of n words is compared with document windows of the item's size. Every window of similarity at least 0.8
-shares a five-word shingle with the item and starts at most a ninth of the item's shingles away from where that shingle
-puts it, so windows are made there and nowhere else: no window that can match is lost. Windows and items get a SimHash of
+A benchmark item of n words is compared with document windows of the item's size. The similarity knows no order, so windows
+come from the places where shingles of the item stand, wherever in the item those are: a window of similarity s holds at
+least s times the item's size of them, and a whole one 2s / (1 + s) times. Every start that has so many is made and no other:
+no window that can match goes unmade, be the words inserted, deleted or moved. Windows and items get a SimHash of
 their shingles with multiplicities as weights. Fingerprints are cut into RADIUS + 1 blocks: two within the radius agree in
 a block at least (pigeonhole), so the join on blocks finds all of them. The exact similarity, the sum of the smaller over
 the sum of the larger multiplicities, then decides.
@@ -64,6 +65,29 @@ def hamming_blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
     return F.array(*parts)
 
 
+def _least(share: Column, size: Column) -> Column:
+    """The least whole number that is not under a share of the size."""
+    return F.ceil(share * size - F.lit(1e-9)).cast("int")
+
+
+def window_starts(places: Column, size: Column, length: Column, similarity: float) -> Column:
+    """Ranges (a, b) of the starts of all windows with enough of the sorted ``places``; no start is in two of them.
+
+    With p the places, a window of ``size`` holds c of them if and only if it starts in p[r + c - 1] - size + 1 .. p[r] for
+    some r; both ends grow with r, so cutting each range at p[r - 1] makes them disjoint. Windows over an end of the
+    ``length`` shingles are shorter, which lowers c.
+    """
+
+    def ranges(c: Column, low: Column, high: Column) -> Column:
+        each = F.filter(F.sequence(F.lit(0), F.size(places) - 1), lambda r: r + c <= F.size(places))
+        cut = lambda r: F.struct(F.greatest(F.get(places, r + c - 1) - size + 1, F.get(places, r - 1) + 1, low).alias("a"), F.least(F.get(places, r), high).alias("b"))
+        return F.filter(F.transform(each, cut), lambda x: x["a"] <= x["b"])
+
+    part, full = _least(F.lit(similarity), size), _least(F.lit(2 * similarity / (1 + similarity)), size)
+    last = length - size
+    return F.concat(ranges(part, -size, F.lit(-1)), ranges(full, F.lit(0), last), ranges(part, F.greatest(last + 1, F.lit(0)), length))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Pairs (doc_id, item_id) with their best window: window_start (in shingles), hamming, similarity, text_hash."""
     items = materialize(item_shingles(benchmark), "benchmark-shingles")
@@ -74,18 +98,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     docs = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     hits = []
     for k in kinds:
-        own = items.where(F.col("k") == k).select("item_id", "item_size", "j", "h")
+        own = items.where(F.col("k") == k).select("item_id", "item_size", "h").distinct()
         exploded = docs.select("doc_id", "text_hash", F.posexplode(_shingles(F.col("text"), k)).alias("i", "h"))
-        hits.append(exploded.join(F.broadcast(own) if small else own, "h").select("doc_id", "text_hash", "item_id", "item_size", F.lit(k).alias("k"), "i", "j"))
+        hits.append(exploded.join(F.broadcast(own) if small else own, "h").select("doc_id", "text_hash", "item_id", "item_size", F.lit(k).alias("k"), "i"))
     hits = reduce(DataFrame.unionByName, hits)
-    # the overlap must reach the similarity times the item's size, and each shared occurrence is a hit
-    lines = hits.groupBy("doc_id", "text_hash", "item_id", "item_size", "k").agg(F.count("*").alias("n_hits"), F.collect_set(F.col("i") - F.col("j")).alias("lines"))
-    lines = materialize(lines.where(F.col("n_hits") >= F.lit(similarity) * F.col("item_size")), "benchmark-hits")
-    slack = F.floor(F.col("item_size") / 9).cast("int") + 1
-    starts = F.array_distinct(F.flatten(F.transform("lines", lambda x: F.sequence(x - slack, x + slack))))
-    spots = lines.select("doc_id", "text_hash", "item_id", "item_size", "k", F.explode(starts).alias("window_start"))
+    # the overlap must reach the similarity times the item's size, and each shared occurrence has a place of its own
+    lines = hits.groupBy("doc_id", "text_hash", "item_id", "item_size", "k").agg(F.sort_array(F.collect_set("i")).alias("places"))
+    lines = materialize(lines.where(F.size("places") >= _least(F.lit(similarity), F.col("item_size"))), "benchmark-hits")
     whole = docs.join(lines.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    whole = materialize(whole, "benchmark-docs")
+    whole = materialize(whole.withColumn("n_words", F.size(_words(F.col("text")))), "benchmark-docs")
+    sized = lines.join(whole.select("doc_id", "text_hash", "n_words"), ["doc_id", "text_hash"])
+    ranges = sized.select("doc_id", "text_hash", "item_id", "item_size", "k", F.inline(window_starts(F.col("places"), F.col("item_size"), F.col("n_words") - F.col("k") + 1, similarity)))
+    spots = ranges.select("doc_id", "text_hash", "item_id", "item_size", "k", F.explode(F.sequence("a", "b")).alias("window_start"))
     found = []
     for k in kinds:
         arrays = whole.select("doc_id", "text_hash", _shingles(F.col("text"), k).alias("hs"))

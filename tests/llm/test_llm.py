@@ -345,3 +345,30 @@ def test_pipeline_stages(spark, tmp_path):
         docs = after
     out = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert out.count() == docs.count()
+
+
+def test_decontamination_finds_moved_words(spark):
+    """Every window by brute force: halves swapped, a sentence or options moved, at an end, cut off, repeated."""
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    item, short, beat = say(104).split(), say(40).split(), "to be or not to be that is".split() * 5
+    swapped = item[52:] + item[:52]
+    moved = item[:20] + item[35:90] + item[20:35] + item[90:]
+    texts = [swapped, moved, item, item[:99], item[9:], short[25:] + short[:25], beat[3:] + beat[:3], beat * 3, item[60:] + item[:60] + say(9).split() + swapped, item[:30] + say(40).split() + item[30:]]
+    texts = [" ".join(x) for w in texts for x in (w, say(70).split() + w + say(50).split(), w + say(30).split())]
+    items = [(1, " ".join(item)), (2, " ".join(short)), (3, " ".join(beat)), (4, "to be or not")]
+    want = {}
+    for n, text in items:
+        k = min(5, len(text.split()))
+        cut = lambda t, k=k: [tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)]
+        own = cut(text)
+        for d, t in enumerate(texts):
+            for a in range(1 - len(own), len(cut(t))):
+                part = cut(t)[max(0, a) : a + len(own)]
+                shared = sum((collections.Counter(part) & collections.Counter(own)).values())
+                found = (shared / (len(part) + len(own) - shared), -a)
+                if found[0] >= 0.8:
+                    want[d, n] = max(found, want.get((d, n), found))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.window_start) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and (0, 1) in want and (1, 1) in want
