@@ -43,18 +43,20 @@ class WordEncoder(dict):
 
     The tokenizer lower-cases, splits at white space and into pieces, and encodes each piece alone. For texts of the
     characters in ``PLAIN``, whose case and pieces Python's ``re`` sees as the tokenizer does, words are split here and
-    only new pieces go to the tokenizer's model; other texts go to the tokenizer whole.
+    only new pieces go to the tokenizer's model; other texts go to the tokenizer whole. So do texts that hold an added token:
+    ``added`` gives these their one id, as a tokenizer's default has it; else special ones are ordinary text.
     """
 
     PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0132-\\u0148\\u014a-\\u017e\\u0410-\\u044f\\u2010-\\u2027]*")
     PIECE = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
     KEPT = 400_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.names = {t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if added or not t.special}
         self.model = self.tokenizer.model
         alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         shown = {b: alphabet.pre_tokenize_str(chr(b))[0][0] for b in range(33, 127)}
@@ -74,11 +76,15 @@ class WordEncoder(dict):
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self) > self.KEPT:
             self.clear()
-        get, plain = self.__getitem__, self.PLAIN.fullmatch
-        return [
-            np.frombuffer(b"".join(map(get, t.lower().split())), np.uint32) if plain(t) else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-            for t in texts
-        ]
+        get, plain, names = self.__getitem__, self.PLAIN.fullmatch, self.names
+        made = []
+        for t in texts:
+            low = t.lower()
+            if plain(t) and not any(n in low for n in names):
+                made.append(np.frombuffer(b"".join(map(get, low.split())), np.uint32))
+            else:
+                made.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+        return made
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -87,7 +93,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker and file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path, added=True)
     return _ENCODERS[path]
 
 

@@ -372,3 +372,18 @@ def test_decontamination_finds_moved_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, -r.window_start) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == want and (0, 1) in want and (1, 1) in want
+
+
+def test_added_tokens_are_the_librarys(spark):
+    """Against a tokenizer as it comes from its file, without a switch."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokens.vocabulary_path())
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|> <|endoftext |>", "日本 <|endoftext|><|endoftext|>", "plain words", "<|endoftext|>"]
+    want, start = [], 0
+    for d, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert 49407 in tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert [tuple(r) for r in tokens.token_output(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("start").collect()] == want
