@@ -3,8 +3,8 @@
 Training counts the byte n-grams (words with a space on both sides, lower case) of every learning document per language and
 keeps for a language those with at least ``MIN_SHARE`` of its n-grams and at least ``MIN_RATIO`` of their share in the
 language that uses them most; shares add up to one, so the kept set has a size bound that doesn't depend on the corpus.
-A bit-sliced Bloom filter holds them: each slot is a bitmask of languages, and the AND of an n-gram's slots is the set of
-all languages that (may) contain it. A document's popcount per language, corrected for that language's false-positive
+A bit-sliced Bloom filter holds them: each slot is a bitmask of languages, of as many 64-bit words as they need, and the AND
+of an n-gram's slots, word by word, is the set of all languages that (may) have kept it. A document's popcount per language, corrected for that language's false-positive
 rate, decides.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any learning row every text is
@@ -105,44 +105,49 @@ def language_grams(docs: DataFrame) -> DataFrame:
 
 
 class LanguageFilter:
-    """The bit-sliced Bloom filter: ``slots`` words of language bits, HASHES probes a key."""
+    """The bit-sliced Bloom filter: ``slots`` of language bits, a row for each word of the mask, HASHES probes a key."""
 
     def __init__(self, langs: list[str], size: int):
         self.langs = langs
         bits = max(10, int(np.ceil(np.log2(max(size, 1) * 8))))
-        width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= np.dtype(t).itemsize * 8)
-        self.slots = np.zeros(1 << bits, width)
+        width = next((t for t in (np.uint8, np.uint16, np.uint32) if len(langs) <= np.dtype(t).itemsize * 8), np.uint64)
+        self.bits = np.dtype(width).itemsize * 8
+        self.slots = np.zeros((max(1, -(-len(langs) // self.bits)), 1 << bits), width)
 
     def _probes(self, keys: np.ndarray):
         h = mix64(keys)
-        bits = int(np.log2(len(self.slots)))
         for i in range(HASHES):
-            yield mix64(h + np.uint64(i)) & np.uint64((1 << bits) - 1)
+            yield mix64(h + np.uint64(i)) & np.uint64(self.slots.shape[1] - 1)
 
     def add(self, keys: np.ndarray, lang: int) -> None:
+        word, bit = divmod(lang, self.bits)
         for at in self._probes(keys):
-            self.slots[at] |= self.slots.dtype.type(1 << lang)
+            self.slots[word, at] |= self.slots.dtype.type(1 << bit)
 
     def languages(self, keys: np.ndarray) -> np.ndarray:
-        """Bitmask of all languages that contain each key."""
-        first, *rest = self._probes(keys)
-        mask = self.slots[first]
-        for at in rest:
-            mask &= self.slots[at]
-        return mask
+        """Bitmasks of all languages that contain each key: a row for each key, a column for each word."""
+        probes = list(self._probes(keys))
+        mask = np.empty((len(self.slots), len(keys)), self.slots.dtype)
+        for word, own in zip(self.slots, mask, strict=True):
+            own[:] = word[probes[0]]
+            for at in probes[1:]:
+                own &= word[at]
+        return mask.T
+
+    def has(self, mask: np.ndarray, lang: int) -> np.ndarray:
+        """1 where a mask with a column for each word has the language's bit."""
+        word, bit = divmod(lang, self.bits)
+        return (mask[:, word] >> mask.dtype.type(bit)) & mask.dtype.type(1)
 
     def false_rates(self) -> np.ndarray:
-        one = self.slots.dtype.type(1)
-        return np.array([((self.slots >> self.slots.dtype.type(i)) & one).mean() ** HASHES for i in range(len(self.langs))])
+        return np.array([self.has(self.slots.T, i).mean() ** HASHES for i in range(len(self.langs))])
 
 
 def fit(docs: DataFrame) -> LanguageFilter:
-    """Learns from (text, lang); rows without a language are left out. More than 64 languages need a wider mask."""
+    """Learns from (text, lang); rows without a language are left out."""
     grams = language_grams(docs.where(F.col("lang").isNotNull()))
     found = grams.toPandas()  # bounded: len(ORDERS) / MIN_SHARE rows a language
     langs = sorted(found["lang"].unique())
-    if len(langs) > 64:
-        raise ValueError("a language bitmask holds 64 languages")
     made = LanguageFilter(langs, found["gram"].nunique())
     for i, lang in enumerate(langs):
         made.add(found.loc[found["lang"] == lang, "gram"].to_numpy().astype(np.uint64), i)
@@ -169,8 +174,7 @@ def predictor(filter_of):
                     count = np.diff(at)
                     seen[a:b] += count
                     for i in range(len(model.langs)):
-                        bit = (mask >> mask.dtype.type(i)) & mask.dtype.type(1)
-                        total = np.concatenate(([0], np.cumsum(bit, dtype=np.int64)))
+                        total = np.concatenate(([0], np.cumsum(model.has(mask, i), dtype=np.int64)))
                         hits[i, a:b] += total[at[1:]] - total[at[:-1]]
             true = np.maximum(0, (hits - rates[:, None] * seen) / (1 - np.minimum(rates, 0.999))[:, None])
             weight = (true / np.maximum(seen, 1)) ** 4

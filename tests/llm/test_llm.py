@@ -387,3 +387,19 @@ def test_added_tokens_are_the_librarys(spark):
         start += len(ids)
     assert 49407 in tokenizer.encode(texts[0], add_special_tokens=False).ids
     assert [tuple(r) for r in tokens.token_output(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("start").collect()] == want
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = random.Random(1)
+    parts = {f"l{i:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(5)] for i in range(130)}
+    rows = [(i, " ".join(rng.choice(own) for _ in range(15)), lang) for i, (lang, own) in enumerate(2 * list(parts.items()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id < 130"))
+    assert model.langs == sorted(parts) and model.slots.shape[0] == 3
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()} == {i: lang for i, _, lang in rows}
+    keys = np.arange(650, dtype=np.uint64)
+    made = langid.LanguageFilter([str(i) for i in range(65)], 650)
+    for i in range(65):
+        made.add(keys[10 * i : 10 * i + 10], i)
+    mask = made.languages(keys)
+    assert all(made.has(mask[10 * i : 10 * i + 10], i).all() for i in range(65)) and made.has(mask, 64).sum() < 20
