@@ -22,7 +22,7 @@ _VOID = {"br", "hr", "img", "meta", "link", "input", "source", "wbr", "area", "b
 
 
 class Blocks(HTMLParser):
-    """Leaf blocks of a page in order: a block whose element holds no other block. Text outside of blocks counts as visible only."""
+    """Leaf blocks of a page in order: a block whose element holds no other block. Text outside of blocks is in ``shown`` only."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -30,6 +30,7 @@ class Blocks(HTMLParser):
         self.open: list[dict] = []
         self.quiet = 0
         self.visible: list[str] = []
+        self.shown: list[str] = []
 
     def _close(self, upto: int) -> None:
         while len(self.open) > upto:
@@ -67,7 +68,10 @@ class Blocks(HTMLParser):
                 self._close(len(self.open) - 1)
 
     def handle_data(self, data):
-        if not self.quiet and self.open:
+        if self.quiet:
+            return
+        self.shown.append(data)
+        if self.open:
             self.visible.append(data)
             self.open[-1]["text"].append(data)
 
@@ -81,6 +85,14 @@ def blocks_of(html: str | None) -> tuple[list[tuple[str, str | None, str]], str]
     return parser.found, "".join(parser.visible)
 
 
+def shown_text(html: str | None) -> str:
+    """All the text that a page shows, inside of block elements or not."""
+    parser = Blocks()
+    parser.feed(html or "")
+    parser.close()
+    return "".join(parser.shown)
+
+
 def html_blocks(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """SRC-2: (key, block_order, tag, element_id, text), a page at a time in Arrow batches."""
     kind = pages.schema[key].dataType
@@ -99,7 +111,7 @@ def visible_text(pages: DataFrame, html: str = "html", key: str = "page_id") ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "visible": [blocks_of(h)[1] for h in pdf[html]]})
+            yield pd.DataFrame({key: pdf[key], "visible": [shown_text(h) for h in pdf[html]]})
 
     return pages.select(key, html).mapInPandas(run, T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField("visible", T.StringType())]))
 

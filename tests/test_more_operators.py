@@ -80,3 +80,15 @@ def test_small_columns(spark, one):
     assert one(X.needs_mark(L("замок"), L(" "))) and not one(X.needs_mark(L("дом"), L(" "))) and one(X.well_marked(L("зам+ок"))) and not one(X.well_marked(L("+замок")))
     assert one(A.alias_set(F.array(L("b"), L("a")), F.array(L("n")), L("n"))) == ["a", "b"]
     assert abs(one(X.est_seconds(L("x" * 28), L(500))) - 2.5) < 1e-9
+
+
+def test_lossless_gate_sees_text_outside_blocks(spark):
+    """SRC-4 against tags cut out by hand."""
+    import re
+
+    pages = [(1, "<body><h1>A</h1><p>b <b>c</b></p><ul><li>d<p>e</ul>"), (2, "<body>loose<p>a</p>"), (3, "<div>box<p>a</p></div>"), (4, "<p>a</p><table><tr><td>cell</td></tr></table>"), (5, "<pre>x = 1</pre>"), (6, "<head><title>t</title></head><script>s()</script><p>a &amp; b</p>\n "), (7, None), (8, "<p>a</p>tail")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    lost = {r.page_id for r in audits.lossless_check(B.visible_text(df), B.html_blocks(df), "page_id").collect()}
+    bare = lambda h: re.sub(r"\s", "", re.sub(r"(?s)<head>.*?</head>|<script>.*?</script>|<[^>]*>", "", h or "").replace("&amp;", "&"))
+    want = {k for k, h in pages if bare(h) != re.sub(r"\s", "", "".join(t for *_, t in B.blocks_of(h)[0]))}
+    assert lost == want == {2, 3, 4, 5, 8}
