@@ -20,6 +20,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def new_name(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_fold(col: str, mod: int) -> Column:
     """crc32 of an id's text, modulo ``mod``; null for a null id."""
     return F.crc32(F.col(col).cast("string")) % mod

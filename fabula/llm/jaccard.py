@@ -1,15 +1,20 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
 A document is the set of its distinct five-word shingles. Equal sets are one class. Documents that share under four
-fifths of their shingles with any others can have no link and leave at once (a count over buckets of all shingles). The global order of shingles puts
-rare ones first: those found frequent by a partition-wise count come last, by frequency. Classes that reach the
+fifths of their shingles with any others can have no link and leave at once (a count over buckets of all shingles); the
+sets of the others are written once, one row a class.
+
+The global order of shingles puts rare ones first, by the number of classes that use them. Classes that reach the
 similarity share a shingle among the first fifth of their sets (plus one), so only that part is cut into fragments of the
-order. Each fragment counts the partial overlaps of its shingles alone; the counts are summed per pair, and the sum bounds
-what the whole overlap can still be. The pairs that stay are checked on whole sets.
+order. Each fragment is one task's share of the shingles: the classes of a shared shingle are a run, and equal runs of a
+fragment count once, with a weight. The partial overlaps of the fragments are summed per pair, and the sum bounds what
+the whole overlap can still be. The pairs that stay are checked on whole sets.
 
-Only components are asked for, so pairs inside a component need no check: each run (the classes that share a shingle) is
-first joined to its most common class, then in random rings, and only pairs of different components are then joined in full.
-No group is expanded into all its pairs unless its members really are apart; none is capped.
+Only components are asked for, so pairs inside a component need no check. Each class is first checked against one other:
+the class of its runs whose shingles are used most, the likely original of a group of edited copies. Pairs of different
+components are then counted in full, inside the fragments, where a pair must pass three exact bounds before it becomes a
+row: its sizes, the shingles that each side shares with anyone, and the parity bits of both sets, whose distance is
+never more than that of the sets. Runs over ``CHUNK`` classes are dealt as cells of two chunks. Nothing is capped.
 
 Defined cases: null or wordless texts have no shingles and are linked with nothing (component_id is their doc_id); fewer
 than five words are one shingle; repeated rows are in one class; a null doc_id is a member that never names a component.
@@ -21,25 +26,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm.common import documents, materialize, mix64, pieces, release, shuffle_partitions, utf8, words_of
+from fabula.llm.common import documents, materialize, mix64, new_name, pieces, release, shuffle_partitions, utf8, words_of
 from fabula.llm.components import components
 
 WORDS = 5
-#: Shingles in at least this many documents of a batch are counted for the order; the frequent ones are HEAVY_KEPT at most.
-LOCAL_FLOOR = 6
-HEAVY_KEPT = 1_000_000
-#: Classes whose sets are wanted are looked up in a broadcast array up to this number, beyond it by a join.
-BROADCAST_NODES = 4_000_000
 LONG_RUN = 1_000_000
 PIECE = 2_000_000
-RINGS = 2
-LIKELY = 3
-CHUNK = 10_000
+BATCH_BYTES = 16_000_000
 BUCKETS_A_PARTITION = 8
+PARITY_BITS = 512
+#: A cell of a long run holds two chunks, so a task has twice as many classes in memory at most.
+CHUNK = 4096
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray):
@@ -62,8 +62,7 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray):
             yield total[:0]
 
 
-def _sets(batch: pa.RecordBatch):
-    raw, at = utf8(batch.column("text"))
+def _sets(raw: np.ndarray, at: np.ndarray):
     for a, b in pieces(at, PIECE):
         yield from shingle_sets(raw[at[a] : at[b]], at[a : b + 1] - at[a])
 
@@ -73,9 +72,9 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
     return int(mix64(s).sum(dtype=np.uint64).view(np.int64)), int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
 
 
-_FACTS = "kind int, bucket int, batch long, place int, doc_id long, n long, node long, check long, text_key long, data binary"
+_FACTS = "kind int, bucket int, batch long, place int, doc_id long, n long, low long, high long, text_key long, data binary"
 _KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-DOCUMENT, FREQUENT, TOKENS, SHARED = range(4)
+DOCUMENT, TOKENS, SHARED = range(3)
 
 
 def _facts(rows: int, **columns) -> pa.RecordBatch:
@@ -84,7 +83,7 @@ def _facts(rows: int, **columns) -> pa.RecordBatch:
 
 
 def _describe(buckets: int):
-    """Rows of three kinds: documents with their size and class; shingles frequent in the batch; all shingles, by bucket.
+    """Rows of two kinds: documents with their size and class, and all shingles, by bucket.
 
     A shingle travels as 32 bits beside its bucket, with its document's place in the batch: that is enough to see whether
     other documents have it (a rare clash only lets a document through to the exact steps).
@@ -93,31 +92,28 @@ def _describe(buckets: int):
     def described(batches):
         part, turn = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 1 << 16):
-                batch = whole.slice(at, 1 << 16)
-                number, turn = part << 32 | turn, turn + 1
-                with np.errstate(over="ignore"):
-                    sets = list(_sets(batch))
-                    keys = [class_key(x) for x in sets]
-                n = batch.num_rows
-                yield _facts(n, kind=[DOCUMENT] * n, bucket=(np.arange(n) % buckets).tolist(), batch=[number] * n, place=np.arange(n, dtype=np.int32), doc_id=batch.column("doc_id"), n=[len(x) for x in sets], node=[k[0] for k in keys], check=[k[1] for k in keys], text_key=batch.column("text_key"))
-                every = np.concatenate(sets)
-                place = np.repeat(np.arange(n, dtype=np.uint64), [len(x) for x in sets])
-                del sets
-                if not len(every):
-                    continue
-                sent = np.sort(every & ~np.uint64(0xFFFF) | place)
-                owner = ((sent >> np.uint64(44)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int64)
-                cuts = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [len(owner)]))
-                blobs = [(sent[a:b] >> np.uint64(16)).astype("<u4").tobytes() + sent[a:b].astype("<u2").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield _facts(len(blobs), kind=[TOKENS] * len(blobs), bucket=owner[cuts[:-1]].tolist(), batch=[number] * len(blobs), data=blobs)
-                del sent, owner
-                every.sort()
-                first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-                count = np.diff(np.concatenate((first, [len(every)])))
-                often = count >= max(LOCAL_FLOOR, n // 2000)
-                m = int(often.sum())
-                yield _facts(m, kind=[FREQUENT] * m, bucket=(np.arange(m) % buckets).tolist(), n=count[often], node=every[first[often]].view(np.int64))
+            for begun in range(0, whole.num_rows, 1 << 16):
+                rows = whole.slice(begun, 1 << 16)
+                raw, at = utf8(rows.column("text"))
+                for a, b in pieces(at, BATCH_BYTES):
+                    number, turn = part << 32 | turn, turn + 1
+                    yield from one(rows.slice(a, b - a), raw[at[a] : at[b]], at[a : b + 1] - at[a], number)
+
+    def one(batch, raw, at, number):
+        with np.errstate(over="ignore"):
+            sets = list(_sets(raw, at))
+            keys = [class_key(x) for x in sets]
+        n = batch.num_rows
+        yield _facts(n, kind=[DOCUMENT] * n, bucket=(np.arange(n) % buckets).tolist(), batch=[number] * n, place=np.arange(n, dtype=np.int32), doc_id=batch.column("doc_id"), n=[len(x) for x in sets], low=[k[0] for k in keys], high=[k[1] for k in keys], text_key=batch.column("text_key"))
+        every = np.concatenate(sets)
+        if not len(every):
+            return
+        place = np.repeat(np.arange(n, dtype=np.uint64), [len(x) for x in sets])
+        sent = np.sort(every & ~np.uint64(0xFFFF) | place)
+        owner = ((sent >> np.uint64(44)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [len(owner)]))
+        blobs = [(sent[a:b] >> np.uint64(16)).astype("<u4").tobytes() + sent[a:b].astype("<u2").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        yield _facts(len(blobs), kind=[TOKENS] * len(blobs), bucket=owner[cuts[:-1]].tolist(), batch=[number] * len(blobs), data=blobs)
 
     return described
 
@@ -183,39 +179,24 @@ def _sum_shared(batches):
     yield from out()
 
 
-def prefix_length(n):
-    """Shingles of a set of n, in the global order, of which one at least is shared with every set of similarity 0.8."""
-    return n - (4 * n + 4) // 5 + 1
-
+def parity(s: np.ndarray) -> bytes:
+    """One bit for each of ``PARITY_BITS`` groups of shingles: whether the set holds an odd number of the group.
 
-def _has(nodes: np.ndarray | None, key: int) -> bool:
-    """Whether a sorted array has a key; no array has every key."""
-    return nodes is None or bool(len(nodes)) and nodes[min(np.searchsorted(nodes, key), len(nodes) - 1)] == key
+    Two sets' bits differ in no more places than the sets have elements that only one of them holds.
+    """
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS).astype(np.uint8) & 1).tobytes()
 
 
-def _prefixes(heavy, wanted):
-    def emitted(batches):
-        frequent, rank = heavy.value
-        nodes = wanted.value
-        for batch in batches:
-            out = []
+def _class_sets(batches):
+    """(low, high, n, parity, shingles) of each text that has words."""
+    for batch in batches:
+        raw, at = utf8(batch.column("text"))
+        for a, b in pieces(at, PIECE):
             with np.errstate(over="ignore"):
-                for s in _sets(batch):
-                    key = class_key(s)
-                    if not len(s) or not _has(nodes, key[0]):
-                        continue
-                    if len(frequent):
-                        place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                        is_heavy = frequent[place] == s
-                        late = s[is_heavy][np.argsort(rank[place[is_heavy]], kind="stable")]
-                        ordered = np.concatenate((s[~is_heavy], late))
-                    else:
-                        ordered = s
-                    out.append((*key, len(s), ordered[: prefix_length(len(s))]))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(o[3]) for o in out]))), pa.int32()), pa.array((np.concatenate([o[3] for o in out]) if out else np.zeros(0, np.uint64)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[2] for o in out], pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), lists], ["n", "node", "check", "prefix"])
-
-    return emitted
+                sets = [s for s in _sets(raw[at[a] : at[b]], at[a : b + 1] - at[a]) if len(s)]
+                keys = [class_key(s) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32()), pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), lists], ["low", "high", "n", "parity", "shingles"])
 
 
 def _runs(batches):
@@ -269,228 +250,167 @@ def _runs(batches):
     yield from flush()
 
 
-def still_possible(partial, na, nb):
-    """Whether an overlap of prefixes allows the similarity: the whole overlap must be ceil(4 (na + nb) / 9), and beyond it
-    there is at most the longer of what the sets have after their prefixes."""
-    rest = np.maximum((4 * na + 4) // 5, (4 * nb + 4) // 5) - 1
-    return (partial >= (4 * (na + nb) + 8) // 9 - rest) & (np.minimum(na, nb) * 5 >= np.maximum(na, nb) * 4)
-
+def can_link(a: str, b: str) -> Column:
+    """Whether sizes and shared shingles allow classes a and b the similarity: the overlap is at least 4/9 of both sizes
+    together, and at most what either side shares with anyone."""
+    size = F.col(f"{a}.n") + F.col(f"{b}.n")
+    return (F.least(f"{a}.n", f"{b}.n") * 5 >= F.greatest(f"{a}.n", f"{b}.n") * 4) & (size * 4 <= F.least(f"{a}.s", f"{b}.s") * 9)
 
-def _count_across(batches):
-    """Rows come sorted by the asking class: sums its overlaps with each class of the larger components it meets."""
-    current, held, size = None, [], 0
 
-    def compact():
-        node, weight, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-        found, first, at = np.unique(node, return_index=True, return_inverse=True)
-        return [(found, np.bincount(at, weight).astype(np.int64), n[first])]
+def _pairs_across(batches):
+    """Cells of runs come sorted by (run, i, j, n): pairs of different roots that pass the exact bounds."""
+    held: list[pa.RecordBatch] = []
+    current = None
 
-    def out():
-        if held:
-            (node, partial, n), = compact()
-            good = node[still_possible(partial, current[1], n)]
-            if len(good):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), current[0])), pa.array(good)], ["a", "b"])
+    def close():
+        if not held:
+            return
+        columns = {c: np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("node", "root", "n", "s", "chunk")}
+        node, root, n, s, chunk = columns.values()
+        bits = np.frombuffer(b"".join(x for h in held for x in h.column("parity").to_pylist()), np.uint64).reshape(len(node), -1)
+        weight, one_chunk = int(held[0].column("weight")[0].as_py()), current[1] == current[2]
+        most = np.searchsorted(n, np.minimum(n * 5 // 4, s * 9 // 4 - n), "right")
+        found = []
+        for x in np.flatnonzero(most > np.arange(len(n)) + 1):
+            y = np.arange(x + 1, most[x])
+            y = y[(root[y] != root[x]) & (4 * (n[x] + n[y]) <= 9 * s[y]) & (one_chunk | (chunk[y] != chunk[x]))]
+            y = y[9 * np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64) <= n[x] + n[y]]
+            if len(y):
+                found.append((np.full(len(y), node[x]), node[y], np.full(len(y), n[x]), n[y]))
+        if found:
+            a, b, na, nb = (np.concatenate(c) for c in zip(*found, strict=True))
+            swap = a > b
+            a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, na, nb, np.full(len(a), weight))], ["a", "b", "na", "nb", "weight"])
 
     for batch in batches:
-        lists = batch.column("members")
-        flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        node, root, extent, n = (flat.field(i).to_numpy() for i in range(4))
-        for i, (a, root_a, extent_a, na, weight) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "root_a", "extent_a", "na", "weight")), strict=True)):
-            if current is None or a != current[0]:
-                yield from out()
-                current, held, size = (a, na), [], 0
-            cut = slice(ends[i], ends[i + 1])
-            larger = (extent[cut] > extent_a) | ((extent[cut] == extent_a) & (root[cut] > root_a))
-            own = node[cut][larger]
-            if len(own):
-                held.append((own, np.full(len(own), weight), n[cut][larger].astype(np.int64)))
-                size += len(own)
-                if size > LONG_RUN:
-                    held = compact()
-                    size = len(held[0][0])
-    yield from out()
+        run, i, j = (batch.column(c).to_numpy() for c in ("run", "i", "j"))
+        if not len(run):
+            continue
+        cuts = np.flatnonzero((run[1:] != run[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(run)], strict=True):
+            key = (run[a], i[a], j[a])
+            if key != current:
+                yield from close()
+                held, current = [], key
+            held.append(batch.slice(a, b - a))
+    yield from close()
 
 
 class JaccardJoin:
     """Links between classes of ``docs`` (doc_id, text) at similarity 0.8, and the components they make."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = docs.select("doc_id", "text")
+        self.docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
         self.spark = docs.sparkSession
-        self.context = self.spark.sparkContext
-        self.sets: DataFrame | None = None
 
     def classes(self) -> None:
-        """Sizes and classes of the documents, the frequent shingles, and which classes can have a link at all.
+        """The documents with their classes, and the sets of the classes that can have a link at all.
 
         A link needs four fifths of a document's shingles in another one, so a document with fewer that any other has is
         out of it. Copies of one class count for each other.
         """
         buckets = shuffle_partitions(self.spark) * BUCKETS_A_PARTITION
-        sent = self.docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(buckets), _FACTS)
-        told = materialize(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_shared, _FACTS), "shingle-facts")
+        sent = self.docs.mapInArrow(_describe(buckets), _FACTS).repartition("bucket").sortWithinPartitions("bucket")
+        told = materialize(sent.mapInArrow(_count_shared, _FACTS), "shingle-facts")
         del sent
         release(self.spark)
-        members = told.where(F.col("kind") == DOCUMENT)
-        self.members = members.select("doc_id", "n", "node", "check", "text_key")
-        total, docs = self.members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        floor = max(2 * LOCAL_FLOOR, total // HEAVY_KEPT + 1, docs // 20_000)  # at most HEAVY_KEPT shingles are in so many documents
-        frequent = told.where(F.col("kind") == FREQUENT).groupBy("node").agg(F.sum("n").alias("uses")).where(F.col("uses") >= floor).toPandas()
-        token = frequent["node"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(token)
-        self.heavy = self.context.broadcast((token[order], frequent["uses"].to_numpy().astype(np.int64)[order]))
+        self.members = told.where(F.col("kind") == DOCUMENT).select("batch", "place", "doc_id", "n", "low", "high", "text_key")
         shared = told.where(F.col("kind") == SHARED).select("batch", "data").repartition("batch").sortWithinPartitions("batch").mapInArrow(_sum_shared, "batch long, place int, shared long")
-        self.linkable = materialize(members.join(shared, ["batch", "place"]).where("shared * 5 >= n * 4 AND n > 0").select("node").distinct(), "linkable")
+        linkable = self.members.join(shared, ["batch", "place"]).where("shared * 5 >= n * 4 AND n > 0")
+        pick = F.coalesce("doc_id", "text_key").alias("pick")
+        wanted = linkable.groupBy("low", "high", "n").agg(F.min(F.struct(pick, "text_key")).alias("w")).select("w.pick", "w.text_key")
+        texts = self.docs.select(pick, "text_key", "text").join(wanted, ["pick", "text_key"], "left_semi").select("text")
+        made = texts.mapInArrow(_class_sets, "low long, high long, n long, parity binary, shingles array<long>")
+        one = made.groupBy("low", "high", "n").agg(F.any_value("parity").alias("parity"), F.any_value("shingles").alias("shingles"))
+        self.sets = materialize(one.withColumn("node", F.monotonically_increasing_id()), "class-sets")
+        release(self.spark)
 
-    def _array_of(self, nodes: DataFrame):
-        """A broadcast of sorted nodes, or of None beyond the bound."""
-        count = nodes.count()
-        return self.context.broadcast(np.sort(np.array([r.node for r in nodes.toLocalIterator()], np.int64)) if count <= BROADCAST_NODES else None)
+    def order(self) -> None:
+        """(node, n, s, common, prefix) of the classes that can still have a link: the number of shingles shared with any
+        class, the mean use of all, and the shared shingles of the prefix in the global order."""
+        tokens = self.sets.select("node", "n", F.explode("shingles").alias("token"))
+        uses = tokens.groupBy("token").agg(F.count("*").alias("uses")).where("uses > 1")
+        late = tokens.join(uses, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("late"), F.sum("uses").alias("used"))
+        known = late.withColumn("s", F.size("late").cast("long")).where("s * 5 >= n * 4").withColumn("common", F.col("used") / F.col("n"))
+        # n - ceil(4 n / 5) + 1 places, of which the shingles that no other class has take the first
+        known = known.withColumn("first", F.expr("s + 1 - (4 * n + 4) div 5")).where("first > 0")
+        self.known = materialize(known.select("node", "n", "s", "common", F.expr("slice(late, 1, int(first))")["token"].alias("prefix")), "class-order")
 
     def runs(self) -> DataFrame:
         """(run, node, weight): which classes share a shingle of their prefixes, and how many shingles a run stands for."""
-        wanted = self._array_of(self.linkable)
-        emitted = self.docs.mapInArrow(_prefixes(self.heavy, wanted), "n long, node long, check long, prefix array<long>")
-        if wanted.value is None:
-            emitted = emitted.join(self.linkable, "node", "left_semi")
-        distinct = emitted.groupBy("node", "check", "n").agg(F.any_value("prefix").alias("prefix"))
-        tokens = distinct.select(F.explode("prefix").alias("token"), "node")
-        sorted_ = tokens.repartition("token").sortWithinPartitions("token", "node")
-        made = sorted_.mapInArrow(_runs, "run long, node long, weight long")
-        runs = materialize(made.groupBy("run", "node").agg(F.sum("weight").alias("weight")), "runs")
-        del emitted, distinct, tokens, sorted_, made
-        release(self.spark)
-        return runs
-
-    def _sets_of(self, nodes: DataFrame) -> DataFrame:
-        """(node, shingles) of the wanted classes."""
-        wanted = self._array_of(nodes)
-
-        def emitted(batches):
-            keep = wanted.value
-            for batch in batches:
-                found = []
-                with np.errstate(over="ignore"):
-                    for s in _sets(batch):
-                        key = class_key(s)[0] if len(s) else None
-                        if key is not None and _has(keep, key):
-                            found.append((key, s.view(np.int64)))
-                        if len(found) >= 500:
-                            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["node", "shingles"])
-                            found = []
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["node", "shingles"])
-
-        every = self.docs.mapInArrow(emitted, "node long, shingles array<long>")
-        if wanted.value is None:
-            every = every.join(nodes, "node", "left_semi")
-        return materialize(every.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingle-sets")
+        tokens = self.known.select("node", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "node")
+        made = tokens.mapInArrow(_runs, "run long, node long, weight long")
+        return materialize(made.groupBy("run", "node").agg(F.sum("weight").alias("weight")), "runs")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the similarity."""
-        nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        if self.sets is None:  # of every class that can have a link, once
-            self.sets = self._sets_of(self.linkable)
-        sets = self.sets.join(nodes, "node", "left_semi")
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+        left = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+        right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
         joined = pairs.select("a", "b").join(left, "a").join(right, "b")
         same = F.size(F.array_intersect("of_a", "of_b"))
-        found = materialize(joined.where(same * 9 >= (F.size("of_a") + F.size("of_b")) * 4).select("a", "b"), "links")
-        del sets, left, right, joined
-        release(self.spark)
-        return found
-
-    def _with_sizes(self, pairs: DataFrame) -> DataFrame:
-        """Sums the partial overlaps per pair; keeps pairs whose sizes allow the similarity."""
-        sizes = self.members.groupBy("node").agg(F.max("n").alias("n"))
-        summed = pairs.groupBy("a", "b").agg(F.sum("weight").alias("partial"))
-        summed = summed.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        return summed.where(F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4)
-
-    def _likely(self, pairs: DataFrame) -> DataFrame:
-        """For each class a its ``LIKELY`` partners b with the largest partial overlap: work to do first, not a filter,
-        as the full join comes back to every pair that is left."""
-        ranked = self._with_sizes(pairs).withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("partial"), "b")))
-        return ranked.where(F.col("rank") <= LIKELY).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def _across(self, labelled: DataFrame) -> DataFrame:
-        """Pairs of different components whose overlaps, summed over all fragments, still allow the similarity.
-
-        A class asks the larger components (by size, then root) it meets in its runs. A run's classes travel as arrays of
-        at most ``CHUNK`` entries and are counted per asking class, so rows grow with the runs, not with their squares.
-        """
-        sizes = self.members.groupBy("node").agg(F.max("n").alias("n"))
-        known = materialize(labelled.join(sizes, "node"), "runs-sized")
-        extent = known.select("root", "node").distinct().groupBy("root").agg(F.count("*").alias("extent"))
-        placed = materialize(known.join(extent, "root"), "runs-placed")
-        longest = placed.groupBy("run").count().agg(F.max("count")).first()[0] or 1
-        part = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(longest // CHUNK + 1))
-        entry = F.struct("node", "root", F.col("extent").cast("int").alias("extent"), F.col("n").cast("int").alias("n"))
-        members = placed.groupBy("run", part.alias("part")).agg(F.collect_list(entry).alias("members"))
-        most = placed.groupBy("run").agg(F.max(F.struct("extent", "root")).alias("most"))
-        asking = placed.join(most, "run").where(F.struct("extent", "root") < F.col("most")).select("run", "weight", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("extent").alias("extent_a"), F.col("n").alias("na"))
-        met = asking.join(members, "run").select("a", "root_a", "extent_a", "na", "weight", "members")
-        pairs = met.repartition("a").sortWithinPartitions("a").mapInArrow(_count_across, "a long, b long")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return materialize(joined.where(same * 9 >= (F.size("of_a") + F.size("of_b")) * 4).select("a", "b"), "links")
+
+    def likely(self, runs: DataFrame) -> DataFrame:
+        """One pair for each class a: with the most used class b of its runs that its bounds allow. Work to do first, not a
+        filter: the full count comes back to every pair of different components."""
+        level = F.floor(F.log(1.25, F.col("n"))).cast("int")  # a link's sizes differ by one level at most
+        own = F.struct("common", "node", "n", "s")
+        placed = runs.join(self.known.drop("prefix"), "node").select("run", level.alias("level"), own.alias("own"))
+        most = placed.groupBy("run", "level").agg(F.max("own").alias("top"))
+        asked = placed.select("run", "own", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
+        better = asked.join(most, ["run", "level"]).where((F.col("top") > F.col("own")) & can_link("own", "top"))
+        return better.groupBy(F.col("own.node").alias("a")).agg(F.max("top").alias("top")).select("a", F.col("top.node").alias("b"))
+
+    def across(self, runs: DataFrame, links: DataFrame) -> DataFrame:
+        """Pairs of different components whose overlaps, summed over the fragments, still allow the similarity."""
+        known = self.known.drop("prefix", "common").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = materialize(runs.join(known, "node"), "runs-placed")
+        mixed = placed.groupBy("run").agg(F.min("root").alias("least"), F.max("root").alias("greatest"), F.count("*").alias("size")).where("least <> greatest")
+        chunks = F.ceil(F.col("size") / CHUNK)
+        entries = placed.join(mixed, "run").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).join(self.sets.select("node", "parity"), "node")
+        cells = entries.withColumn("other", F.explode(F.sequence(F.lit(0), chunks.cast("int") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+        dealt = cells.select("run", "i", "j", "node", "root", "n", "s", "chunk", "weight", "parity").repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "n")
+        pairs = dealt.mapInArrow(_pairs_across, "a long, b long, na long, nb long, weight long")
+        summed = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("weight").alias("partial"))
+        # beyond the prefixes there is at most the longer of what the sets have after them
+        return summed.where("partial >= (4 * (na + nb) + 8) div 9 - greatest((4 * na + 4) div 5, (4 * nb + 4) div 5) + 1").select("a", "b")
 
     def links(self) -> DataFrame:
         """Links that connect every component, checked on whole sets."""
         self.classes()
+        self.order()
         runs = self.runs()
-        # the class whose shingles most others share is the likely original of a group of edited copies
-        sizes = runs.groupBy("run").agg(F.count("*").alias("size"))
-        shared = runs.join(sizes, "run").groupBy("node").agg((F.sum(F.col("size") * F.col("weight")) / F.sum("weight")).alias("common"))
-        ranked = materialize(runs.join(shared, "node"), "runs-ranked")
-        middle = ranked.groupBy("run").agg(F.max(F.struct("common", "node")).alias("m")).select("run", F.col("m.node").alias("b"))
-        star = ranked.join(middle, "run").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b", "weight")
-        tried = materialize(self._likely(star), "pairs")
-        links = self.verified(tried)
-        for ring in range(RINGS):
-            labelled = self._apart(runs, links)
-            order = W.partitionBy("run").orderBy(F.xxhash64("node", "run", F.lit(ring)), "node")
-            beside = labelled.select("run", "root", "weight", F.col("node").alias("a"), F.lag("node").over(order).alias("b"), F.lag("root").over(order).alias("other"))
-            pairs = beside.where(F.col("root") != F.col("other")).select("a", "b", "weight")
-            fresh = materialize(self._likely(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
-            if not fresh.limit(1).count():
-                break
-            found = self.verified(fresh)
-            tried, links = tried.unionByName(fresh), links.unionByName(found)
-            if not found.limit(1).count():
-                break
-        across = self._across(self._apart(runs, links))
-        last = materialize(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if last.limit(1).count():
-            links = links.unionByName(self.verified(last))
-        return links
-
-    def _apart(self, runs: DataFrame, links: DataFrame) -> DataFrame:
-        """The runs that hold classes of different components, with each class's root."""
-        roots = components(links)
-        labelled = runs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = labelled.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("run")
-        return materialize(labelled.join(mixed, "run", "left_semi"), "runs-apart")
+        first = self.verified(self.likely(runs))
+        rest = self.verified(self.across(runs, first))
+        release(self.spark)
+        return first.unionByName(rest)
 
     def result(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id, text_key): the smallest doc_id that links reach."""
+        """(doc_id, n_shingles, component_id, text_key): the smallest doc_id that links, or equal sets, reach."""
         roots = components(self.links())
-        named = self.members.where("n > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        linked = named.join(names, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key")
-        alone = self.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key")
-        return linked.unionByName(alone)
+        key = ["low", "high", "n"]
+        named = self.sets.select(*key, "node").join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("root"))
+        least = self.members.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("least"))
+        placed = materialize(named.join(least, key), "classes-placed")
+        names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+        linked = placed.join(names, "root").select(*key, "component_id")
+        joined = self.members.join(linked.withColumn("in_class", F.lit(True)), key, "left")  # a document without a class that can link is alone
+        return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("in_class"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_key")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each component the row of the smallest doc_id stays, and of equal rows one."""
     result = JaccardJoin(docs).result()
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    gone = result.where(F.col("component_id") != F.col("doc_id")).select("doc_id", "text_key").distinct()
-    kept = keyed.join(gone, ["doc_id", "text_key"], "left_anti")
-    repeated = result.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "text_key").count().where("count > 1")
+    key = new_name("text_key", docs)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    result = materialize(result.withColumnRenamed("text_key", key), "near-copies")
+    gone = result.where(F.col("component_id") != F.col("doc_id")).select("doc_id", key).distinct()
+    kept = keyed.join(gone, ["doc_id", key], "left_anti")
+    repeated = result.where(F.col("doc_id").isNotNull()).groupBy("doc_id", key).count().where("count > 1")
     if repeated.limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text_key"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["doc_id", key])
+    return kept.drop(key)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
