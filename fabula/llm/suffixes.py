@@ -1,17 +1,17 @@
 """Suffix-array dedup: bytes of strings of 50 that also start in a document with a smaller doc_id.
 
-Any two equal strings of 50 bytes hold the same anchors: 20-byte strings whose hash is the least among the 31 of some 50
-bytes. So only anchors travel. Where the whole neighbourhood of an anchor (all strings of 50 around it) is that of a
-smaller document, every string there repeats; such copies collapse to their first document, first inside a batch, then
-across batches. What is left is one neighbourhood per different text; those whose anchor has several documents go into
-shards by anchor. Each shard builds a suffix array by Larsson-Sadakane refinement, takes common prefixes of neighbours in
-the array in Kasai's text order, and finds for every string of 50 the smallest document that has it. An anchor with more
-neighbourhoods than a shard holds goes through several shards in doc_id order, and each looks its strings up in the sorted
-strings of the earlier ones by binary search.
+Every string of 50 bytes has one anchor: of its 31 strings of 20 bytes the one with the least hash, the first if several
+have it. Equal strings have equal anchors, so an anchor's strings can be judged alone. Neighbouring strings with one anchor
+are a stretch, and only stretches travel, by hash. A stretch that a smaller document has too repeats as a whole; such
+copies collapse to their first document, first inside a batch, then across batches. What is left is one stretch per
+different text; those whose anchor has several documents go, as bytes, into shards by anchor. Each shard builds a suffix
+array by Larsson-Sadakane refinement, takes common prefixes of neighbours in the array by Kasai's scan, and finds for
+every string of 50 the smallest document that has it. An anchor with more stretches than a shard holds goes through
+several shards in doc_id order, and each looks its strings up in the sorted strings of the earlier ones by binary search.
 
 Defined cases: a null text is empty; texts under 50 bytes lose nothing; rows that repeat a doc_id don't match each other
-and answer each for itself (told apart by a 16-bit tag of their texts); a null doc_id matches nothing. Neighbourhoods are
-told apart by 64-bit hashes beside their anchors, strings in shards by their bytes.
+and answer each for itself (told apart by a 16-bit tag of their texts); a null doc_id matches nothing. Stretches are told
+apart by 64-bit hashes beside those of their anchors, strings in shards by their bytes.
 """
 
 from __future__ import annotations
@@ -21,18 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm.common import _BASE, _BYTES, documents, materialize, mix64, pieces, release, shuffle_partitions, utf8
+from fabula.llm.common import _BASE, _BYTES, documents, materialize, mix64, pieces, release, segment_sums, shuffle_partitions, utf8
 
 SPAN = 50
 ANCHOR = 20
 WINDOW = SPAN - ANCHOR + 1
-REACH = SPAN - ANCHOR
 PIECE = 2_000_000
 #: Bytes of a shard: positions fit in 21 bits, so a rank pair and a position are one 64-bit sort key.
 SHARD = 1 << 21
 BUCKETS_A_PARTITION = 8
-RECORD = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("doc", "<u4"), ("place", "<u4"), ("tag", "<u2")])
-ASKED = np.dtype([("place", "<u4"), ("anchor", "<i8")])
+#: ``size`` is the bytes of a stretch, 80 at most.
+RECORD = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("doc", "<u4"), ("place", "<u4"), ("tag", "<u2"), ("size", "u1")])
+ASKED = np.dtype([("place", "<u4"), ("size", "u1"), ("anchor", "<i8")])
+PLACE = np.dtype([("place", "<u4"), ("size", "u1")])
+LANE = 64
 
 
 def _window_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -47,11 +49,21 @@ def _window_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, at: np.ndarray):
-    """Row, place in the row, hash, and hash of the neighbourhood of every anchor of a batch."""
+    """Row, place in the row, size, hash of the anchor, and hash of every stretch of a batch."""
+    if len(raw) <= SHARD:
+        return _stretches(raw, at)
+    found = []  # one long text, in parts that overlap by a string less a byte
+    for a in range(0, len(raw) - SPAN + 1, SHARD - SPAN + 1):
+        row, place, *rest = _stretches(raw[a : a + SHARD], np.clip(at - a, 0, min(SHARD, len(raw) - a)))
+        found.append((row, place + np.maximum(a - at[row], 0), *rest))  # places count from the row's start
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _stretches(raw: np.ndarray, at: np.ndarray):
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n < SPAN:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
     power = np.ones(n + 1, np.uint64)
     power[1:] = np.uint64(_BASE)
     power = np.cumprod(power, dtype=np.uint64)
@@ -61,16 +73,22 @@ def anchors(raw: np.ndarray, at: np.ndarray):
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[raw] * power[:n], dtype=np.uint64, out=total[1:])
     h = mix64((total[ANCHOR:] - total[:-ANCHOR]) * back[: n - ANCHOR + 1])
-    least = _window_min(h, WINDOW)
-    edge = np.zeros(WINDOW - 1, np.uint64)
-    most = ~_window_min(~np.concatenate((edge, least, edge)), WINDOW)
-    place = np.flatnonzero(h == most[: len(h)])
-    row = np.searchsorted(at, place, "right") - 1
-    inside = place + ANCHOR <= at[row + 1]
-    place, row = place[inside], row[inside]
-    start, end = np.maximum(place - REACH, at[row]), np.minimum(place + SPAN, at[row + 1])
+    low = np.uint64(SHARD - 1)
+    least = _window_min(h & ~low | np.arange(len(h), dtype=np.uint64), WINDOW)  # hash, then place
+    whole = np.ones(len(least), bool)
+    for back_by in range(1, SPAN):  # strings that cross the end of a row
+        edge = at[1:-1] - back_by
+        whole[edge[(edge >= 0) & (edge < len(whole))]] = False
+    first = whole.copy()
+    first[1:] &= (least[1:] != least[:-1]) | ~whole[:-1]
+    start = np.flatnonzero(first)
+    last = whole.copy()
+    last[:-1] &= (least[1:] != least[:-1]) | ~whole[1:]
+    end = np.flatnonzero(last) + SPAN
+    place = (least[start] & low).astype(np.int64)
+    row = np.searchsorted(at, start, "right") - 1
     around = mix64((total[end] - total[start]) * back[start] + ((end - start) * 64 + place - start).astype(np.uint64))
-    return row, place - at[row], h[place], around
+    return row, start - at[row], end - start, h[place], around
 
 
 def _groups(*columns: np.ndarray) -> np.ndarray:
@@ -83,7 +101,7 @@ def _groups(*columns: np.ndarray) -> np.ndarray:
 
 
 def _first_documents(records: np.ndarray):
-    """Records sorted by (anchor, around, doc), and whether each belongs to the first document of its neighbourhood."""
+    """Records sorted by (anchor, around, doc), and whether each belongs to the first document of its stretch."""
     records = records[np.lexsort((records["doc"], records["around"], records["anchor"]))]
     starts = _groups(records["anchor"], records["around"])
     sizes = np.diff(np.concatenate((starts, [len(records)])))
@@ -127,11 +145,11 @@ def _send_rows(raw, at, ids, tags, rows, buckets):
     keep = np.zeros(len(ids), bool)
     keep[rows] = True
     for a, b in pieces(at, PIECE):
-        row, place, anchor, around = anchors(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+        row, place, size, anchor, around = anchors(raw[at[a] : at[b]], at[a : b + 1] - at[a])
         row += a
         own = keep[row]
         made = np.empty(int(own.sum()), RECORD)
-        made["anchor"], made["around"], made["place"] = anchor[own], around[own], place[own]
+        made["anchor"], made["around"], made["place"], made["size"] = anchor[own], around[own], place[own], size[own]
         made["doc"], made["tag"] = ids[row[own]] - base, tags[row[own]]
         found.append(made)
     records = np.concatenate(found)
@@ -169,20 +187,26 @@ def _by_document(records: np.ndarray):
     return records, _groups(records["doc"], records["tag"]) if len(records) else np.zeros(0, int)
 
 
+def _places(records: np.ndarray) -> bytes:
+    made = np.empty(len(records), PLACE)
+    made["place"], made["size"] = records["place"], records["size"]
+    return made.tobytes()
+
+
 def _answers(records: np.ndarray, base: int, bucket):
     """Places that repeat, one row per document."""
     records, starts = _by_document(records)
     if len(starts):
         ends = np.concatenate((starts[1:], [len(records)]))
         docs = records["doc"][starts].astype(np.int64) + base
-        yield pa.RecordBatch.from_arrays([pa.array([bucket(int(d)) for d in docs], pa.int32()), pa.array(docs), pa.array(records["tag"][starts].astype(np.int32)), pa.array([records["place"][a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], ["bucket", "base", "tag", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([bucket(int(d)) for d in docs], pa.int32()), pa.array(docs), pa.array(records["tag"][starts].astype(np.int32)), pa.array([_places(records[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary())], ["bucket", "base", "tag", "data"])
 
 
 _FOUND = "doc_id long, tag int, places binary, asked binary"
 
 
 def _compare(batches):
-    """Bucket by bucket: copies of a neighbourhood point to its first document, different neighbourhoods of an anchor are asked."""
+    """Bucket by bucket: copies of a stretch point to its first document, different stretches of an anchor are asked."""
     held: list[np.ndarray] = []
     current = None
 
@@ -211,10 +235,10 @@ def _compare(batches):
             for a, b in zip(at, ends, strict=True):
                 if is_asked:
                     blob = np.empty(b - a, ASKED)
-                    blob["place"], blob["anchor"] = part["place"][a:b], part["anchor"][a:b].view(np.int64)
+                    blob["place"], blob["size"], blob["anchor"] = part["place"][a:b], part["size"][a:b], part["anchor"][a:b].view(np.int64)
                     blobs.append(blob.tobytes())
                 else:
-                    blobs.append(part["place"][a:b].tobytes())
+                    blobs.append(_places(part[a:b]))
             empty = [None] * len(blobs)
             yield row_batch(part["doc"][at] + low, part["tag"][at].astype(np.int32), empty if is_asked else blobs, blobs if is_asked else empty)
 
@@ -235,19 +259,31 @@ def _compare(batches):
 _NEAR = "anchor long, doc_id long, tag int, start long, near binary"
 
 
+def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of ranges, one after the other."""
+    end = np.cumsum(size)
+    return raw[np.repeat(start - (end - size), size) + np.arange(int(size.sum()))]
+
+
+def _binary(raw: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A binary column out of its bytes and the sizes of its values."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
 def _neighbourhoods(batches):
-    """The bytes around the asked anchors of a document."""
+    """The bytes of the asked stretches of each document."""
     for batch in batches:
-        rows = []
-        for doc, tag, text, lists in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "asked")), strict=True):
-            raw = text.encode()
-            for ask in np.concatenate([np.frombuffer(x, ASKED) for x in lists]):
-                start = max(0, int(ask["place"]) - REACH)
-                end = min(len(raw), int(ask["place"]) + SPAN)
-                if end - start >= SPAN:
-                    rows.append((int(ask["anchor"]), doc, tag, start, raw[start:end]))
-        columns = zip(*rows, strict=True) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["anchor", "doc_id", "tag", "start", "near"])
+        raw, at = utf8(batch.column("text"))
+        docs, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
+        for a, b in pieces(at, PIECE):
+            lists = [np.concatenate([np.frombuffer(x, ASKED) for x in blobs]) for blobs in batch.column("asked").slice(a, b - a).to_pylist()]
+            ask = np.concatenate(lists)
+            row = np.repeat(np.arange(a, b), [len(x) for x in lists])
+            place, size = ask["place"].astype(np.int64), ask["size"].astype(np.int64)
+            for c in range(0, len(ask), 500_000):
+                d = slice(c, c + 500_000)
+                near = _binary(_gather(raw, at[row[d]] + place[d], size[d]), size[d])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ask["anchor"][d])), pa.array(docs[row[d]]), pa.array(tags[row[d]]), pa.array(place[d]), near], ["anchor", "doc_id", "tag", "start", "near"])
 
 
 def suffix_array(text: np.ndarray, depth: int = SPAN) -> np.ndarray:
@@ -295,30 +331,38 @@ def suffix_array(text: np.ndarray, depth: int = SPAN) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = SPAN) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in the array, up to ``cap``.
+    """Common prefix of each suffix with the one before it in the array, up to ``cap``, by Kasai's scan.
 
-    As Kasai's algorithm does, it goes through the text in its order with each suffix's predecessor at hand; here all
-    places advance together, eight bytes a step, until their first difference.
+    The scan goes through the text in its order: a place's prefix is at most one byte shorter than that of the place
+    before, so each place only reads on from there. After a prefix of ``cap`` a place reads afresh, since suffixes equal
+    that far are not in order. Lanes of ``LANE`` places are scanned side by side, eight bytes a step.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    words = np.lib.stride_tricks.as_strided(padded, (n + 1, 8), (1, 1))
     word = np.zeros(n + 1, np.uint64)
     for i in range(8):
-        word |= words[:, i].astype(np.uint64) << np.uint64(8 * i)
-    length = np.zeros(n, np.int64)
-    alive = np.flatnonzero(before >= 0)
-    for step in range(0, cap, 8):
-        a, b = np.minimum(alive + step, n), np.minimum(before[alive] + step, n)
-        differ = word[a] ^ word[b]
-        same = differ == 0
-        low = differ & (~differ + np.uint64(1))
-        length[alive] = step + np.where(same, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8)
-        alive = alive[same]
-    room = n - np.maximum(np.arange(n), before)
-    return np.minimum(np.minimum(length, room), cap)[order]
+        word |= padded[i : n + 1 + i].astype(np.uint64) << np.uint64(8 * i)
+    out = np.zeros(n, np.int64)
+    lanes = np.arange(0, n, LANE)
+    length = np.zeros(len(lanes), np.int64)
+    for turn in range(min(LANE, n)):
+        at = lanes + turn
+        if at[-1] >= n:
+            lanes, at, length = lanes[:-1], at[:-1], length[:-1]
+        other = before[at]
+        length = np.where((other < 0) | (length == cap), 0, np.maximum(length - 1, 0))
+        alive = np.flatnonzero((other >= 0) & (length < cap))
+        while len(alive):
+            differ = word[np.minimum(at[alive] + length[alive], n)] ^ word[np.minimum(other[alive] + length[alive], n)]
+            low = differ & (~differ + np.uint64(1))
+            step = np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8)
+            length[alive] += step
+            alive = alive[(step == 8) & (length[alive] < cap)]
+        length = np.minimum(np.minimum(length, n - np.maximum(at, other)), cap)
+        out[at] = length
+    return out[order]
 
 
 class Merged:
@@ -344,10 +388,10 @@ class Merged:
             self.runs = [(joined[starts], np.minimum.reduceat(every, starts))]
 
 
-def repeated_windows(near: list[bytes], docs: np.ndarray, merged: Merged | None = None, keep: bool = False):
-    """(neighbourhood, offset) of the strings of 50 that a smaller document of this shard, or of the merged ones, holds."""
-    text = np.frombuffer(b"".join(near), np.uint8)
-    at = np.concatenate(([0], np.cumsum([len(x) for x in near])))
+def repeated_windows(text: np.ndarray, at: np.ndarray, docs: np.ndarray, merged: Merged | None = None, keep: bool = False):
+    """(stretch, offset) of the strings of 50 that a smaller document of this shard, or of the merged ones, holds.
+
+    The stretches are ``text[at[i] : at[i + 1]]``."""
     order = suffix_array(text)
     group = np.cumsum(common_prefixes(text, order) < SPAN)
     owner = np.searchsorted(at, order, "right") - 1
@@ -371,71 +415,98 @@ _SPANS = "doc_id long, tag int, spans binary"
 
 
 def _shards(batches):
-    """Neighbourhoods come sorted by (anchor, doc_id): shards of whole anchors, or of a part of an anchor too large for one."""
-    held: list[tuple] = []
+    """Stretches come sorted by (anchor, doc_id): shards of whole anchors, or of a part of an anchor too large for one."""
+    names = ("anchor", "doc_id", "tag", "start")
+    held: list[tuple] = []  # columns, the bytes, and their sizes
     size = 0
     merged, of = None, None
 
-    def run(rows, keep):
+    def run(columns, text, at, keep):
         nonlocal merged, of
-        anchor = rows[0][0]
-        if not (merged is not None and of == anchor):
-            merged, of = (Merged(), anchor) if keep else (None, None)
-        docs = np.array([r[1] for r in rows], np.int64)
-        owner, offset = repeated_windows([r[4] for r in rows], docs, merged, keep)
-        if len(owner):
-            tags, base = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
-            start = base[owner] + offset
-            sort = np.lexsort((start, tags[owner], docs[owner]))
-            doc, tag, start = docs[owner][sort], tags[owner][sort], start[sort]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > start[:-1] + SPAN)
-            heads = np.flatnonzero(new)
-            pairs = np.column_stack((start[heads], start[np.concatenate((heads[1:] - 1, [len(doc) - 1]))] + SPAN)).astype("<i8")
-            rows_ = _groups(doc[heads], tag[heads])
-            ends = np.concatenate((rows_[1:], [len(heads)]))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[heads][rows_]), pa.array(tag[heads][rows_], pa.int32()), pa.array([pairs[a:b].tobytes() for a, b in zip(rows_, ends, strict=True)], pa.binary())], ["doc_id", "tag", "spans"])
+        anchor, docs, tags, base = columns
+        if not (merged is not None and of == anchor[0]):
+            merged, of = (Merged(), anchor[0]) if keep else (None, None)
+        owner, offset = repeated_windows(text, at, docs, merged, keep)
+        if not len(owner):
+            return
+        start = base[owner] + offset
+        sort = np.lexsort((start, tags[owner], docs[owner]))
+        doc, tag, start = docs[owner][sort], tags[owner][sort], start[sort]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > start[:-1] + SPAN)
+        heads = np.flatnonzero(new)
+        pairs = np.column_stack((start[heads], start[np.concatenate((heads[1:] - 1, [len(doc) - 1]))] + SPAN)).astype("<i8")
+        rows = _groups(doc[heads], tag[heads])
+        ends = np.concatenate((rows[1:], [len(heads)]))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[heads][rows]), pa.array(tag[heads][rows], pa.int32()), _binary(pairs.view(np.uint8).ravel(), (ends - rows) * 16)], ["doc_id", "tag", "spans"])
+
+    def close(final: bool):
+        """Runs what is held, all of it or up to its last anchor."""
+        nonlocal held, size
+        if not held:
+            return
+        columns = [np.concatenate([h[0][i] for h in held]) for i in range(len(names))]
+        text, sizes = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        heads = _groups(columns[0])
+        cuts = [0]
+        if of is not None and columns[0][0] == of and len(heads) > 1:  # the first anchor goes on from the shard before
+            cuts.append(int(heads[1]))
+        rest = len(sizes)
+        if not final and len(heads) > 1:
+            rest = int(heads[-1])
+        cuts = [c for c in cuts if c < rest] + [rest]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            whole = final and not (of is not None and columns[0][a] == of) or b < len(sizes)
+            keep = not whole or (of is not None and columns[0][a] == of)
+            yield from run([c[a:b] for c in columns], text[at[a] : at[b]], at[a : b + 1] - at[a], keep)
+        held = [([c[rest:] for c in columns], text[at[rest] :], sizes[rest:])] if rest < len(sizes) else []
+        size = len(text) - int(at[rest])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "tag", "start", "near")), strict=True):
-            if held and size + len(row[4]) > SHARD:
-                last = next((i for i in range(len(held) - 1, 0, -1) if held[i][0] != held[i - 1][0]), 0)
-                cut = last or len(held)
-                yield from run(held[:cut], keep=not last)
-                held = held[cut:]
-                size = sum(len(r[4]) for r in held)
-            held.append(row)
-            size += len(row[4])
-    if held:
-        # the first anchor may go on from the shard before
-        cut = next((i for i in range(1, len(held)) if held[i][0] != held[0][0]), len(held)) if held[0][0] == of else 0
-        if cut:
-            yield from run(held[:cut], keep=True)
-        if held[cut:]:
-            yield from run(held[cut:], keep=False)
+        if not batch.num_rows:
+            continue
+        near = batch.column("near")
+        offsets = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1].astype(np.int64)
+        raw = np.frombuffer(near.buffers()[2], np.uint8)
+        columns = [batch.column(c).to_numpy() for c in names]
+        for a, b in pieces(offsets, SHARD // 4):
+            more = int(offsets[b] - offsets[a])
+            if held and size + more > SHARD:
+                yield from close(False)
+                if held and size + more > SHARD:
+                    yield from close(False)
+            held.append(([c[a:b].copy() for c in columns], raw[offsets[a] : offsets[b]].copy(), np.diff(offsets[a : b + 1])))
+            size += more
+    yield from close(True)
 
 
 def _keep(batches):
     for batch in batches:
-        rows = []
-        for doc, text, places, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places", "spans")), strict=True):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            edge = np.zeros(len(raw) + 1, np.int32)
-            for place in places or ():
-                p = np.frombuffer(place, np.uint32).astype(np.int64)
-                a, b = np.maximum(p - REACH, 0), np.minimum(p + SPAN, len(raw))
-                long_enough = b - a >= SPAN
-                np.add.at(edge, a[long_enough], 1)
-                np.add.at(edge, b[long_enough], -1)
-            for span in spans or ():
-                pair = np.frombuffer(span, "<i8").reshape(-1, 2)
-                np.add.at(edge, pair[:, 0], 1)
-                np.add.at(edge, pair[:, 1], -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            starts = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-            rows.append((doc, len(raw), int(gone.sum()), starts, raw[~gone].tobytes()))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        every, offsets = utf8(batch.column("text"))
+        for a, b in pieces(offsets, 8 * PIECE):
+            raw, at = every[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            own = batch.slice(a, b - a)
+            for base, places, spans in zip(at[:-1], own.column("places").to_pylist(), own.column("spans").to_pylist(), strict=True):
+                for place in places or ():
+                    p = np.frombuffer(place, PLACE)
+                    first = p["place"].astype(np.int64) + base
+                    starts.append(first)
+                    ends.append(first + p["size"])
+                for span in spans or ():
+                    pair = np.frombuffer(span, "<i8").reshape(-1, 2) + base
+                    starts.append(pair[:, 0])
+                    ends.append(pair[:, 1])
+            n = len(raw)
+            depth = np.bincount(np.concatenate(starts), minlength=n + 1) - np.bincount(np.concatenate(ends), minlength=n + 1)
+            gone = np.cumsum(depth[:-1]) > 0
+            begun = gone.copy()
+            begun[1:] &= ~gone[:-1]
+            begun[at[:-1][at[:-1] < n]] = gone[at[:-1][at[:-1] < n]]
+            removed, heads = segment_sums(gone.astype(np.int64), at), segment_sums(begun.astype(np.int64), at)
+            size = np.diff(at)
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(size), pa.array(removed), pa.array(heads), _binary(raw[~gone], size - removed)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:

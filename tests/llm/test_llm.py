@@ -119,22 +119,23 @@ def test_suffixes_are_brute_force(rows, docs, empty):
 
 def test_suffix_array_and_shards():
     rng = np.random.default_rng(1)
-    text = np.concatenate([rng.integers(97, 100, 3000), np.tile([97, 98], 200), np.zeros(70)]).astype(np.uint8)
+    text = np.concatenate([rng.integers(97, 100, 3000), np.tile([97, 98], 200), np.zeros(70), np.tile(rng.integers(97, 123, 90), 5), rng.integers(97, 99, 500)]).astype(np.uint8)
     order, raw = suffixes.suffix_array(text), text.tobytes()
     assert sorted(order) == list(range(len(raw)))
     heads = [raw[i : i + 50] for i in order]
     assert all(a <= b or b.startswith(a) or a.rstrip(b"\0") == b.rstrip(b"\0") for a, b in zip(heads, heads[1:], strict=False))
     common = suffixes.common_prefixes(text, order)
-    for k in range(1, len(order), 37):
+    for k in range(1, len(order)):
         a, b = raw[order[k - 1] :][:50], raw[order[k] :][:50]
         assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     near = [bytes(rng.integers(97, 99, 80).astype(np.uint8)) for _ in range(30)]
     near += [near[3], near[7][:60]]
     docs = np.sort(rng.integers(0, 20, len(near)))
-    whole = set(zip(*suffixes.repeated_windows(near, docs), strict=True))
+    joined = lambda parts: (np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0] + [len(p) for p in parts]))
+    whole = set(zip(*suffixes.repeated_windows(*joined(near), docs), strict=True))
     merged, parts = suffixes.Merged(), set()
     for a in range(0, len(near), 7):
-        owner, at = suffixes.repeated_windows(near[a : a + 7], docs[a : a + 7], merged, keep=True)
+        owner, at = suffixes.repeated_windows(*joined(near[a : a + 7]), docs[a : a + 7], merged, keep=True)
         parts |= set(zip(owner + a, at, strict=True))
     assert parts == whole
 
@@ -403,3 +404,33 @@ def test_more_languages_than_a_word_has_bits(spark):
         made.add(keys[10 * i : 10 * i + 10], i)
     mask = made.languages(keys)
     assert all(made.has(mask[10 * i : 10 * i + 10], i).all() for i in range(65)) and made.has(mask, 64).sum() < 20
+
+
+def test_long_texts_and_hot_anchors(monkeypatch):
+    """Parts of a long text, and several shards of one anchor, give what one part and one shard give."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    raw = rng.integers(97, 99, 9000).astype(np.uint8)
+    at = np.array([0, 10, 10, 5000, 9000])
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["anchor", "doc_id", "tag", "start", "near"])
+    rows = [(int(rng.integers(0, 3)) if i % 2 else 5, int(rng.integers(0, 40)), 0, i * 100, bytes(rng.integers(97, 99, 57).astype(np.uint8))) for i in range(400)]
+    rows = sorted(rows + [(a, d, 1, 7 * i, near) for i, (a, _, _, _, near) in enumerate(rows[:60:7]) for d in (0, 20, 41, 42)])
+
+    def strings():
+        row, place, size, anchor, _ = suffixes.anchors(raw, at)
+        return sorted((int(at[r]) + int(p) + k, int(h)) for r, p, z, h in zip(row, place, size, anchor, strict=True) for k in range(int(z) - 49))
+
+    def bytes_gone():
+        out = set()
+        for made in suffixes._shards(iter([batch(rows[:150]), batch(rows[150:])])):
+            for d, tag, spans in zip(*(made.column(c).to_pylist() for c in ("doc_id", "tag", "spans")), strict=True):
+                out |= {(d, tag, i) for a, b in np.frombuffer(spans, "<i8").reshape(-1, 2) for i in range(a, b)}
+        return out
+
+    whole, gone = strings(), bytes_gone()
+    assert [x for x, _ in whole] == [i for a, b in zip(at, at[1:], strict=False) for i in range(a, b - 49)] and gone
+    for shard in (1 << 11, 1 << 12):
+        monkeypatch.setattr(suffixes, "SHARD", shard)
+        assert bytes_gone() == gone
+        assert [x for x, _ in strings()] == [x for x, _ in whole]
