@@ -2,15 +2,17 @@
 
 Quality classifier (rejected documents go), n-gram Jaccard join (one document of each group stays), benchmark
 decontamination (documents that hold an item go), mixing sources to target weights (documents are taken not at all, once
-or twice, in the order of their virtual finish times), token output (one row per document and time taken).
+or twice, in the order of their virtual finish times), token output in that order (one row per document and time taken).
 
 A stage is called with the session, the documents its predecessor kept, and the folder of the tables. SQL can't express
-the classifier or the tokenizer, so there is no ORACLE_SQL; tests hold each stage against a brute-force version.
+the classifier or the tokenizer, so there is no ORACLE_SQL; ``test_pipeline_is_brute_force`` holds each stage against a
+plain version of it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fabula.llm import decontam, jaccard, mixing, quality, tokens
 from fabula.llm.common import documents, materialize, release, table
@@ -41,7 +43,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.token_output(docs)
+    """The mix is read from Parquet, whose files and rows in them are in the order in which it was served."""
+    served = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    return tokens.token_output(served, order=("mix_file", "mix_row"))
 
 
 STAGES = [

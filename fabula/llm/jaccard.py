@@ -400,15 +400,15 @@ class JaccardJoin:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each component the row of the smallest doc_id stays, and of equal rows one."""
-    result = JaccardJoin(docs).result()
-    key = new_name("text_key", docs)
+    """The documents without near copies: of each component the row of the smallest doc_id stays, and of equal rows one.
+
+    A row with a null id goes if its component has a document with an id."""
+    key, gone_id = new_name("text_key", docs), new_name("gone_id", docs)
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    result = materialize(result.withColumnRenamed("text_key", key), "near-copies")
-    gone = result.where(F.col("component_id") != F.col("doc_id")).select("doc_id", key).distinct()
-    kept = keyed.join(gone, ["doc_id", key], "left_anti")
-    repeated = result.where(F.col("doc_id").isNotNull()).groupBy("doc_id", key).count().where("count > 1")
-    if repeated.limit(1).count():
+    result = materialize(JaccardJoin(docs).result(), "near-copies")
+    gone = result.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(key + "_")).distinct()
+    kept = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone[gone_id]) & (keyed[key] == gone[key + "_"]), "left_anti")
+    if result.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", key])
     return kept.drop(key)
 

@@ -218,7 +218,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END
         if ids:
             yield flush()
 
-    ordered = docs.repartitionByRange(*order[:-1] or order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered = docs.repartitionByRange(*[c for c in order if c != "text"]).sortWithinPartitions(*order).select("doc_id", "text")
     return materialize(ordered.mapInArrow(written, FILES), "token-files")
 
 

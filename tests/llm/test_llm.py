@@ -185,11 +185,11 @@ def test_tokens_round_trip(rows, docs, empty):
     for text, made in zip(texts, own.encode(texts), strict=True):
         assert list(made) == tokenizer.encode(text, add_special_tokens=False).ids
     want, start = [], 0
-    for r in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")):
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((r[0], start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    got = tokens.token_output(docs.where("doc_id IS NOT NULL")).orderBy("start").collect()
+    got = tokens.token_output(docs).orderBy("start").collect()
     assert [tuple(r) for r in got] == want
     assert tokens.token_output(empty).count() == 0
 
@@ -197,7 +197,7 @@ def test_tokens_round_trip(rows, docs, empty):
 def test_direct_codes():
     rng = np.random.default_rng(0)
     for ids in (np.array([5]), rng.integers(0, 49408, 10001), rng.integers(0, 200, 1000), rng.integers(0, 2**32 - 1, 5000)):
-        _, _, codes = tokens.unpack(tokens.pack(np.array([1]), np.array([len(ids)]), tokens.DirectCodes.of(ids)))
+        _, _, codes = tokens.unpack(tokens.pack([1], np.array([len(ids)]), tokens.DirectCodes.of(ids)))
         places = rng.permutation(len(ids))
         assert (codes.at(places) == ids[places]).all()
 
@@ -330,22 +330,69 @@ def test_language_learns(spark, empty):
     assert (mask[:600] & 1).all() and (mask[400:] & 2).all()
 
 
-def test_pipeline_stages(spark, tmp_path):
+def test_pipeline_is_brute_force(spark, tmp_path):
+    """Each stage against a plain version of it, on what the stage before kept: nulls, empty texts, repeated rows and ids."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    folder = str(tmp_path)
+    rng = random.Random(9)
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(160).collect()]
+    base += [base[3], base[3], (None, base[5][1], "en", None, 1), (9001, None, "en", "a", 0), (9002, "", None, "a", 0), (base[7][0], base[8][1], "de", "b", 3)]
+    rng.shuffle(base)
+    spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+    docs, seen = corpus_pipeline.documents(spark, folder), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        out.write.parquet(f"{folder}/{name}")
+        seen[name] = ([tuple(r) for r in docs.collect()], out.columns, [tuple(r) for r in spark.read.parquet(f"{folder}/{name}").collect()])
+        assert name == "tokens" or out.columns == docs.columns
+        docs = spark.read.parquet(f"{folder}/{name}")
+
+    given, _, kept = seen["quality"]
+    model = quality.fit(quality.document_statistics(spark.createDataFrame(given, docs_schema := "doc_id long, text string, lang string, source string, n_chars long").join(quality.learning_labels(spark, folder).select("doc_id").distinct(), "doc_id", "left_semi")), quality.learning_labels(spark, folder))
+    assert not collections.Counter(kept) - collections.Counter(given) and 0 < len(kept) < len(given)
+    good = {r.doc_id for r in quality.good_documents(spark.createDataFrame(given, docs_schema), model).collect()}
+    assert {r[0] for r in kept} == good
+
+    given, _, kept = seen["jaccard"]
+    sets = [shingles(r[1]) for r in given]
+    group = list(range(len(given)))
+    find = lambda i: i if group[i] == i else find(group[i])
+    for i in range(len(given)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common and 100 * common >= 80 * len(sets[i] | sets[j]) or given[i] == given[j]:
+                group[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(given):
+        if r[0] is not None:
+            least[find(i)] = min(r[0], least.get(find(i), r[0]))
+    want = {r for i, r in enumerate(given) if find(i) not in least or r[0] == least[find(i)]}
+    assert {r for r in kept} == want and len(kept) == len({(r[0], r[1]) for r in kept})
+
+    given, _, kept = seen["decontamination"]
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    leaks = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(given, docs_schema), items).collect()}
+    exact = {r[0] for r in given for i in items.collect() if i.text and len(i.text.split()) >= 5 and " ".join(i.text.lower().split()) in " ".join((r[1] or "").lower().split())}
+    assert exact <= {d for d, _ in leaks} | {None}
+    assert collections.Counter(kept) == collections.Counter(r for r in given if r[0] not in {d for d, _ in leaks})
 
-    folder = "/root/testdata/sf0.001"
-    docs = corpus_pipeline.documents(spark, folder)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, docs, folder)
-        path = str(tmp_path / name)
-        kept.write.parquet(path)
-        after = spark.read.parquet(path)
-        assert after.columns == docs.columns
-        if name != "mixing":
-            assert after.count() <= docs.count()
-        docs = after
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
-    assert out.count() == docs.count()
+    given, _, kept = seen["mixing"]
+    size = lambda t: len(WORDS.findall(t or ""))
+    taken = collections.Counter(r[:2] for r in kept)
+    assert set(taken) <= {r[:2] for r in given} and max(taken.values()) <= 2
+    assert abs(sum(size(r[1]) for r in kept) - 1.5 * sum(size(r[1]) for r in given)) <= 3 * max(size(r[1]) for r in given)
+
+    given, _, kept = seen["tokens"]
+    tokenizer, start = Tokenizer.from_file(tokens.vocabulary_path()), 0
+    served = [tuple(r) for r in spark.read.parquet(f"{folder}/mixing").selectExpr("doc_id", "text", "_metadata.file_name f", "_metadata.row_index i").orderBy("f", "i").collect()]
+    for (d, text, *_), row in zip(served, sorted(kept, key=lambda r: r[1]), strict=True):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert row == (d, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
 
 
 def test_decontamination_finds_moved_words(spark):
