@@ -380,8 +380,10 @@ class JaccardJoin:
         """Links that connect every component, checked on whole sets."""
         self.classes()
         self.order()
+        release(self.spark)
         runs = self.runs()
         first = self.verified(self.likely(runs))
+        release(self.spark)
         rest = self.verified(self.across(runs, first))
         release(self.spark)
         return first.unionByName(rest)
