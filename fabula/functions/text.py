@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fabula.functions.rules import ACUTE, DASHES, HYPHENS, LATIN, RU_LATIN, RU_VOWELS, SYMBOL_WORDS
+from fabula.functions.rules import ACUTE, DASHES, HYPHENS, LATIN, RU_LATIN, RU_VOWELS, SYMBOL_WORDS, UNSTRESSED, UNSTRESSED_AFTER_HYPHEN
 
 RU = "а-яёА-ЯЁ"
 
@@ -61,9 +61,9 @@ def expand_abbreviations(col: Column, rules: dict[str, str], closed: bool = True
     return reduce(lambda c, p: F.regexp_replace(c, rf"(?iuU)(?<![\w]){_quoted(p[0])}{end}", p[1]), rules.items(), col)
 
 
-def fix_spacing(col: Column) -> Column:
+def fix_spacing(col: Column, letters: str = RU) -> Column:
     """A space after punctuation that a letter follows; a currency sign goes behind its amount."""
-    spaced = F.regexp_replace(col, rf"([,.!?;:…])(?=[{RU}])", "$1 ")
+    spaced = F.regexp_replace(col, rf"([,.!?;:…])(?=[{letters}])", "$1 ")
     return F.regexp_replace(spaced, r"([$€₽])\s*([0-9]+(?:[,.][0-9]+)?)", "$2 $1")
 
 
@@ -94,17 +94,13 @@ def unresolved_numbers(col: Column) -> Column:
 
 
 def speech_punctuation(col: Column) -> Column:
-    """Dashes go, hyphenated words join, ranges of numbers keep a hyphen."""
-    any_dash = f"[{DASHES}-]+"
-    steps = [
-        (rf"(?<=[0-9])\s*{any_dash}\s*(?=[0-9])", "-"),
-        (rf"(?<=[\p{{L}}{ACUTE}]){any_dash}(?=\p{{L}})", ""),
-        (rf"(?<=[«„\"'(\[<]){any_dash}\s+", ""),
-        (rf"(?:(?<=\s)|^){any_dash}(?=\s|$)", ""),
-        (rf"(?<=[\p{{L}}\p{{N}}_]){any_dash}(?=\s|$)", ""),
-        (r"[ \t]{2,}", " "),
-    ]
-    return F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), steps, col))
+    """A dash between numbers becomes a hyphen. One inside a word, or before a blank, is silent: it goes, and with it the
+    blank if an opening sign stands before. A dash right before a word or number stays."""
+    dash, word = f"[{DASHES}-]+", rf"\p{{L}}\p{{N}}_{ACUTE}"
+    opening = "«„\"'(\\[<"
+    ranged = F.regexp_replace(col, rf"(?<=[0-9])\s*{dash}\s*(?=[0-9])", "-")
+    silent = rf"(?<=[{opening}]){dash}\s+|(?<=[\p{{L}}{ACUTE}]){dash}(?=\p{{L}})|(?<![^\s{word}]){dash}(?=\s|$)"
+    return F.trim(F.regexp_replace(F.regexp_replace(ranged, silent, ""), r"[ \t]{2,}", " "))
 
 
 def symbol_words(col: Column, words: dict[str, str] = SYMBOL_WORDS) -> Column:
@@ -214,8 +210,10 @@ def stress_info(col: Column) -> Column:
 
 
 def needs_mark(word: Column, previous_char: Column) -> Column:
-    """A word of several vowels without mark or ё that is no part of a hyphenated word."""
-    return (vowel_count(word) > 1) & ~word.contains(ACUTE) & ~F.lower(word).contains("ё") & ~F.coalesce(previous_char == "-", F.lit(False))
+    """A Russian word of several vowels without mark or ё; the particles that share the stress of the word before their
+    hyphen, and the unstressed preposition, need none."""
+    particle = F.lower(word).isin(*UNSTRESSED_AFTER_HYPHEN) & F.coalesce(previous_char == "-", F.lit(False))
+    return word.rlike(f"^[{RU}]+$") & (vowel_count(word) > 1) & ~F.lower(word).contains("ё") & ~particle & ~F.lower(word).isin(*UNSTRESSED)
 
 
 def restore_case(target: Column, original: Column) -> Column:
@@ -235,27 +233,35 @@ def foreign_fragments(col: Column, letter: str = "A-Za-zÀ-ÖØ-öø-ɏ") -> Col
     return F.regexp_extract_all(col, F.lit(rf"[{letter}]+(?:[ '’-]+[{letter}]+)*"), F.lit(0))
 
 
+def _word_parts(col: Column) -> Column:
+    """Words with the blank or hyphen that follows each."""
+    return F.regexp_extract_all(col, F.lit("[^ -]+[ -]*|^[ -]+"), F.lit(0))
+
+
 def tidy_reading(col: Column) -> Column:
-    """Words of one syllable lose their mark."""
-    words = F.transform(F.split(F.trim(F.regexp_replace(col, r"\s+", " ")), " "), lambda w: F.when(vowel_count(w) <= 1, F.replace(w, F.lit(ACUTE), F.lit(""))).otherwise(w))
-    return F.array_join(words, " ")
+    """Words of one syllable, the parts of hyphenated ones too, lose their mark; a grave is an acute."""
+    clean = F.replace(F.trim(F.regexp_replace(col, r"\s+", " ")), F.lit("\u0300"), F.lit(ACUTE))
+    return F.array_join(F.transform(_word_parts(clean), lambda w: F.when(vowel_count(w) <= 1, F.replace(w, F.lit(ACUTE), F.lit(""))).otherwise(w)), "")
 
 
 def valid_reading(col: Column) -> Column:
-    """Russian letters only, one mark (or ё) in each word of several syllables and none in the others."""
+    """Russian words between single blanks or hyphens; each has a vowel, and one mark, behind a vowel, if it has several
+    vowels and no ё, else none."""
     marks = lambda w: F.length(w) - F.length(F.replace(w, F.lit(ACUTE), F.lit("")))
-    good = lambda w: w.rlike(f"^[{RU}{ACUTE}-]+$") & F.when(vowel_count(w) > 1, F.when(F.lower(w).contains("ё"), marks(w) <= 1).otherwise(marks(w) == 1)).otherwise(marks(w) == 0)
-    return F.forall(F.split(F.trim(col), r"\s+"), good)
+    wanted = lambda w: F.when((vowel_count(w) > 1) & ~F.lower(w).contains("ё"), 1).otherwise(0)
+    shape = col.rlike(rf"^[{RU}{ACUTE}]+(?:[ -][{RU}{ACUTE}]+)*$") & ~col.rlike(f"(?<![{_V}]){ACUTE}")
+    return F.coalesce(shape & F.forall(F.split(col, "[ -]"), lambda w: (vowel_count(w) > 0) & (marks(w) == wanted(w))), F.lit(False))
 
 
-_CLOSERS = r"[\s»”\"'’)\]}—–-]*"
+_CLOSERS = r"[»”\"')\]]*"
 
 
 def close_phrase(col: Column) -> Column:
-    """A full stop at an open end, before closing quotes and brackets; a comma or colon there gives way."""
-    trimmed = F.rtrim(col)
-    stop = F.regexp_replace(trimmed, rf"(?s)^(.*?)[,;:]?({_CLOSERS})$", "$1.$2")
-    return F.when(trimmed.rlike(rf"[.!?…]{_CLOSERS}$") | (trimmed == ""), trimmed).otherwise(stop)
+    """A full stop at an open end: commas, colons, dashes and blanks there give way. Text without a letter or digit, or with
+    a stop before its closing quotes and brackets, stays."""
+    body = F.rtrim(F.regexp_replace(col, r"\s+$", ""))
+    said = body.rlike(r"[\p{L}\p{N}]") & ~body.rlike(rf"[.!?…]{_CLOSERS}$")
+    return F.when(said, F.concat(F.regexp_replace(body, r"[\s,;:—–-]+$", ""), F.lit("."))).otherwise(col)
 
 
 def spoken_weight(col: Column) -> Column:
@@ -264,8 +270,11 @@ def spoken_weight(col: Column) -> Column:
 
 
 def spoken_variants(col: Column) -> Column:
-    """Spellings to try in turn: as is, closed, without marks, in lower case."""
-    return F.array_distinct(F.array(col, close_phrase(col), F.replace(col, F.lit(ACUTE), F.lit("")), F.lower(col)))
+    """Spellings to try in turn: closed, without marks, with an ellipsis, with an exclamation."""
+    base = close_phrase(col)
+    plain = F.replace(base, F.lit(ACUTE), F.lit(""))
+    stem = F.regexp_replace(plain, rf"[.!?…]+({_CLOSERS})$", "$1")
+    return F.array_distinct(F.array(base, plain, F.concat(stem, F.lit("…")), F.concat(stem, F.lit("!"))))
 
 
 def balance_quotes(col: Column) -> Column:
@@ -286,10 +295,22 @@ def has_reporting(col: Column, verbs: list[str], reach: int = 110) -> Column:
     return F.exists(F.slice(F.split(col, f"[{DASHES}]"), 2, 1_000_000), lambda p: F.substring(p, 1, reach).rlike(rf"(?iuU)\b(?:{'|'.join(verbs)})"))
 
 
+#: Ways in which a reason names its choice: after a word of choosing, at its end after a dash, before a word of approval.
+PICKS = (r"(?iuU)(?:выбира\w*|выбор|вариант|ответ|choose|pick)\s*:?\s*<?([AB](?![\w\u0301])|[АВ](?![\w\u0301])|[\p{L}\u0301]{2,})>?", r"[—–-]\s*([AB])\s*\.?\s*$", r"(?uU)(?<![\w\u0301])([AB])\s+(?:верн|правильн)")
+
+
+def _named(reason: Column, pattern: str) -> Column:
+    """What a pattern finds, with the length of what follows its last occurrence."""
+    after = lambda m: F.length(F.call_function("substring_index", reason, m, F.lit(-1)))
+    return F.transform(F.regexp_extract_all(reason, F.lit(pattern), F.lit(0)), lambda m: F.struct(after(m).alias("left"), F.regexp_extract(m, pattern, 1).alias("name")))
+
+
 def final_pick(reason: Column, candidates: Column) -> Column:
-    """STR-31: the last explicit pick of a reason, if it names a candidate."""
-    picked = F.element_at(F.regexp_extract_all(reason, F.lit(r"(?iuU)(?:выбираю|выбор|choose|pick)[\s:—–-]*<?([\p{L}́]+)>?"), F.lit(1)), -1)
-    return F.when(F.array_contains(candidates, picked), picked)
+    """STR-31: the candidate that a reason names last. A and B (in either script) are the first and second of ``candidates``,
+    anything else must be one of them."""
+    label = lambda x: F.when(x.isin("A", "А"), F.get(candidates, F.lit(0))).when(x.isin("B", "В"), F.get(candidates, F.lit(1))).when(F.array_contains(candidates, x), x)
+    found = F.transform(F.concat(*[_named(reason, p) for p in PICKS]), lambda x: F.struct(x["left"].alias("left"), label(x["name"]).alias("pick")))
+    return F.array_min(F.filter(found, lambda x: x["pick"].isNotNull()))["pick"]
 
 
 def asks_extra(col: Column, words: list[str]) -> Column:

@@ -82,9 +82,12 @@ def check_profiles(profiles: DataFrame, blocks: DataFrame, keys: list[str], evid
     return bad.unionByName(lost)
 
 
-def check_instructions(df: DataFrame, keys: list[str], text: str, least=20, most=800, words=120) -> DataFrame:
-    """DQ-11."""
-    return run_rules(df, keys, {"short": F.length(text) < least, "long": F.length(text) > most, "words": F.size(F.split(F.trim(text), r"\s+")) > words, "script": ~F.col(text).rlike(r"\p{L}")})
+def check_instructions(df: DataFrame, keys: list[str], text: str, least=20, most=2500, words=120, extra: list[str] | None = None) -> DataFrame:
+    """DQ-11: length, number of words, Latin letters without Cyrillic ones, and no request for sounds (``extra``)."""
+    from fabula.functions.text import asks_extra
+
+    rules = {"short": F.length(text) < least, "long": F.length(text) > most, "words": F.size(F.split(F.trim(text), r"\s+")) > words, "script": ~F.col(text).rlike("[A-Za-z]") | F.col(text).rlike("[\u0400-\u052f]")}
+    return run_rules(df, keys, rules | ({"sounds": asks_extra(F.col(text), extra)} if extra else {}))
 
 
 def numeral_value(words: DataFrame, values: DataFrame, a: str, b: str) -> DataFrame:

@@ -3,37 +3,37 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_CLOSE = r"[»”\"')\]]*"
-_BOUNDS = (("sentence", re.compile(rf"[.!?…]{_CLOSE}\s+")), ("clause", re.compile(rf"[,;:]{_CLOSE}\s+|\s+[—–]\s+")), ("word", re.compile(r"\s+")))
+#: Where a piece may end, the best first.
+_ENDS = {"sentence": r"""[.!?…][»”"')\]]*\s+""", "clause": r"""[,;:][»”"')\]]*\s+|\s+[—–]\s+""", "word": r"\s+"}
+
+
+def _nearest(spots: list[int], low: int, high: int, goal: int) -> int | None:
+    """The spot of ``[low, high]`` nearest to ``goal``, the earlier of two."""
+    a, b = bisect_left(spots, low), bisect_right(spots, high)
+    k = bisect_left(spots, goal, a, b)
+    return min(spots[max(a, k - 1) : min(b, k + 1)], key=lambda e: (abs(e - goal), e), default=None)
 
 
 def windows_of(text: str, target: int, maximum: int, minimum: int):
     """Pieces (start, end, boundary) of at most ``maximum`` characters that add up to the text.
 
-    A piece ends at the sentence end nearest to ``target``, else at a clause's, else at a word's; ends of at least
-    ``minimum`` (then of 60) come first. A word longer than the maximum is cut off with boundary ``error``.
+    The spots where sentences, clauses and words end are found once. A piece ends at the sentence's spot nearest to
+    ``target``, else at a clause's, else at a word's; spots from ``minimum`` on (then from 60) come first. A word longer
+    than the maximum is cut off with boundary ``error``.
     """
+    spots = {name: [m.end() for m in re.finditer(pattern, text)] for name, pattern in _ENDS.items()}
     at = 0
-    while len(text) - at > maximum:
-        view = text[at : at + maximum + 1]
-        for name, pattern in _BOUNDS:
-            ends = [m.end() for m in pattern.finditer(view) if m.end() <= maximum]
-            if ends:
-                for least in (minimum, min(60, target), 0):
-                    fit = [e for e in ends if e >= least]
-                    if fit:
-                        break
-                end = min(fit, key=lambda e: (abs(e - target), e))
-                break
-        else:
-            name, end = "error", maximum
-        yield at, at + end, name
-        at += end
+    while at + maximum < len(text):
+        tries = ((name, _nearest(own, at + max(least, 1), at + maximum, at + target)) for name, own in spots.items() for least in (minimum, min(60, target), 1))
+        name, end = next((t for t in tries if t[1] is not None), ("error", at + maximum))
+        yield at, end, name
+        at = end
     if at < len(text):
         yield at, len(text), "end"
 
@@ -46,37 +46,56 @@ class SplitWindow:
             yield i, a, b, name
 
 
+_PAIRS = {"«": "»", "„": "“”", "“": "”", "‹": "›", "‚": "‘’", "‘": "’", '"': '"'}  # Fixed values: opening quotes and what may close each
+_LONG, _SHORT = 160, 40
+_NEW_TURN = re.compile(r"""[,.!?…:;»“”›‘’"]\s+(?=[—–])""")
+_NEW_SENTENCE = re.compile(r"""[.!?…]+[»“”›‘’".!?…]*\s+(?=[^\W\d_])""")
+
+
+def outer_quotes(text: str):
+    """(start, end) of the quotations that stand in no other; unclosed ones and apostrophes are none."""
+    waiting: list[tuple[int, str]] = []
+    for m in re.finditer(r"""[«»„“”‹›‚‘’"]""", text):
+        i, mark = m.start(), m[0]
+        if waiting and mark in waiting[-1][1]:
+            start = waiting.pop()[0]
+            if not waiting:
+                yield start, i + 1
+        elif mark in _PAIRS and not (mark == "‘" and re.fullmatch(r"[^\W\d_]‘[^\W\d_]", text[max(0, i - 1) : i + 2])):
+            waiting.append((i, _PAIRS[mark]))
+
+
+def speech_cuts(text: str) -> set[int]:
+    """Where a paragraph changes between speech and narrator: at a dash after punctuation, and around quoted speech (at the
+    paragraph's start, after a colon or dash, or of two words and a sentence's end)."""
+    cuts = {m.end() for m in _NEW_TURN.finditer(text)}
+    for a, b in outer_quotes(text):
+        before, inner = text[:a].rstrip(), text[a + 1 : b - 1]
+        spoken = len(re.findall(r"\w+", inner)) > 1 and re.search("[.!?…]", inner)
+        if before and before[-1] not in ":—–" and not spoken:
+            continue
+        if before and before[-1] not in "—–":
+            cuts.add(a)
+        rest = re.compile(r"[,.!?…:;]*\s*").match(text, b).end()
+        if text[rest : rest + 1] not in ("", "—", "–"):
+            cuts.add(rest)
+    return cuts
+
+
 class SpeechFragments:
-    """SEG-6 as a table function: fragments at dashes and outer quotes, long ones also at sentence ends; all of the text."""
+    """SEG-6 as a table function: fragments of speech and narrator, long ones also cut at sentences; all but the blanks
+    around them."""
 
     def eval(self, text: str, limit: int):
-        cuts, depth = [0], 0
         text = text or ""
-        for m in re.finditer(r"[«»]|(?<=[\s,.!?…])[—–](?=\s)", text):
-            mark = m[0]
-            if mark == "«":
-                if not depth and re.search(r"[:—–]\s*$|^\s*$", text[: m.start()]):
-                    cuts.append(m.start())
-                depth += 1
-            elif mark == "»":
-                depth = max(0, depth - 1)
-                if not depth and re.match(r"\s+[—–]", text[m.end() :]):
-                    cuts.append(m.end())
-            elif not depth:
-                cuts.append(m.start())
-        edges = sorted({*cuts, len(text)})
-        n = 0
+        edges, n = [0, *sorted(speech_cuts(text)), len(text)], 0
         for a, b in zip(edges, edges[1:], strict=False):
-            at = a
-            while b - at > limit:
-                ends = [m.end() for m in re.finditer(r"[.!?…]\s+", text[at:b]) if m.end() <= limit]
-                if not ends:
-                    break
-                yield n, at, at + ends[-1]
-                n, at = n + 1, at + ends[-1]
-            if at < b:
-                yield n, at, b
-                n += 1
+            inner = [] if b - a <= limit else [m.end() for m in _NEW_SENTENCE.finditer(text, a, b) if text[m.end()].isupper() and m.end() - a >= _SHORT and b - m.end() >= _SHORT]
+            for x, y in zip([a, *inner], [*inner, b], strict=True):
+                part = text[x:y]
+                if part.strip():
+                    yield n, x + len(part) - len(part.lstrip()), x + len(part.rstrip())
+                    n += 1
 
 
 class TokenOps:
@@ -108,7 +127,7 @@ def split_window(df: DataFrame, text="text", target=220, maximum=260, minimum=10
     return _lateral(df, f"split_window(d.{text}, {target}, {maximum}, {minimum})", ["piece", "char_start", "char_end", "boundary"])
 
 
-def speech_fragments(df: DataFrame, text="text", limit=300) -> DataFrame:
+def speech_fragments(df: DataFrame, text="text", limit=_LONG) -> DataFrame:
     """SEG-6."""
     return _lateral(df, f"speech_fragments(d.{text}, {limit})", ["fragment", "char_start", "char_end"])
 

@@ -7,6 +7,7 @@ import posixpath
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -116,13 +117,17 @@ def visible_text(pages: DataFrame, html: str = "html", key: str = "page_id") ->
     return pages.select(key, html).mapInPandas(run, T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField("visible", T.StringType())]))
 
 
+XHTML = "application/xhtml+xml"
+
+
 def spine_documents(data: bytes) -> list[tuple[str, str]]:
     """(href, markup) of a package's reading order."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         local = lambda e: e.tag.rpartition("}")[2]
         root = next(e.get("full-path") for e in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if local(e) == "rootfile")
         package = ElementTree.fromstring(z.read(root))
-        items = {e.get("id"): e.get("href") for e in package.iter() if local(e) == "item"}
+        # other media in the reading order have no blocks; hrefs are escaped and may point into a document
+        items = {e.get("id"): unquote((e.get("href") or "").partition("#")[0]) for e in package.iter() if local(e) == "item" and e.get("media-type", XHTML) == XHTML}
         names = [posixpath.normpath(posixpath.join(posixpath.dirname(root), items[e.get("idref")])) for e in package.iter() if local(e) == "itemref" and e.get("idref") in items]
         return [(n, z.read(n).decode("utf-8", "replace")) for n in names]
 

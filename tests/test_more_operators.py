@@ -73,11 +73,14 @@ def test_small_columns(spark, one):
     L = F.lit
     assert one(X.needs_review(L(None).cast("string"), L("high"), L("end"))) and not one(X.needs_review(L("a"), L("high"), L("end"))) and one(X.needs_review(L("a"), L("high"), L("word")))
     assert one(X.effective_gender(L("x"))) == "female" and one(X.speech_text(L("a"), L(None).cast("string"))) == "a" and one(X.speech_text(L("a"), L(" "))) is None
-    assert one(X.spoken_variants(L("Да"))) == ["Да", "Да.", "да"]
+    assert one(X.spoken_variants(L("Да"))) == ["Да.", "Да…", "Да!"]
+    two = F.array(L("бы́ла"), L("была́"))
+    for reason, pick in (("Выбираю B", "была́"), ("A? Нет. Выбираю В.", "была́"), ("норма такова — A.", "бы́ла"), ("B верно", "была́"), ("вариант A, но ответ: B", "была́"), ("нет", None)):
+        assert one(X.final_pick(L(reason), two)) == pick
     assert one(X.has_reporting(L("Нет, — сказал он."), ["сказал"])) and not one(X.has_reporting(L("сказал он"), ["сказал"]))
     assert one(X.final_pick(L("A is fine. Выбираю была́"), F.array(L("бы́ла"), L("была́")))) == "была́"
     assert one(X.asks_extra(L("Add laughter."), ["laugh"])) and not one(X.asks_extra(L("Without laughter."), ["laugh"]))
-    assert one(X.needs_mark(L("замок"), L(" "))) and not one(X.needs_mark(L("дом"), L(" "))) and one(X.well_marked(L("зам+ок"))) and not one(X.well_marked(L("+замок")))
+    assert one(X.needs_mark(L("замок"), L(" "))) and one(X.needs_mark(L("какая"), L("-"))) and not one(X.needs_mark(L("нибудь"), L("-"))) and one(X.needs_mark(L("либо"), L(" "))) and not one(X.needs_mark(L("безо"), L(" "))) and not one(X.needs_mark(L("дом"), L(" "))) and one(X.well_marked(L("зам+ок"))) and not one(X.well_marked(L("+замок")))
     assert one(A.alias_set(F.array(L("b"), L("a")), F.array(L("n")), L("n"))) == ["a", "b"]
     assert abs(one(X.est_seconds(L("x" * 28), L(500))) - 2.5) < 1e-9
 
@@ -92,3 +95,43 @@ def test_lossless_gate_sees_text_outside_blocks(spark):
     bare = lambda h: re.sub(r"\s", "", re.sub(r"(?s)<head>.*?</head>|<script>.*?</script>|<[^>]*>", "", h or "").replace("&amp;", "&"))
     want = {k for k, h in pages if bare(h) != re.sub(r"\s", "", "".join(t for *_, t in B.blocks_of(h)[0]))}
     assert lost == want == {2, 3, 4, 5, 8}
+
+
+def test_fragments_and_windows():
+    """Golden fragments, run on the table functions themselves; windows against a plain search at each step."""
+    import re
+
+    from fabula.operators.segments import SpeechFragments, windows_of
+
+    text = "— Ну что же, — сказал он, — пойдём. «Это не речь» и «Да ты что! Правда?» — спросила она."
+    assert [text[a:b] for _, a, b in SpeechFragments().eval(text, 160)] == ["— Ну что же,", "— сказал он,", "— пойдём. «Это не речь» и", "«Да ты что! Правда?»", "— спросила она."]
+    assert list(SpeechFragments().eval("  ", 160)) == list(SpeechFragments().eval(None, 160)) == []
+    long = "A first sentence of more than forty signs stands here. " * 5
+    assert [long[a:b] for _, a, b in SpeechFragments().eval(long, 160)] == [long[:54]] * 5
+    patterns = {"sentence": r"""[.!?…][»”"')\]]*\s+""", "clause": r"""[,;:][»”"')\]]*\s+|\s+[—–]\s+""", "word": r"\s+"}
+    story = ("One, two — three. Four; five six! " * 9 + "x" * 90 + " end ") * 2
+    at = 0
+    for a, b, name in windows_of(story, 50, 70, 30):
+        assert a == at and b - a <= 70
+        if name != "end":
+            ends = {n: [m.end() for m in re.finditer(p, story[a : a + 71]) if m.end() <= 70] for n, p in patterns.items()}
+            best = next((n for n in patterns if ends[n]), "error")
+            fit = next((f for least in (30, 50, 0) if (f := [e for e in ends.get(best, [70]) if e >= least])), [70])
+            assert (name, b - a) == (best, min(fit, key=lambda e: (abs(e - 50), e)))
+        at = b
+    assert at == len(story)
+
+
+def test_escaped_hrefs():
+    import io
+    import zipfile
+
+    from fabula.sources.blocks import spine_documents
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>')
+        z.writestr("o/p.opf", '<package><manifest><item id="a" href="a%20b.xhtml#x" media-type="application/xhtml+xml"/><item id="i" href="i.svg" media-type="image/svg+xml"/></manifest><spine><itemref idref="i"/><itemref idref="a"/></spine></package>')
+        z.writestr("o/a b.xhtml", "<p>A</p>")
+        z.writestr("o/i.svg", "<svg/>")
+    assert spine_documents(data.getvalue()) == [("o/a b.xhtml", "<p>A</p>")]

@@ -27,7 +27,13 @@ CASES = [
     (X.tidy_reading, "ле́тс гет а́ут ов хи́р", "летс гет а́ут ов хир"),
     (X.foreign_fragments, "Он сказал: ex post facto, а потом — Übermensch и д’Артаньян.", ["ex post facto", "Übermensch"]),
     (X.close_phrase, "Да,", "Да."),
-    (X.close_phrase, "«Да»", "«Да.»"),
+    (X.close_phrase, "«Да»", "«Да»."),
+    (X.close_phrase, "Не знаю —", "Не знаю."),
+    (X.close_phrase, "— — —", "— — —"),
+    (X.close_phrase, "«Да!»", "«Да!»"),
+    (X.slug_id, "Хрущёв", "khrushchev"),
+    (X.tidy_reading, "ха́-ха́", "ха-ха"),
+    (X.spoken_variants, "Конста́нс", ["Конста́нс.", "Констанс.", "Констанс…", "Констанс!"]),
     (X.close_phrase, "Да!", "Да!"),
     (X.phone_groups, "+7 (912) 345-67-89", ["7", "912", "345", "67", "89"]),
     (X.fix_spacing, "$100 а,б", "100 $ а, б"),
@@ -53,7 +59,7 @@ def test_golden(one, f, given, wanted):
     assert one(f(L(given))) == wanted
 
 
-@pytest.mark.parametrize("word,good", [("Ги́ллиан Флинн", True), ("экс пост фа́кто", True), ("Гиллиан", False), ("фла́йн", False), ("Gillian", False), ("ги́лли́ан", False)])
+@pytest.mark.parametrize("word,good", [("Ги́ллиан Флинн", True), ("экс пост фа́кто", True), ("Гиллиан", False), ("фла́йн", False), ("Gillian", False), ("ги́лли́ан", False), ("ха-ха", True), ("ёлка́", False), ("гм", False), ("ѓи", False), (None, False)])
 def test_valid_reading(one, word, good):
     assert one(X.valid_reading(L(word))) is good
 
