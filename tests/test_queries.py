@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import fabula.plans.more  # noqa: F401
 import fabula.plans.narration  # noqa: F401
 import fabula.plans.tables  # noqa: F401
 import fabula.plans.texts  # noqa: F401
