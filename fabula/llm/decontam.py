@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm.common import SPACE, documents, materialize, table
+from fabula.llm.common import SPACE, documents, materialize, new_name, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -132,9 +132,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents whose text holds no benchmark item."""
-    found = contaminated(docs, benchmark).select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return keyed.join(found, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    key = new_name("text_hash", docs)
+    found = contaminated(docs, benchmark).select("doc_id", F.col("text_hash").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("text")).join(found, ["doc_id", key], "left_anti").select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm.common import LOWER, TRIM, UPPER, documents, materialize, mix64, shuffle_partitions
+from fabula.llm.common import LOWER, TRIM, UPPER, documents, materialize, mix64, new_name, shuffle_partitions
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -175,14 +175,16 @@ def dropped_references(refs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def apply_drops(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Each document with its lines left, joined by a line feed: adds n_lines, n_dropped, kept_text."""
-    lists = drops.groupBy("doc_id").agg(F.collect_set("h1").alias("drop_keys"))
+    """Each document with its lines left, joined by a line feed: adds n_lines, n_dropped, kept_text, in place of columns of
+    these names."""
+    gone, kept_lines = new_name("drop_keys", docs), new_name("kept_lines", docs)
+    lists = drops.groupBy("doc_id").agg(F.collect_set("h1").alias(gone))
     lines = _lines(F.col("text"))
-    stays = F.filter(lines, lambda x: ~F.array_contains(F.col("drop_keys"), F.xxhash64(line_key(x))) | (F.length(line_key(x)) < min_chars))
-    kept = F.when(F.col("drop_keys").isNull(), lines).otherwise(stays)
-    out = docs.join(lists, "doc_id", "left").withColumn("kept_lines", kept).withColumn("n_lines", F.size(lines).cast("long"))
-    out = out.withColumn("n_dropped", F.col("n_lines") - F.size("kept_lines")).withColumn("kept_text", F.array_join("kept_lines", "\n"))
-    return out.drop("drop_keys", "kept_lines")
+    stays = F.filter(lines, lambda x: ~F.array_contains(F.col(gone), F.xxhash64(line_key(x))) | (F.length(line_key(x)) < min_chars))
+    kept = F.when(F.col(gone).isNull(), lines).otherwise(stays)
+    out = docs.join(lists, "doc_id", "left").withColumn(kept_lines, kept).withColumn("n_lines", F.size(lines).cast("long"))
+    out = out.withColumn("n_dropped", F.col("n_lines") - F.size(kept_lines)).withColumn("kept_text", F.array_join(kept_lines, "\n"))
+    return out.drop(gone, kept_lines)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

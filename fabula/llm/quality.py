@@ -23,6 +23,8 @@ FEATURES = 256
 RIDGE = 1e-4
 MAX_ROWS = 1_000_000
 ROWS_A_PART = 50_000
+#: Tasks that add up the partitions' sums.
+SUM_TASKS = 4
 BINS = 2000
 PIECE = 2_000_000
 NAMES = (
@@ -154,10 +156,21 @@ class QualityModel:
         return np.clip(np.interp(raw, *self.knots) * 0.998 + 0.002 / (1 + np.exp(-np.clip(4 * (raw - 0.5), -30, 30))), 0, 1)
 
 
+def _added(batches):
+    """The sum of the parts of a task."""
+    total = None
+    for batch in batches:
+        for part in batch.column("part"):
+            own = np.frombuffer(part.as_buffer())
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+
 def fit(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> QualityModel:
     """Learns ``labels`` (doc_id, y) on document statistics (doc_id, stats)."""
     y = labels.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("y").cast("double")).alias("y"))
-    known = stats.dropDuplicates(["doc_id"]).join(y, "doc_id").withColumn("pick", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)))
+    known = stats.join(y, "doc_id").groupBy("doc_id").agg(F.min("stats").alias("stats"), F.first("y").alias("y")).withColumn("pick", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)))
     known = materialize(known, "quality-rows")
     n, share, low, high = known.agg(F.count("*"), F.avg("y"), F.min("y"), F.max("y")).first()
     if not n or low == high:
@@ -169,7 +182,8 @@ def fit(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Qualit
     calibrating = F.col("pick") % 5 == 0
     fitting = known.where(~calibrating) if n >= 50 else known
     sums = fitting.repartition(parts, "doc_id").sortWithinPartitions("doc_id").select("stats", "y").mapInArrow(_normal_equations(fourier), "part binary")
-    total = sum(np.frombuffer(r.part).reshape(FEATURES + 1, FEATURES + 2) for r in sums.collect())  # max_rows / ROWS_A_PART + 1 rows
+    few = sums.repartition(SUM_TASKS).mapInArrow(_added, "part binary")  # however many partitions there are, the driver gets a few sums
+    total = sum(np.frombuffer(r.part).reshape(FEATURES + 1, FEATURES + 2) for r in few.collect())
     gram, moment = total[:, :-1], total[:, -1]
     beta = np.linalg.solve(gram + RIDGE * gram[-1, -1] * np.eye(FEATURES + 1), moment)
     model = QualityModel(fourier, beta)
