@@ -9,7 +9,7 @@ from fabula.functions import numbers as N
 from fabula.functions import text as X
 from fabula.functions.rules import ACUTE, MEASURES
 from fabula.operators import aggregates as A
-from fabula.operators import audits, folds, joins, lexicon, segments, signal, topk, windows
+from fabula.operators import audits, folds, joins, lexicon, normalise, segments, signal, topk, windows
 from fabula.plans.narration import SEG, TIMED, lines, timed
 from fabula.plans.registry import query
 from fabula.plans.tables import takes
@@ -286,3 +286,17 @@ def packed_lines(spark: SparkSession, d: str) -> DataFrame:
 def speaker_batches(spark: SparkSession, d: str) -> DataFrame:
     """FLD-1: batches that also end where the speaker changes."""
     return folds.batch_by_size(lines(spark, d).withColumn("size", F.length("text")), ["doc_id"], "seg_order", "size", 250, "speaker")
+
+
+@query()
+def normalised_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The whole rewriting job: numbers, dates, numerals, units and acronyms of every text in words."""
+    rows = normalise.normalize_text(docs(spark, d), ["doc_id"], "text", "2025-01-01")
+    read = F.aggregate(F.map_values("hits"), F.lit(0), lambda a, n: a + n)
+    return rows.select("doc_id", "normalized", read.alias("n_read"), F.size("unresolved").alias("n_unresolved"))
+
+
+@query()
+def token_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """STR-7 in full: every token that a rule finds, with its place, kind and validity."""
+    return normalise.numeric_tokens(docs(spark, d), ["doc_id"], "text", "2025-01-01")
