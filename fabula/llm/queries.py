@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fabula.llm import decontam, jaccard, langid, linededup, media, mixing, quality, suffixes, tokens, warc
+from fabula.llm import alignment, decontam, jaccard, langid, linededup, media, mixing, quality, suffixes, tokens, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_media": media.op8_media,
         "op9_mix": mixing.op9_mix,
         "op10_language": langid.op10_language,
+        "op11_alignment": alignment.op11_alignment,
+        "op12_toxicity": toxicity.op12_toxicity,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
