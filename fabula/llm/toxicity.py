@@ -17,7 +17,8 @@ to it instead, with the same scores.
 Defined cases: a null text counts as empty; an empty text scores what a text of no evidence scores; A to Z count as lower
 case; words are ``[^\\x20\\x09-\\x0D]+`` without ASCII punctuation at their ends; repeated labels of a document are
 averaged (toxic from one half); null labels and ids teach nothing; without learnt labels of both kinds every score is the
-learnt share of toxic rows (0 without labels); repeated rows are scored alike; an empty table gives no rows.
+learnt share of toxic rows (0 without labels); repeated rows are learnt from as often as they
+stand, and scored alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -210,7 +211,7 @@ def features(by_word: np.ndarray, by_pair: np.ndarray, row: np.ndarray, rows: in
     last = np.cumsum(n)
     out = []
     for value in (by_word, by_pair):
-        total = np.concatenate(([0.0], np.cumsum(value)))
+        total = np.concatenate(([0.0], np.cumsum(value, dtype=float)))  # over a whole piece, so in doubles
         out.append((total[last] - total[last - n]) / np.maximum(n, 1))
         for run in RUNS:
             most = np.zeros(rows)
