@@ -40,7 +40,11 @@ RIDGE = 1e-3
 SHARED_KEYS = 8_000_000
 #: Labelled rows (16 bytes each) that may be sent to all tasks to find their texts.
 SHARED_LABELS = 4_000_000
-PIECE = 4_000_000
+PIECE = 1_000_000
+#: Words whose pairs a task adds up before it passes them on.
+HELD_WORDS = 2_000_000
+#: Parts in which the driver gets the table.
+SLICES = 8
 START = np.uint64(0x5EED)
 _PUNCTUATION = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
 
@@ -103,7 +107,7 @@ def _pairs(batches):
             if len(words):
                 held.append((contexts(words, row), words, toxic[a:b][row].astype(np.int64)))
                 size += len(words)
-            if size >= PIECE:
+            if size >= HELD_WORDS:
                 yield summed()
                 held, size = [], 0
     if held:
@@ -173,11 +177,10 @@ class Evidence:
         words = int((kind == 0).sum())
         self.unknown, self.words, self.pairs = unknown, key[order[:words]].view(np.uint64), key[order[words:]].view(np.uint64)
         self.words.sort(), self.pairs.sort()
-        for own, keys, n in ((slice(0, words), self.words, "a"), (slice(words, None), self.pairs, "v")):
-            at = np.searchsorted(keys, key[order[own]].view(np.uint64))
-            out = np.zeros((2, len(keys)), np.float32)
-            out[0, at], out[1, at] = a[order[own]], b[order[own]]
-            setattr(self, n, out)
+        at = np.searchsorted(self.words, key[order[:words]].view(np.uint64))
+        self.a, self.v = np.zeros((2, words), np.float32), np.zeros(len(self.pairs), np.float32)
+        self.a[0, at], self.a[1, at] = a[order[:words]], b[order[:words]]
+        self.v[np.searchsorted(self.pairs, key[order[words:]].view(np.uint64))] = a[order[words:]]
 
     @staticmethod
     def _found(keys: np.ndarray, asked: np.ndarray):
@@ -198,7 +201,7 @@ class Evidence:
             start, known = self._found(self.words, np.array([START]))
             after[before == START] = self.a[1, start[0]] if known[0] else 0.0
         at, known = self._found(self.pairs, pair_keys(before, words))
-        by_pair = np.where(known, self.v[0, at] if len(self.pairs) else 0, by_word + after)
+        by_pair = np.where(known, self.v[at] if len(self.pairs) else 0, by_word + after)
         return by_word, by_pair
 
 
@@ -235,8 +238,10 @@ def document_evidence(docs: DataFrame, model: KneserNey) -> DataFrame:
     spark, rows = docs.sparkSession, model.rows
     if rows.limit(SHARED_KEYS + 1).count() > SHARED_KEYS:
         return _joined_evidence(docs, model)
-    got = rows.toArrow()  # SHARED_KEYS rows at most
+    slim = rows.select(F.col("kind").cast("tinyint").alias("kind"), "key", F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b"))
+    got = pa.concat_tables([slim.where(F.pmod("key", F.lit(SLICES)) == i).toArrow() for i in range(SLICES)])  # SHARED_KEYS rows at most
     shared = spark.sparkContext.broadcast(Evidence(*(got.column(c).to_numpy() for c in ("kind", "key", "a", "b")), model.unknown))
+    del got
 
     def scored(batches):
         evidence = shared.value
