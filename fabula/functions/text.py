@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fabula.functions.rules import ACUTE, DASHES, HYPHENS, LATIN, RU_LATIN, RU_VOWELS, SYMBOL_WORDS, UNSTRESSED, UNSTRESSED_AFTER_HYPHEN
@@ -229,8 +229,14 @@ def restore_case(target: Column, original: Column) -> Column:
 
 # STR-24 to STR-30, PRJ
 def foreign_fragments(col: Column, letter: str = "A-Za-zÀ-ÖØ-öø-ɏ") -> Column:
-    """Runs of words in a foreign script."""
-    return F.regexp_extract_all(col, F.lit(rf"[{letter}]+(?:[ '’-]+[{letter}]+)*"), F.lit(0))
+    """Runs of words in a foreign script. The pattern gives nothing back, so a text of any length needs no deep stack."""
+    return F.regexp_extract_all(col, F.lit(rf"[{letter}]++(?:[ '’-]++[{letter}]++)*+"), F.lit(0))
+
+
+def fragment_contexts(df: DataFrame, key: str, text: str, size: int = 200) -> DataFrame:
+    """STR-24: (fragment, n, first, context): in how many rows a fragment stands, the first of them by key, and that row's first characters."""
+    each = df.select(F.col(key).alias("k"), F.substring(text, 1, size).alias("c"), F.explode(F.array_distinct(foreign_fragments(F.col(text)))).alias("fragment"))
+    return each.groupBy("fragment").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.min_by("c", "k").alias("context"))
 
 
 def _word_parts(col: Column) -> Column:

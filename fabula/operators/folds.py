@@ -1,65 +1,65 @@
 """Greedy folds over ordered rows: batches, merges, balanced parts.
 
-A fold's state depends on every earlier decision, so it runs in order inside a document (or chapter) and in parallel over
-documents. The rows of a document are gathered as small structs (order and size, not text) and folded by ``aggregate``.
+A long document's rows lie in several sorted range partitions, and ``ordered.piece_numbers`` passes states between them; only
+orders, sizes and hashes of keys travel, never texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fabula.functions.text import trim_near
+from fabula.operators.ordered import GreedyBatches, ShortJoins, piece_numbers, running_sums
+from fabula.session import materialize
 
-def fold_ordered(rows: DataFrame, keys: list[str], order: str, item: Column, start: Column, step: Callable[[Column, Column], Column], name="folded") -> DataFrame:
-    """One row per key with the fold of its items in order; ``item`` is a struct whose first field is the order."""
-    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return gathered.select(*keys, F.aggregate("_items", start, step).alias(name))
 
+def _size(col: Column) -> Column:
+    return F.greatest(F.coalesce(col.cast("long"), F.lit(0)), F.lit(0)).cast("long")
 
-def _batches(rows: DataFrame, keys: list[str], order: str, size: Column, limit: int, brk: Column) -> DataFrame:
-    item = F.struct(F.col(order).cast("long").alias("o"), size.cast("long").alias("w"), brk.cast("string").alias("k"))
-    start = F.struct(F.lit(-1).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("string").alias("k"), F.array().cast("array<struct<o:bigint,n:bigint>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        new = (s["n"] < 0) | (s["sum"] + x["w"] > limit) | ~s["k"].eqNullSafe(x["k"])
-        n = s["n"] + F.when(new, 1).otherwise(0).cast("long")
-        return F.struct(n.alias("n"), F.when(new, x["w"]).otherwise(s["sum"] + x["w"]).alias("sum"), x["k"].alias("k"), F.array_append(s["out"], F.struct(x["o"].alias("o"), n.alias("n"))).alias("out"))
-
-    folded = fold_ordered(rows, keys, order, item, start, step)
-    return folded.select(*keys, F.inline("folded.out")).withColumnRenamed("o", order).withColumnRenamed("n", "batch")
-
-
-def batch_by_size(rows: DataFrame, keys: list[str], order: str, size: str, limit: int, break_on: str | None = None) -> DataFrame:
+def batch_by_size(rows: DataFrame, keys: list[str], order: str, size: str, limit: int, break_on: str | None = None, partitions: int | None = None) -> DataFrame:
     """FLD-1, FLD-2: (keys, order, batch). A batch is closed before the row that would take it over the limit, and where
-    ``break_on`` changes; a row beyond the limit is a batch of its own."""
-    return _batches(rows, keys, order, F.col(size), limit, F.col(break_on) if break_on else F.lit(None))
+    ``break_on`` changes (a null is a value of its own); a row beyond the limit is a batch of its own. Null sizes and those
+    under 0 count as 0."""
+    fields = {"w": _size(F.col(size)), "g": F.xxhash64(F.col(break_on).cast("string")) if break_on else F.lit(0).cast("long")}
+    return piece_numbers(rows, keys, order, GreedyBatches(limit), fields, partitions=partitions).withColumnRenamed("piece", "batch")
 
 
 def batch_by_count(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """FLD-3."""
-    from pyspark.sql import Window as W
-
     return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1) / n))
 
 
-def split_balanced(rows: DataFrame, keys: list[str], order: str, weight: str, parts: int) -> DataFrame:
-    """FLD-6: (keys, order, part). A part is closed when its sum reaches total / parts and enough rows are left for the
-    parts to come; the sum starts anew at each part, so there can be fewer parts."""
-    item = F.struct(F.col(order).cast("long").alias("o"), F.col(weight).cast("long").alias("w"))
-    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"), F.sum(F.col(weight).cast("long")).alias("_total"), F.count("*").alias("_rows"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("i"), F.array().cast("array<struct<o:bigint,n:bigint>>").alias("out"))
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys where nulls are alike; the left keys stay."""
+    renamed = right.select(*[F.col(k).alias(f"_{k}_") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys], how)
+
 
-    def step(s: Column, x: Column) -> Column:
-        sum_, i = s["sum"] + x["w"], s["i"] + 1
-        shut = (sum_ * parts >= F.col("_total")) & (s["n"] < parts - 1) & (F.col("_rows") - i >= parts - 1 - s["n"])
-        return F.struct(
-            (s["n"] + F.when(shut, 1).otherwise(0)).cast("long").alias("n"), F.when(shut, F.lit(0).cast("long")).otherwise(sum_).alias("sum"), i.alias("i"), F.array_append(s["out"], F.struct(x["o"].alias("o"), s["n"].alias("n"))).alias("out")
-        )
+def split_balanced(rows: DataFrame, keys: list[str], order: str, weight: str, parts: int, partitions: int | None = None) -> DataFrame:
+    """FLD-6: (keys, order, part). A part is closed when its sum reaches total / parts and enough rows are left for the
+    parts to come; the sum starts anew at each part, so there can be fewer parts. Null weights count as 0.
 
-    folded = gathered.select(*keys, F.aggregate("_items", start, step).alias("folded"))
-    return folded.select(*keys, F.inline("folded.out")).withColumnRenamed("o", order).withColumnRenamed("n", "part")
+    Each of the parts - 1 cuts is the first row whose running sum is far enough beyond the last cut's: a pass over running sums
+    that are written once.
+    """
+    sums = materialize(running_sums(rows, keys, order, F.coalesce(F.col(weight).cast("long"), F.lit(0).cast("long")), partitions), "running-sums")
+    cut = sums.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("_at"), F.lit(0).cast("long").alias("_gone"))
+    cuts = []
+    for n in range(parts - 1):
+        reach = (F.col("_before") + F.col("_w") - F.col("_gone")) * parts >= F.col("_total")
+        first = _beside(sums, cut, keys).where((F.col("_rank") >= F.col("_at")) & reach).groupBy(*keys).agg(F.min(F.struct((F.col("_rank") + 1).alias("_at"), (F.col("_before") + F.col("_w")).alias("_gone"), "_rows")).alias("_c"))
+        cut = materialize(first.where(F.col("_c._rows") - F.col("_c._at") >= parts - 1 - n).select(*keys, "_c._at", "_c._gone"), "cuts")
+        cuts.append(cut)
+    if not cuts:
+        return sums.select(*keys, order, F.lit(0).cast("long").alias("part"))
+    every = reduce(DataFrame.unionByName, cuts).groupBy(*keys).agg(F.collect_list("_at").alias("_cuts"))
+    part = F.size(F.filter("_cuts", lambda c: c <= F.col("_rank"))).cast("long")
+    return _beside(sums, every, keys, "left").select(*keys, order, F.when(F.col("_cuts").isNull(), F.lit(0).cast("long")).otherwise(part).alias("part"))
 
 
 def parts_needed(total: Column, limit: Column | float) -> Column:
@@ -75,52 +75,32 @@ def merge_short(segments: DataFrame, minimum=100, maximum=260, doc="doc_id", cha
     (doc, chapter, first order, pieces, size, speaker, pause_ms, needs_review, reason) per merged segment.
     """
     block, speaker, a, b, whole, size, pause, review, reason = doc_fields
-    item = F.struct(
-        F.col(order).cast("long").alias("o"), F.col(block).cast("string").alias("b"), F.col(speaker).alias("s"), F.col(a).cast("int").alias("x"), F.col(b).cast("int").alias("y"), F.col(whole).cast("int").alias("len"),
-        F.col(size).cast("int").alias("w"), F.col(pause).cast("int").alias("p"), F.col(review).alias("r"), F.col(reason).alias("why"),
+    at = lambda c, none: F.coalesce(F.col(c).cast("long"), F.lit(none).cast("long"))
+    fields = {
+        "w": _size(F.col(size)), "s": F.xxhash64(speaker), "b": F.when(F.col(block).isNotNull(), F.xxhash64(F.col(block).cast("string"))).otherwise(F.xxhash64(F.lit("no block"), order)),
+        "x": at(a, -1), "y": at(b, -2), "whole": at(whole, -3), "can": F.lit(1).cast("long"),
+    }
+    rows = segments.select(doc, chapter, F.col(order).cast("long").alias(order), *[F.col(c) for c in doc_fields if c not in (doc, chapter, order)])
+    rows = piece_numbers(rows, [doc, chapter], order, ShortJoins(minimum, maximum), fields, tuple(doc_fields))
+    o, why = F.col(order), F.when(F.col(reason) != "", F.col(reason))
+    flags = F.when(F.max(F.col(review).cast("int")) == 1, True).when(F.count_if(F.col(review).isNull()) > 0, None).otherwise(False)
+    piece = F.struct(o.alias("o"), F.col(block).cast("string").alias("b"), F.col(a).cast("int").alias("x"), F.col(b).cast("int").alias("y"))
+    merged = rows.groupBy(doc, chapter, "piece").agg(
+        F.min(o).alias("_first"), F.array_sort(F.collect_list(piece)).alias("pieces"), (F.sum(_size(F.col(size))) + F.count("*") - 1).cast("int").alias("_size"), F.max_by(speaker, o).alias("_speaker"),
+        F.max_by(F.col(pause).cast("int"), o).alias("_pause"), flags.alias("_review"), F.coalesce(F.min_by(why, F.when(why.isNotNull(), o)), F.max_by(reason, o)).alias("_reason"),
     )
-    kind = "array<struct<o:bigint,s:string,w:int,p:int,r:boolean,why:string,lb:string,ly:int,llen:int,pieces:array<struct<o:bigint,b:string,x:int,y:int>>>>"
-
-    def step(out: Column, v: Column) -> Column:
-        last = F.element_at(out, -1)
-        piece = F.struct(v["o"].alias("o"), v["b"].alias("b"), v["x"].alias("x"), v["y"].alias("y"))
-        touch = ((last["lb"] == v["b"]) & (last["ly"] == v["x"])) | ((last["ly"] == last["llen"]) & (v["x"] == 0))
-        fits = (F.least(last["w"], v["w"]) < minimum) & (last["w"] + 1 + v["w"] <= maximum)
-        join = (F.size(out) > 0) & last["s"].eqNullSafe(v["s"]) & touch & fits
-
-        def made(first, w, r, why, pieces):
-            return F.struct(first.alias("o"), v["s"].alias("s"), w.cast("int").alias("w"), v["p"].alias("p"), r.alias("r"), why.alias("why"), v["b"].alias("lb"), v["y"].alias("ly"), v["len"].alias("llen"), pieces.alias("pieces"))
-
-        longer = made(last["o"], last["w"] + 1 + v["w"], last["r"] | v["r"], F.coalesce(F.nullif(last["why"], F.lit("")), v["why"]), F.array_append(last["pieces"], piece))
-        alone = made(v["o"], v["w"], v["r"], v["why"], F.array(piece))
-        return F.when(join, F.array_append(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), longer)).otherwise(F.array_append(out, alone)).cast(kind)
-
-    folded = fold_ordered(segments, [doc, chapter], order, item, F.array().cast(kind), step)
-    flat = folded.select(doc, chapter, F.inline("folded"))
-    return flat.select(doc, chapter, F.col("o").alias(order), "pieces", F.col("w").alias("size"), F.col("s").alias("speaker"), F.col("p").alias("pause_ms"), F.col("r").alias("needs_review"), F.col("why").alias("reason"))
+    return merged.select(doc, chapter, F.col("_first").alias(order), "pieces", F.col("_size").alias("size"), F.col("_speaker").alias("speaker"), F.col("_pause").alias("pause_ms"), F.col("_review").alias("needs_review"), F.col("_reason").alias("reason"))
 
 
 def join_same_key(groups: DataFrame, keys: list[str], order: str, key: str, size: str, minimum: int, maximum: int) -> DataFrame:
-    """FLD-5: (keys, order, joined): groups in a row of one reference key become one while either is short and both fit."""
-    item = F.struct(F.col(order).cast("long").alias("o"), F.col(key).cast("string").alias("k"), F.col(size).cast("long").alias("w"))
-    start = F.struct(F.lit(-1).cast("long").alias("n"), F.lit(None).cast("string").alias("k"), F.lit(0).cast("long").alias("w"), F.array().cast("array<struct<o:bigint,n:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        join = (s["n"] >= 0) & (s["k"] == x["k"]) & (F.least(s["w"], x["w"]) < minimum) & (s["w"] + 1 + x["w"] <= maximum)
-        join = F.coalesce(join, F.lit(False))
-        n = (s["n"] + F.when(join, 0).otherwise(1)).cast("long")
-        return F.struct(n.alias("n"), x["k"].alias("k"), F.when(join, s["w"] + 1 + x["w"]).otherwise(x["w"]).alias("w"), F.array_append(s["out"], F.struct(x["o"].alias("o"), n.alias("n"))).alias("out"))
-
-    folded = fold_ordered(groups, keys, order, item, start, step)
-    return folded.select(*keys, F.inline("folded.out")).withColumnRenamed("o", order).withColumnRenamed("n", "joined")
+    """FLD-5: (keys, order, joined): groups in a row of one reference key (not null) become one while either is short and both fit."""
+    none = F.lit(0).cast("long")
+    fields = {"w": _size(F.col(size)), "s": F.xxhash64(F.col(key).cast("string")), "b": none, "x": none, "y": none, "whole": none, "can": F.col(key).isNotNull().cast("long")}
+    return piece_numbers(groups, keys, order, ShortJoins(minimum, maximum), fields).withColumnRenamed("piece", "joined")
 
 
 def sample_text(spans: DataFrame, keys: list[str], order: str, text: str, target=80, cap=120, default="") -> DataFrame:
     """FLD-9: texts in order until the cap is reached, cut at the sentence end nearest to the target; a default if short."""
-    from pyspark.sql import Window as W
-
-    from fabula.functions.text import trim_near
-
     before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     used = spans.withColumn("_before", F.coalesce(F.sum(F.length(text) + 1).over(before), F.lit(0))).where(F.col("_before") < cap)
     joined = used.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_t"))

@@ -53,30 +53,71 @@ def _frames(x: np.ndarray, size: int) -> np.ndarray:
     return np.sqrt((x[: n * size].reshape(n, size) ** 2).mean(1)) if n else np.zeros(0)
 
 
-def click_times(x: np.ndarray, rate: int, ratio=25.0) -> list[float]:
-    """SIG-3 of one clip: 5 ms bursts that stand ``ratio`` times above the frames around them, in a pause, with no tail."""
-    r = _frames(x, max(1, rate // 200))
-    if len(r) < 9:
+# Fixed values of the click rule, in milliseconds, decibels and multiples.
+CLICK_RULE = {
+    "surround": 81, "shortest": 120, "ratio": 25.0, "energy": 0.004, "quiet_db": -42.0, "quiet_around": 20, "apart": 6, "speech_percentile": 95, "speech_below": 25.0,
+    "from_speech": 80, "skip_before": 2, "skip_after": 3, "tail": (10, 40), "floor": (60, 10), "tail_db": 12.0,
+}
+
+
+def _within(flags: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many flags stand in each range [a, b), cut to the array."""
+    upto = np.concatenate(([0], np.cumsum(flags)))
+    a, b = np.clip(a, 0, len(flags)), np.clip(b, 0, len(flags))
+    return upto[np.maximum(a, b)] - upto[a]
+
+
+def _median(values: np.ndarray, a: int, b: int) -> float:
+    own = values[max(0, a) : max(0, b)]
+    return float(np.median(own)) if len(own) else float("nan")
+
+
+def click_times(x: np.ndarray, rate: int, rule: dict | None = None) -> list[tuple[float, float]]:
+    """SIG-3 of one clip: (start, end) in seconds of short wide-band bursts that are heard as clicks.
+
+    A burst is where the second difference's energy stands far above the log mean around it. It is a click if it lies in a
+    pause, no speech is near on either side (a plosive is near its word), and it is still again at once (a breath fades).
+    Too short clips have none.
+    """
+    rule = CLICK_RULE | (rule or {})
+    size = max(1, rate // 1000)
+    n = len(x) // size
+    if n < rule["shortest"]:
+        return []
+    sharp = np.pad(np.diff(np.asarray(x, float), 2), 1)
+    in_frames = lambda y: np.sqrt((y[: n * size].reshape(n, size) ** 2).mean(1))
+    energy = in_frames(sharp) + 1e-7
+    upto = np.concatenate(([0.0], np.cumsum(np.log(energy))))
+    half = rule["surround"] // 2
+    low, high = np.clip(np.arange(n) - half, 0, n), np.clip(np.arange(n) + half + 1, 0, n)
+    around = np.exp((upto[high] - upto[low]) / rule["surround"])  # what lies outside the clip counts as silence of level one, like the rule's
+    level = 20 * np.log10(in_frames(np.asarray(x, float)) + 1e-9)
+    burst = np.flatnonzero((energy > rule["ratio"] * around) & (energy > rule["energy"]))
+    burst = np.array([i for i in burst if _median(level, i - rule["quiet_around"], i + rule["quiet_around"] + 1) < rule["quiet_db"]], int)
+    if not len(burst):
         return []
-    speech = np.percentile(r, 90)
+    first = np.flatnonzero(np.concatenate(([True], np.diff(burst) > rule["apart"])))
+    starts, ends = burst[first], burst[np.append(first[1:], len(burst)) - 1]
+    speech = level > np.percentile(level, rule["speech_percentile"]) - rule["speech_below"]
+    near = _within(speech, starts - rule["from_speech"], starts - rule["skip_before"]) + _within(speech, ends + rule["skip_after"], ends + rule["skip_after"] + rule["from_speech"])
     found = []
-    for i in range(4, len(r) - 4):
-        around = np.concatenate((r[i - 4 : i - 1], r[i + 2 : i + 5]))
-        if r[i] > ratio * max(np.median(around), 1e-6) and around.max() < 0.1 * speech and r[i + 2] < 0.2 * r[i]:
-            found.append(i / 200)
+    for a, b in zip(starts[near == 0], ends[near == 0], strict=True):
+        tail, floor = _median(level, b + rule["tail"][0], b + rule["tail"][1]), _median(level, a - rule["floor"][0], max(1, a - rule["floor"][1]))
+        if not tail > floor + rule["tail_db"]:  # a burst at the very end has no tail
+            found.append((a * size / rate, (b + 1) * size / rate))
     return found
 
 
 def quiet_clicks(clips: DataFrame) -> DataFrame:
-    """SIG-3: (clip_id, at_s)."""
+    """SIG-3: (clip_id, at_s, end_s); a null clip has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(c, t) for c, s, r in zip(pdf["clip_id"], pdf["samples"], pdf["sample_rate"], strict=True) if s is not None for t in click_times(np.asarray(s, float), int(r))]
-            yield pd.DataFrame(rows, columns=["clip_id", "at_s"]).astype({"at_s": float})
+            rows = [(c, *t) for c, s, r in zip(pdf["clip_id"], pdf["samples"], pdf["sample_rate"], strict=True) if s is not None and r for t in click_times(np.asarray(s, float), int(r))]
+            yield pd.DataFrame(rows, columns=["clip_id", "at_s", "end_s"]).astype({"at_s": float, "end_s": float})
 
     kind = dict(clips.dtypes)["clip_id"]
-    return clips.select("clip_id", "samples", "sample_rate").mapInPandas(run, f"clip_id {kind}, at_s double")
+    return clips.select("clip_id", "samples", "sample_rate").mapInPandas(run, f"clip_id {kind}, at_s double, end_s double")
 
 
 def quiet_cuts(x: np.ndarray, weights: np.ndarray, rate: int, reach=0.3) -> list[int]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fabula.operators.ordered import running_medians
+
 _TAIL = r"[\s»”\"'’)\]}—–-]+$"
 
 
@@ -98,17 +100,15 @@ def alternate(rows: DataFrame, doc="doc_id", order="seg_order") -> DataFrame:
 
 def adaptive_floor(takes: DataFrame, score: str, key: str, order: str, floor=0.5, slack=0.1, least=5) -> DataFrame:
     """W-13: 0.5 until five values are seen, then their median less a slack, not under 0.5."""
-    before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    median = F.percentile(score, F.lit(0.5)).over(before)
-    return takes.withColumn("floor", F.when(F.count(score).over(before) >= least, F.greatest(F.lit(floor), median - slack)).otherwise(floor))
+    rows = running_medians(takes, [key], [order], score, "_median", "_seen")
+    return rows.withColumn("floor", F.when(F.col("_seen") >= least, F.greatest(F.lit(floor), F.col("_median") - slack)).otherwise(floor)).drop("_median", "_seen")
 
 
 def adaptive_band(takes: DataFrame, tempo: str, key: str, order: str, low=0.6, high=1.45, least=6.0, most=20.0) -> DataFrame:
     """W-14: band around the running median of all earlier tempos, clamped (the gate that leaves out flagged takes is streaming.running_gate)."""
-    before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    median = F.percentile(tempo, F.lit(0.5)).over(before)
+    rows, median = running_medians(takes, [key], [order], tempo, "_median", "_seen"), F.col("_median")
     clamp = lambda c: F.least(F.greatest(c, F.lit(least)), F.lit(most))
-    return takes.withColumn("tempo_low", F.coalesce(clamp(median * low), F.lit(least))).withColumn("tempo_high", F.coalesce(clamp(median * high), F.lit(most)))
+    return rows.withColumn("tempo_low", F.coalesce(clamp(median * low), F.lit(least))).withColumn("tempo_high", F.coalesce(clamp(median * high), F.lit(most))).drop("_median", "_seen")
 
 
 def pause_runs(frames: DataFrame, voiced="voiced", clip="clip_id", frame="frame", least=90) -> DataFrame:

@@ -225,17 +225,25 @@ def exported_text(spark: SparkSession, d: str) -> DataFrame:
     return export_text(lines(spark, d))
 
 
-@query(SEG + """SELECT doc_id, sum(length(text))::BIGINT AS chars, count(*) AS lines FROM seg GROUP BY 1""")
+@query(
+    SEG.replace("WITH ex", "WITH RECURSIVE ex")
+    + """, p AS (SELECT *, length(text) AS size, sum(length(text)) OVER (PARTITION BY doc_id, block_id ORDER BY seg_order) AS y, sum(length(text)) OVER (PARTITION BY doc_id, block_id) AS whole, row_number() OVER (PARTITION BY doc_id, chapter_id ORDER BY seg_order) AS r FROM seg),
+m AS (SELECT doc_id, chapter_id, r, seg_order, seg_order AS first, size AS held, speaker, block_id, y, whole FROM p WHERE r = 1
+UNION ALL SELECT doc_id, chapter_id, r, seg_order, CASE WHEN ok THEN first ELSE seg_order END, CASE WHEN ok THEN held + 1 + size ELSE size END, speaker, block_id, y, whole
+FROM (SELECT p.*, m.first, m.held, p.speaker = m.speaker AND ((p.block_id = m.block_id AND m.y = p.y - p.size) OR (m.y = m.whole AND p.y = p.size)) AND least(m.held, p.size) < 100 AND m.held + 1 + p.size <= 260 AS ok
+ FROM m JOIN p ON p.doc_id = m.doc_id AND p.chapter_id = m.chapter_id AND p.r = m.r + 1))
+SELECT doc_id, chapter_id, first AS seg_order, max(held)::INTEGER AS size, count(*) AS pieces, any_value(speaker) AS speaker, max(seg_order) AS last FROM m GROUP BY 1, 2, 3"""
+)
 def merged_segments(spark: SparkSession, d: str) -> DataFrame:
-    """FLD-4 keeps every character and piece: the pieces of the merged segments, counted by document."""
+    """FLD-4: the merged segments with their first and last line, size and number of pieces."""
     from pyspark.sql import Window as W
 
     rows = lines(spark, d).withColumn("size", F.length("text"))
     upto = W.partitionBy("doc_id", "block_id").orderBy("seg_order").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("char_end", F.sum("size").over(upto)).withColumn("char_start", F.col("char_end") - F.col("size")).withColumn("block_len", F.sum("size").over(W.partitionBy("doc_id", "block_id")))
     rows = rows.withColumn("pause_ms", F.lit(100)).withColumn("needs_review", F.lit(False)).withColumn("reason", F.lit(""))
-    merged = folds.merge_short(rows, 100, 260).select("doc_id", F.explode("pieces").alias("p"))
-    return merged.groupBy("doc_id").agg(F.sum(F.col("p.y") - F.col("p.x")).cast("long").alias("chars"), F.count("*").alias("lines"))
+    merged = folds.merge_short(rows, 100, 260)
+    return merged.select("doc_id", "chapter_id", "seg_order", "size", F.size("pieces").cast("long").alias("pieces"), "speaker", F.element_at("pieces", -1)["o"].alias("last"))
 
 
 @query(TIMED + """SELECT a.doc_id, a.seg_order FROM timed a JOIN timed b ON a.doc_id = b.doc_id AND a.seg_order = b.seg_order + 1 WHERE a.start - 500 < b."end" """)

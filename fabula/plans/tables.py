@@ -244,7 +244,11 @@ def incremental_once(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(done)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+g AS (SELECT DISTINCT user_id, 0::BIGINT AS r, NULL::BIGINT AS event_id, NULL::DOUBLE AS value, NULL::BOOLEAN AS accepted, []::DOUBLE[] AS seen FROM events
+UNION ALL SELECT user_id, r, event_id, value, ok, CASE WHEN ok THEN list_append(seen, value) ELSE seen END FROM (SELECT e.*, g.seen,
+ len(g.seen) < 5 OR e.value BETWEEN 0.6 * list_aggregate(g.seen, 'median') AND 1.45 * list_aggregate(g.seen, 'median') AS ok FROM g JOIN e ON e.user_id = g.user_id AND e.r = g.r + 1))
+SELECT user_id, event_id, value, accepted FROM g WHERE r > 0""")
 def running_gate(spark: SparkSession, d: str) -> DataFrame:
     """ST-2 in batch: values inside the band of the accepted ones before them."""
     return S.running_gate(takes(spark, d), "user_id", "event_id", "value")

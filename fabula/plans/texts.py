@@ -115,11 +115,10 @@ def number_words(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(said, "n").withColumn("ordinal", N.ordinal_word(F.col("o_orderkey") % 9999 + 1))
 
 
-@query(r"""SELECT fragment, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ɏ]+(?:[ ''’-]+[A-Za-zÀ-ÖØ-öø-ɏ]+)*'))) AS fragment FROM documents) GROUP BY 1""")
+@query(r"""SELECT fragment, count(*) AS n, min(doc_id) AS first_doc, arg_min(context, doc_id) AS context FROM (SELECT doc_id, left(text, 200) AS context, unnest(list_distinct(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ɏ]+(?:[ ''’-]+[A-Za-zÀ-ÖØ-öø-ɏ]+)*'))) AS fragment FROM documents) GROUP BY 1""")
 def foreign_fragments(spark: SparkSession, d: str) -> DataFrame:
-    """STR-24: fragments, how many documents have each, the first."""
-    each = docs(spark, d).select("doc_id", F.explode(F.array_distinct(X.foreign_fragments(F.col("text")))).alias("fragment"))
-    return each.groupBy("fragment").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    """STR-24: fragments, how many documents have each, the first and its first 200 characters."""
+    return X.fragment_contexts(docs(spark, d), "doc_id", "text").withColumnRenamed("first", "first_doc")
 
 
 @query(r"""WITH r AS (SELECT DISTINCT regexp_extract(text, '[A-Za-z]{4,}') AS w FROM benchmark), t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{4,}') AS f, regexp_split_to_array(text, '[A-Za-z]{4,}') AS g FROM documents),

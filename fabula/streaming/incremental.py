@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fabula.operators.ordered import RunningMedian, gate_step, keyed_pass
 from fabula.session import fresh_path
 
 
@@ -35,49 +37,31 @@ def incremental(stream: DataFrame, done: str, keys: list[str], signature: str, w
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def gate_group(pdf: pd.DataFrame, seen: list[float], low: float, high: float, least: int) -> tuple[list[bool], list[float]]:
-    """ST-2's rule: a value is accepted if it lies in the band around the median of the values accepted before it (all are
-    until ``least`` of them); flagged values don't count."""
-    out = []
-    for v in pdf["value"]:
-        ok = True
-        if len(seen) >= least:
-            m = float(pd.Series(seen).median())
-            ok = low * m <= v <= high * m
-        if ok:
-            seen.append(float(v))
-        out.append(ok)
-    return out, seen
-
-
 def running_gate(rows: DataFrame, key: str, order: str, value: str, low=0.6, high=1.45, least=5) -> DataFrame:
-    """ST-2 in batch: (key, order, value, accepted). A key's rows come in order; keys run in parallel."""
-    kinds = dict(rows.dtypes)
+    """ST-2 in batch: (key, order, value, accepted). One pass over a key's rows in order; keys run in parallel."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        pdf["accepted"], _ = gate_group(pdf.rename(columns={value: "value"}), [], low, high, least)
-        return pdf
+    def step(state: RunningMedian, batch: pa.RecordBatch):
+        values = batch.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False).tolist()
+        return (pa.array(gate_step(state, values, low, high, least)),)
 
-    return rows.select(key, order, value).groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}, accepted boolean")
+    return keyed_pass(rows.select(key, order, value), [key], [order], RunningMedian, step, "accepted boolean")
 
 
-def running_gate_stream(stream: DataFrame, key: str, order: str, value: str, low=0.6, high=1.45, least=5, window=1000) -> DataFrame:
-    """ST-2 as a stream: the accepted values of a key (the last ``window``) are its state."""
+def running_gate_stream(stream: DataFrame, key: str, order: str, value: str, low=0.6, high=1.45, least=5) -> DataFrame:
+    """ST-2 as a stream: a key's state is the two heaps of all its accepted values, so the stream accepts what the batch does."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     kinds = dict(stream.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values(order)
-            pdf["accepted"], seen = gate_group(pdf.rename(columns={value: "value"}), seen, low, high, least)
-            yield pdf[[key, order, value, "accepted"]]
-        state.update((seen[-window:],))
+        seen = RunningMedian(*(bytes(h) for h in state.get)) if state.exists else RunningMedian()
+        arrived = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")  # a key's rows of one micro-batch
+        arrived["accepted"] = gate_step(seen, arrived[value].astype(float).tolist(), low, high, least)
+        yield arrived[[key, order, value, "accepted"]]
+        state.update(seen.saved())
 
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {value} {kinds[value]}, accepted boolean"
-    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(step, schema, "seen array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(step, schema, "low binary, high binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def progress(stream: DataFrame, key: str, value: str) -> DataFrame:
