@@ -10,7 +10,7 @@ every string of 50 the smallest document that has it. An anchor with more stretc
 several shards in doc_id order, and each looks its strings up in the sorted strings of the earlier ones by binary search.
 
 Defined cases: a null text is empty; texts under 50 bytes lose nothing; rows that repeat a doc_id don't match each other
-and answer each for itself (told apart by a 16-bit tag of their texts); a null doc_id matches nothing. Stretches are told
+and answer each for itself (told apart by a number that each further text of a doc_id gets); a null doc_id matches nothing. Stretches are told
 apart by 64-bit hashes beside those of their anchors, strings in shards by their bytes.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fabula.llm.common import _BASE, _BYTES, documents, materialize, mix64, pieces, release, segment_sums, shuffle_partitions, utf8
@@ -31,7 +32,7 @@ PIECE = 2_000_000
 SHARD = 1 << 21
 BUCKETS_A_PARTITION = 8
 #: ``size`` is the bytes of a stretch, 80 at most.
-RECORD = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("doc", "<u4"), ("place", "<u4"), ("tag", "<u2"), ("size", "u1")])
+RECORD = np.dtype([("anchor", "<u8"), ("around", "<u8"), ("doc", "<u4"), ("place", "<u4"), ("tag", "<u4"), ("size", "u1")])
 ASKED = np.dtype([("place", "<u4"), ("size", "u1"), ("anchor", "<i8")])
 PLACE = np.dtype([("place", "<u4"), ("size", "u1")])
 LANE = 64
@@ -509,10 +510,19 @@ def _keep(batches):
             yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(size), pa.array(removed), pa.array(heads), _binary(raw[~gone], size - removed)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, tag): 0, and 1, 2, ... for the further texts of a doc_id (by a 64-bit hash of the text)."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    number = F.row_number().over(W.partitionBy("doc_id").orderBy("hash")) - 1
+    further = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "hash").distinct().withColumn("tag", number).where("tag > 0")
+    further = materialize(further, "further-texts")  # written, so Spark knows its size: mostly nothing, which it sends to all tasks
+    return rows.join(further, ["doc_id", "hash"], "left").select("doc_id", "text", F.coalesce("tag", F.lit(0)).alias("tag"))
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every document without the bytes it repeats, as bytes."""
     spark = docs.sparkSession
-    tagged = docs.select("doc_id", "text", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"))
+    tagged = _tagged(docs)
     long = tagged.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN))
     buckets = shuffle_partitions(spark) * BUCKETS_A_PARTITION
     sent = long.mapInArrow(_send(buckets), _SENT).repartition("bucket").sortWithinPartitions("bucket")

@@ -248,3 +248,25 @@ def test_whitening_cases(spark):
     assert {r.deviation for r in far if r.vec_id < 3} == {None}
     single = spark.createDataFrame([(1, [0.5, 1.5]), (2, [2.5, 0.25])], "vec_id int, embedding array<float>")
     assert {r.vec_id for r in whitening.whiten(single).collect()} == {1, 2}
+
+
+def test_suffixes_of_a_doc_id_with_many_texts(spark):
+    """Texts of one doc_id answer each for itself, however their hashes fall: long and short ones that share passages."""
+    from fabula.llm import suffixes
+
+    rng = random.Random(8)
+    shared = ["".join(rng.choice("abcdef ") for _ in range(90)) for _ in range(5)]
+    rows = [(1, "start " + shared[0]), (2, shared[1] * 2)]
+    rows += [(77, "".join(rng.choice("ghij ") for _ in range(rng.choice([5, 60, 400]))) + rng.choice(shared)) for _ in range(60)] + [(90, shared[2] + "tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    raws, seen, want = [(d, t.encode()) for d, t in rows], {}, collections.Counter()
+    for d, raw in raws:
+        for i in range(len(raw) - 49):
+            seen[raw[i : i + 50]] = min(d, seen.get(raw[i : i + 50], d))
+    for d, raw in raws:
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 49):
+            if seen[raw[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        want[(d, bytes(b for b, m in zip(raw, gone, strict=True) if not m))] += 1
+    assert collections.Counter((r.doc_id, bytes(r.kept)) for r in suffixes.dedup_substrings(docs).collect()) == want
