@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Where a piece may end, the best first.
+# Where a piece may end, the best first.
 _ENDS = {"sentence": r"""[.!?…][»”"')\]]*\s+""", "clause": r"""[,;:][»”"')\]]*\s+|\s+[—–]\s+""", "word": r"\s+"}
 
 
@@ -46,40 +46,71 @@ class SplitWindow:
             yield i, a, b, name
 
 
-_PAIRS = {"«": "»", "„": "“”", "“": "”", "‹": "›", "‚": "‘’", "‘": "’", '"': '"'}  # Fixed values: opening quotes and what may close each
-_LONG, _SHORT = 160, 40
-_NEW_TURN = re.compile(r"""[,.!?…:;»“”›‘’"]\s+(?=[—–])""")
-_NEW_SENTENCE = re.compile(r"""[.!?…]+[»“”›‘’".!?…]*\s+(?=[^\W\d_])""")
+# Opening quotes with what may close each, stops, and the lengths of a long fragment and of a piece that may be cut off it.
+QUOTES = {"«": "»", "„": "“”", "“": "”", "‹": "›", "‚": "‘’", "‘": "’", '"': '"'}
+CLOSING = frozenset("".join(QUOTES.values()))
+STOPS, ENDS = frozenset(",.!?…:;"), frozenset(".!?…")
+LONG_FRAGMENT, SHORT_FRAGMENT = 160, 40
+_SIGN = re.compile(r"""\w+|[^\w\s]""")
+
+
+class Signs:
+    """A paragraph's words and signs, with whether a blank stands before each and which quotes are a pair in no other."""
+
+    def __init__(self, text: str):
+        found = list(_SIGN.finditer(text))
+        self.text, self.at, self.said = text, [m.start() for m in found], [m[0] for m in found]
+        self.blank = [k == 0 or self.at[k - 1] + len(self.said[k - 1]) < self.at[k] for k in range(len(found))]
+        self.pairs = list(self._pairs())
+
+    def _apostrophe(self, k: int) -> bool:
+        beside = self.text[max(0, self.at[k] - 1) : self.at[k]] + self.text[self.at[k] + 1 : self.at[k] + 2]
+        return self.said[k] == "‘" and len(beside) == 2 and beside.isalpha()
+
+    def _pairs(self):
+        wanted, first = [], 0  # what closes the open quotes, from the outermost
+        for k, sign in enumerate(self.said):
+            if wanted and sign in wanted[-1]:
+                wanted.pop()
+                if not wanted:
+                    yield first, k
+            elif sign in QUOTES and not self._apostrophe(k):
+                first = first if wanted else k
+                wanted.append(QUOTES[sign])
+
+    def ends_sentence(self, k: int) -> bool:
+        """Whether stops, with closing quotes among them, stand right before the blank before sign ``k``."""
+        ended, j = False, k - 1
+        while j >= 0 and (self.said[j] in ENDS or self.said[j] in CLOSING):
+            ended |= self.said[j] in ENDS
+            if self.blank[j]:
+                break
+            j -= 1
+        return ended and self.blank[k]
+
+    def speech(self, a: int, b: int) -> bool:
+        """Whether a pair of quotes holds something said: it opens the paragraph, follows a colon or dash, or is a sentence."""
+        inside = self.said[a + 1 : b]
+        words = sum(s[0].isalnum() or s[0] == "_" for s in inside)
+        return a == 0 or self.said[a - 1] in (":", "—", "–") or words > 1 and not ENDS.isdisjoint(inside)
+
+    def turns(self) -> set[int]:
+        """The signs at which speech and narrator change."""
+        found = {k for k in range(1, len(self.said)) if self.said[k] in ("—", "–") and self.blank[k] and (self.said[k - 1] in STOPS or self.said[k - 1] in CLOSING)}
+        for a, b in self.pairs:
+            if self.speech(a, b):
+                k = b + 1
+                while k < len(self.said) and self.said[k] in STOPS and not self.blank[k]:
+                    k += 1
+                found |= {s for s, before in ((a, a - 1), (k, k)) if s and before < len(self.said) and self.said[before] not in ("—", "–")}
+        return found
 
 
 def outer_quotes(text: str):
     """(start, end) of the quotations that stand in no other; unclosed ones and apostrophes are none."""
-    waiting: list[tuple[int, str]] = []
-    for m in re.finditer(r"""[«»„“”‹›‚‘’"]""", text):
-        i, mark = m.start(), m[0]
-        if waiting and mark in waiting[-1][1]:
-            start = waiting.pop()[0]
-            if not waiting:
-                yield start, i + 1
-        elif mark in _PAIRS and not (mark == "‘" and re.fullmatch(r"[^\W\d_]‘[^\W\d_]", text[max(0, i - 1) : i + 2])):
-            waiting.append((i, _PAIRS[mark]))
-
-
-def speech_cuts(text: str) -> set[int]:
-    """Where a paragraph changes between speech and narrator: at a dash after punctuation, and around quoted speech (at the
-    paragraph's start, after a colon or dash, or of two words and a sentence's end)."""
-    cuts = {m.end() for m in _NEW_TURN.finditer(text)}
-    for a, b in outer_quotes(text):
-        before, inner = text[:a].rstrip(), text[a + 1 : b - 1]
-        spoken = len(re.findall(r"\w+", inner)) > 1 and re.search("[.!?…]", inner)
-        if before and before[-1] not in ":—–" and not spoken:
-            continue
-        if before and before[-1] not in "—–":
-            cuts.add(a)
-        rest = re.compile(r"[,.!?…:;]*\s*").match(text, b).end()
-        if text[rest : rest + 1] not in ("", "—", "–"):
-            cuts.add(rest)
-    return cuts
+    signs = Signs(text)
+    for a, b in signs.pairs:
+        yield signs.at[a], signs.at[b] + 1
 
 
 class SpeechFragments:
@@ -87,10 +118,12 @@ class SpeechFragments:
     around them."""
 
     def eval(self, text: str, limit: int):
-        text = text or ""
-        edges, n = [0, *sorted(speech_cuts(text)), len(text)], 0
+        text, n = text or "", 0
+        signs = Signs(text)
+        edges = [0, *sorted(signs.at[k] for k in signs.turns()), len(text)]
+        new = [at for k, at in enumerate(signs.at) if k and text[at].isupper() and signs.ends_sentence(k)]
         for a, b in zip(edges, edges[1:], strict=False):
-            inner = [] if b - a <= limit else [m.end() for m in _NEW_SENTENCE.finditer(text, a, b) if text[m.end()].isupper() and m.end() - a >= _SHORT and b - m.end() >= _SHORT]
+            inner = [] if b - a <= limit else [at for at in new[bisect_left(new, a + SHORT_FRAGMENT) : bisect_right(new, b - SHORT_FRAGMENT)]]
             for x, y in zip([a, *inner], [*inner, b], strict=True):
                 part = text[x:y]
                 if part.strip():
@@ -127,7 +160,7 @@ def split_window(df: DataFrame, text="text", target=220, maximum=260, minimum=10
     return _lateral(df, f"split_window(d.{text}, {target}, {maximum}, {minimum})", ["piece", "char_start", "char_end", "boundary"])
 
 
-def speech_fragments(df: DataFrame, text="text", limit=_LONG) -> DataFrame:
+def speech_fragments(df: DataFrame, text="text", limit=LONG_FRAGMENT) -> DataFrame:
     """SEG-6."""
     return _lateral(df, f"speech_fragments(d.{text}, {limit})", ["fragment", "char_start", "char_end"])
 
