@@ -163,13 +163,3 @@ def token_diff(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
 def size_mismatch(df: DataFrame, a: str, b: str) -> DataFrame:
     """ARR-2."""
     return df.where(F.size(a) != F.size(b))
-
-
-def replace_fragments(df: DataFrame, keys: list[str], text: str, readings: DataFrame, pattern: str) -> DataFrame:
-    """MAP-1: fragments of a text by their readings, others as they are. Fragments are exploded and joined on equality."""
-    numbered = df.withColumn("_parts", F.split(text, pattern)).withColumn("_found", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    each = numbered.select(*keys, F.posexplode("_found").alias("_i", "fragment")).join(readings, "fragment", "left")
-    said = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("reading", "fragment").alias("_r")))).alias("_said"))
-    joined = numbered.join(said, keys, "left")
-    whole = F.array_join(F.zip_with("_parts", F.coalesce(F.transform("_said", lambda x: x["_r"]), F.array().cast("array<string>")), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    return joined.withColumn(text, whole).drop("_parts", "_found", "_said")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fabula.functions.rules import ACUTE, REPORTING, RU_VOWELS
 from fabula.functions.text import letters
 
 
@@ -27,16 +28,29 @@ def check_registry(cast: DataFrame, doc="doc_id") -> DataFrame:
     return reduce(DataFrame.unionByName, [rows, twice, same, mute])
 
 
-def check_spans(blocks: DataFrame, spans: DataFrame, cast: DataFrame, doc="doc_id", block="block_id") -> DataFrame:
-    """DQ-2: spans give back their block exactly, speakers are known, unsure ones have a reason."""
+def reporting_faults(value: Column, speaker: Column, verbs: list[str] | None = None, reach: int = 110) -> dict[str, Column]:
+    """The guard of reporting clauses, as rules on a span: a clause behind a dash whose first ``reach`` characters have a verb
+    of speech is the narrator's (``insert``), and a narrator's span may not begin with a reply before it (``swallowed``)."""
+    verb = rf"(?iuU)\b(?:{'|'.join(verbs or REPORTING)})\b"
+    clauses = F.split(value, r"\s+[—–]\s+")
+    reports = lambda i: F.substring(F.get(clauses, i), 1, reach).rlike(verb)
+    later = F.when(F.size(clauses) > 1, F.sequence(F.lit(1), F.size(clauses) - 1)).otherwise(F.array().cast("array<int>"))
+    reply = F.regexp_replace(F.get(clauses, F.lit(0)), "^[–— ]+", "") != ""
+    swallowed = F.exists(later, lambda i: reports(i) & ((i > 1) | reply) & ~F.exists(F.slice(clauses, F.lit(1), i), lambda c: c.rlike(verb)))
+    return {"insert": F.exists(later, reports) & ~speaker.eqNullSafe("narrator"), "swallowed": speaker.eqNullSafe("narrator") & value.rlike("^[–—]") & swallowed}
+
+
+def check_spans(blocks: DataFrame, spans: DataFrame, cast: DataFrame, doc="doc_id", block="block_id", verbs: list[str] | None = None) -> DataFrame:
+    """DQ-2: spans give back their block exactly, speakers are known, unsure ones (or no speaker at all) have a reason, and
+    reporting clauses are the narrator's."""
     keys = [doc, block]
     w = W.partitionBy(*keys).orderBy("span_order")
-    placed = spans.join(blocks.select(*keys, F.col("text").alias("_block")), keys, "left").join(cast.select(doc, F.col("id").alias("speaker"), F.lit(True).alias("_known")), [doc, "speaker"], "left")
+    placed = spans.join(blocks.select(*keys, F.col("text").alias("_block")), keys, "left").join(cast.select(doc, F.col("id").alias("speaker"), F.lit(True).alias("_known")).distinct(), [doc, "speaker"], "left")
     placed = placed.withColumn("_from", F.coalesce(F.lag("end").over(w), F.lit(0))).withColumn("_last", F.lead("end").over(w).isNull())
     return run_rules(placed, [*keys, "span_order"], {
         "gap": F.col("start") != F.col("_from"), "tail": F.col("_last") & (F.col("end") != F.length("_block")), "text": F.col("text") != F.substring(F.col("_block"), F.col("start") + 1, F.col("end") - F.col("start")),
-        "speaker": F.col("speaker").isNotNull() & F.col("_known").isNull(), "reason": (F.col("speaker").isNull() | (F.col("confidence") == "low")) & (F.coalesce(F.trim("reason"), F.lit("")) == ""), "block": F.col("_block").isNull(),
-    })
+        "speaker": F.col("speaker").isNotNull() & F.col("_known").isNull(), "reason": (F.col("speaker").isNull() | ~F.col("confidence").eqNullSafe("high")) & (F.coalesce(F.trim("reason"), F.lit("")) == ""), "block": F.col("_block").isNull(),
+    } | reporting_faults(F.col("text"), F.col("speaker"), verbs))
 
 
 def check_segments(segments: DataFrame, blocks: DataFrame, maximum=260, doc="doc_id", order="seg_order", block="block_id") -> DataFrame:
@@ -48,16 +62,41 @@ def check_segments(segments: DataFrame, blocks: DataFrame, maximum=260, doc="doc
     return run_rules(placed, [doc, order], {"order": F.col(order) != F.col("_n"), "size": F.length("text") > maximum, "gap": F.col("char_start") > F.col("_from"), "overlap": F.col("char_start") < F.col("_from"), "tail": F.col("_last") & (F.col("char_end") != F.col("_len")), "block": F.col("_len").isNull()})
 
 
-def _words(c: str) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}́]+", " "), " "), "")
-
-
-def check_edits(df: DataFrame, keys: list[str], original: str, prepared: str) -> DataFrame:
-    """DQ-4: an edited text keeps its words, letters, links and sentence ends, and gains no markup."""
-    links = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"(https?://\S+|[\w.+-]+@[\w.-]+)"), F.lit(1))
-    stops = lambda c: F.regexp_count(F.col(c), F.lit(r"[.!?…](?=\s|$)"))
-    same = F.forall(F.arrays_zip(_words(original).alias("o"), _words(prepared).alias("p")), lambda t: letters(t["o"]).eqNullSafe(letters(t["p"])))
-    return run_rules(df, keys, {"words": F.size(_words(original)) != F.size(_words(prepared)), "letters": ~same, "links": links(original) != links(prepared), "stops": stops(prepared) < stops(original), "markup": F.col(prepared).rlike(r"<[a-zA-Z/]") & ~F.col(original).rlike(r"<[a-zA-Z/]")})
+_WORD = rf"[\p{{L}}\p{{N}}{ACUTE}]+"
+_STOPS = ".!?…"
+
+
+def _kept_in_order(wanted: Column, had: Column) -> Column:
+    """Whether the signs of one text stand in another in order, with others between."""
+    return F.aggregate(F.split(had, ""), wanted, lambda left, c: F.when((c != "") & left.startswith(c), F.substring(left, 2, 1_000_000)).otherwise(left)) == ""
+
+
+def check_edits(df: DataFrame, keys: list[str], original: str, prepared: str, families: dict[str, str] | None = None) -> DataFrame:
+    """DQ-4: an edited text keeps its words, letters, links, ё and the author's marks, its skeleton (all but words, commas,
+    stops and dashes) and, between two words, its stops in order; marks stand behind vowels, one in a word; markup isn't added.
+
+    ``families`` (word to number) lets a number word take another form of the same number, in the same case of its first
+    letter. A null or blank edited text breaks ``empty``; keys of rows that break nothing are not returned.
+    """
+    o, p = F.coalesce(F.col(original), F.lit("")), F.coalesce(F.col(prepared), F.lit(""))
+    words = lambda c: F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
+    bare = lambda c: F.replace(c, F.lit(ACUTE), F.lit(""))
+    links = lambda c: F.regexp_extract_all(c, F.lit(r"(?:https?://|www\.)[^\s<>]+|[\w.+-]+@[\w.-]+\.[A-Za-z]+"), F.lit(0))
+    skeleton = lambda c: F.regexp_replace(F.regexp_replace(c, _WORD, "W"), "[,.!?;:—–…]", "")
+    pairs = F.arrays_zip(words(o).alias("o"), words(p).alias("p"))
+    upper = lambda c: F.substring(c, 1, 1).rlike(r"\p{Lu}")
+    number = F.create_map(*[F.lit(x) for pair in (families or {"": ""}).items() for x in pair])
+    alike = lambda t: F.coalesce((F.element_at(number, F.lower(bare(t["o"]))) == F.element_at(number, F.lower(bare(t["p"])))) & (upper(t["o"]) == upper(t["p"])), F.lit(False))
+    same = lambda t: letters(t["o"]).eqNullSafe(letters(t["p"])) | alike(t)
+    stops = lambda c: F.transform(F.split(c, _WORD), lambda g: F.regexp_replace(g, f"[^{_STOPS}]", ""))
+    markup = lambda c, sign: F.length(c) - F.length(F.replace(c, F.lit(sign), F.lit("")))
+    counted = (F.size(words(o)) == F.size(words(p))) & (F.trim(p) != "")
+    return run_rules(df, keys, {
+        "empty": F.trim(p) == "", "words": (F.size(words(o)) != F.size(words(p))) & (F.trim(p) != ""), "letters": counted & F.exists(pairs, lambda t: ~same(t)), "links": links(o) != links(p),
+        "yo": counted & F.exists(pairs, lambda t: F.lower(t["o"]).contains("ё") & ~F.lower(t["p"]).contains("ё")), "mark": counted & F.exists(pairs, lambda t: t["o"].contains(ACUTE) & (t["o"] != t["p"])),
+        "bad mark": F.exists(words(p), lambda w: w.rlike(f"{ACUTE}.*{ACUTE}") | w.rlike(rf"(?iu)(?<![{RU_VOWELS}]){ACUTE}")), "skeleton": counted & (skeleton(o) != skeleton(p)),
+        "stops": counted & F.exists(F.arrays_zip(stops(o).alias("o"), stops(p).alias("p")), lambda g: ~_kept_in_order(g["o"], g["p"])), "markup": p.rlike("[<>`]") & ((markup(p, "<") != markup(o, "<")) | (markup(p, ">") != markup(o, ">")) | (markup(p, "`") != markup(o, "`"))),
+    })
 
 
 def stale_rows(df: DataFrame, keys: list[str], text: Column, stored: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fabula.operators import annotators
+
 
 def label_by_hash(blocks: DataFrame, labels: DataFrame, text="text", label="label", order="ord", default=None) -> DataFrame:
     """JN-4: labels found again by the text's SHA-1; the last of several wins, a default where none is."""
@@ -65,11 +67,16 @@ def verify_timeline(segments: DataFrame, timeline: DataFrame, cols: list[str], d
 def mention_context(blocks: DataFrame, names: DataFrame, own: DataFrame, key: str, block="block_id", text="text", name="name") -> DataFrame:
     """JN-10: (key, block): blocks that name a key, or that are its own.
 
-    Names of one word meet the blocks' distinct words in an equi join; only names of several words (few, by nature of a
-    register) are looked for with ``contains``, after their first word has been found.
+    A name counts where its first word stands as a word and the text holds it. Up to ``SHARED_ENTRIES`` names are found by one
+    automaton in a pass over the texts; more of them meet the blocks' distinct words in an equi join first.
     """
     word = r"[^\p{L}\p{N}_#]+"
     parts = names.select(key, F.lower(name).alias("_name"), F.get(F.array_remove(F.split(F.lower(name), word), ""), F.lit(0)).alias("_word"))
+    if names.limit(annotators.SHARED_ENTRIES + 1).count() <= annotators.SHARED_ENTRIES:
+        held = annotators.names_in(blocks, text, names, name, [block, text]).withColumnRenamed("name", "_name")
+        spoken = F.array_contains(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), word), F.col("_word"))
+        named = held.join(parts.where("_word is not null"), "_name").where(spoken).select(key, block)
+        return named.unionByName(own.select(key, block)).distinct()
     words = blocks.select(block, text, F.explode(F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), word), ""))).alias("_word"))
     named = words.join(parts, "_word").where(F.contains(F.lower(text), F.col("_name"))).select(key, block)
     return named.unionByName(own.select(key, block)).distinct()

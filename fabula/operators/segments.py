@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fabula.operators.projections import drop_derived
+
 # Where a piece may end, the best first.
 _ENDS = {"sentence": r"""[.!?…][»”"')\]]*\s+""", "clause": r"""[,;:][»”"')\]]*\s+|\s+[—–]\s+""", "word": r"\s+"}
 
@@ -146,6 +148,7 @@ def register(spark: SparkSession) -> None:
     """UDTF-1: makes the table functions known to SQL."""
     spark.udtf.register("split_window", F.udtf(SplitWindow, returnType="piece int, char_start int, char_end int, boundary string"))
     spark.udtf.register("speech_fragments", F.udtf(SpeechFragments, returnType="fragment int, char_start int, char_end int"))
+    spark.udtf.register("cut_long", F.udtf(CutLong, returnType="piece int, part string, last boolean"))
     spark.udtf.register("token_ops", F.udtf(TokenOps, returnType="op string, a_start int, a_end int, b_start int, b_end int, fresh_number boolean"))
 
 
@@ -156,7 +159,8 @@ def _lateral(df: DataFrame, call: str, columns: list[str]) -> DataFrame:
 
 
 def split_window(df: DataFrame, text="text", target=220, maximum=260, minimum=100) -> DataFrame:
-    """SEG-1."""
+    """SEG-1: every column but those derived from the whole text, and the pieces."""
+    df = drop_derived(df)
     return _lateral(df, f"split_window(d.{text}, {target}, {maximum}, {minimum})", ["piece", "char_start", "char_end", "boundary"])
 
 
@@ -185,6 +189,34 @@ def sentences(df: DataFrame, keys: list[str], text="text", ident: str | None = N
     return out.withColumn("sentence_id", F.concat(F.col(ident).cast("string"), F.lit("_s"), F.lpad((F.col("sentence") + 1).cast("string"), 3, "0"))) if ident else out
 
 
+class CutLong:
+    """A sentence over the limit in pieces, (piece, part, last): each cut at the last blank before the limit, else at the limit."""
+
+    def eval(self, text: str, limit: int):
+        rest, n = (text or "").strip(), 0
+        while len(rest) > limit:
+            blank = rest.rfind(" ", 0, limit)
+            cut = blank + 1 if blank > 0 else limit
+            yield n, rest[:cut].strip(), False
+            rest, n = rest[cut:].strip(), n + 1
+        yield n, rest, True
+
+
+def pack_texts(df: DataFrame, keys: list[str], order: str, text: str, limit=250) -> DataFrame:
+    """SEG-2: (keys, chunk, chunk_text): sentences in order, with a space between, packed up to a limit; what is cut off an
+    overlong one stands alone, and its rest is packed on. Blank sentences are left out, a null text counts as blank."""
+    from fabula.operators.ordered import GreedyBatches, piece_numbers
+
+    rows = df.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(*keys, F.col(order).alias("_o"), F.col(text).alias("_t"))
+    cut = _lateral(rows, f"cut_long(d._t, {limit})", ["piece", "part", "last"]).where("part <> ''")
+    cut = cut.withColumn("_at", F.struct("_o", "piece"))
+    alone = F.when(F.col("last"), F.lit(0)).otherwise(F.xxhash64("_o", "piece"))
+    fields = {"w": (F.length("part") + 1).cast("long"), "g": alone.cast("long")}
+    packed = piece_numbers(cut, keys, "_at", GreedyBatches(limit + 1), fields, ("part",))
+    texts = packed.groupBy(*keys, "piece").agg(F.array_sort(F.collect_list(F.struct("_at", "part"))).alias("_p"))
+    return texts.select(*keys, F.col("piece").alias("chunk"), F.array_join("_p.part", " ").alias("chunk_text"))
+
+
 def pack_sentences(df: DataFrame, keys: list[str], order: str, size: str, limit=250) -> DataFrame:
     """SEG-2: sentences packed up to a limit."""
     from fabula.operators.folds import batch_by_size

@@ -168,11 +168,49 @@ def balanced_quotes(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", X.balance_quotes(F.translate("text", ",.", "«»")).alias("text"))
 
 
-@query(r"""SELECT doc_id, length(text) < 20 OR length(text) > 2500 AS sized, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x IS NOT NULL)) > 120 AS wordy FROM documents WHERE length(text) < 20 OR length(text) > 2500 OR len(regexp_split_to_array(trim(text), '\s+')) > 120""")
+@query(r"""SELECT * FROM (SELECT doc_id, length(text) < 20 OR length(text) > 2500 AS sized, len(regexp_split_to_array(trim(text), '\s+')) > 120 AS wordy, NOT regexp_matches(text, '[A-Za-z]') OR regexp_matches(text, '[Ѐ-ԯ]') AS script FROM documents) WHERE sized OR wordy OR script""")
 def instruction_checks(spark: SparkSession, d: str) -> DataFrame:
     """DQ-11: the rules that documents break as instructions."""
+    rule = F.col("rule")
     found = audits.check_instructions(docs(spark, d), ["doc_id"], "text")
-    return found.where("rule <> 'script'").groupBy("doc_id").agg(F.bool_or(F.col("rule").isin("short", "long")).alias("sized"), F.bool_or(F.col("rule") == "words").alias("wordy"))
+    return found.groupBy("doc_id").agg(F.bool_or(rule.isin("short", "long")).alias("sized"), F.bool_or(rule == "words").alias("wordy"), F.bool_or(rule == "script").alias("script"))
+
+
+_LINK = r"(?:https?://|www\.)[^\s<>]+|[\w.+-]+@[\w.-]+\.[A-Za-z]+"
+
+
+@query(rf"""WITH e AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN text || ' more' WHEN 1 THEN replace(text, '. ', ', ') ELSE text END AS edited FROM documents)
+SELECT doc_id, 'words' AS rule FROM e WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'stops' FROM e WHERE doc_id % 3 = 1 AND contains(text, '. ') UNION ALL SELECT doc_id, 'empty' FROM e WHERE trim(edited) = ''
+UNION ALL SELECT doc_id, 'links' FROM e WHERE regexp_extract_all(text, '{_LINK}') <> regexp_extract_all(edited, '{_LINK}')""")
+def edit_checks(spark: SparkSession, d: str) -> DataFrame:
+    """DQ-4: documents with a word more, or with commas for stops, as edited texts."""
+    third = F.pmod("doc_id", F.lit(3))
+    edited = F.when(third == 0, F.concat("text", F.lit(" more"))).when(third == 1, F.replace("text", F.lit(". "), F.lit(", "))).otherwise(F.col("text"))
+    return audits.check_edits(docs(spark, d).withColumn("edited", edited), ["doc_id"], "text", "edited").select("doc_id", "rule")
+
+
+_SAID = r"(?i)(?:^|[^\p{L}\p{N}_])(?:the|and)(?:[^\p{L}\p{N}_]|$)"
+
+
+@query(rf"""WITH c AS (SELECT doc_id, regexp_split_to_array('— ' || replace(text, ', ', ' — '), '\s+[—–]\s+') AS c FROM documents),
+h AS (SELECT doc_id, c, list_position(list_transform(c, lambda x: regexp_matches(x, '{_SAID}')), true) AS f, list_transform(c, lambda x: regexp_matches(left(x, 110), '{_SAID}')) AS n FROM c)
+SELECT doc_id, 'insert' AS rule FROM h WHERE doc_id % 2 = 1 AND list_contains(n[2:], true)
+UNION ALL SELECT doc_id, 'swallowed' FROM h WHERE doc_id % 2 = 0 AND f >= 2 AND n[f] AND (f > 2 OR regexp_replace(c[1], '^[–— ]+', '') <> '')""")
+def reporting_clauses(spark: SparkSession, d: str) -> DataFrame:
+    """DQ-2's guard: commas as dashes, two words as verbs of speech, every other document the narrator's."""
+    spans = docs(spark, d).select("doc_id", F.concat(F.lit("— "), F.replace("text", F.lit(", "), F.lit(" — "))).alias("value"), F.when(F.pmod("doc_id", F.lit(2)) == 0, "narrator").otherwise("voice").alias("speaker"))
+    return audits.run_rules(spans, ["doc_id"], audits.reporting_faults(F.col("value"), F.col("speaker"), ["the", "and"])).select("doc_id", "rule")
+
+
+@query("""SELECT source, coalesce(max(CASE WHEN source LIKE '%1' THEN upper(source) END), arg_min(lang, doc_id) FILTER (doc_id % 3 > 0 AND lang IS NOT NULL), '') AS title, coalesce(arg_min(lang, doc_id) FILTER (doc_id % 2 = 0 AND lang IS NOT NULL), '') AS author FROM documents GROUP BY 1""")
+def book_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-11: sources as books, some with a title, their documents as parts."""
+    from fabula.operators import projections
+
+    rows = table(spark, d, "documents")
+    books = rows.select("source").distinct().select("source", F.when(F.col("source").like("%1"), F.upper("source")).alias("title"), F.lit(None).cast("string").alias("author"))
+    parts = rows.select("source", F.col("doc_id").alias("part"), F.when(F.pmod("doc_id", F.lit(3)) > 0, F.concat("lang", F.lit(" — часть "), F.col("doc_id").cast("string"))).alias("title"), F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("lang")).alias("author"))
+    return projections.book_meta(books, parts, ["source"])
 
 
 @query(f"""SELECT doc_id, contains(text, ',') AS fell_back, CASE WHEN contains(text, ',') THEN text ELSE replace(text, 'a', 'a{ACUTE}') END AS text FROM documents""")

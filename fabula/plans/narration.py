@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.operators import aggregates as A
-from fabula.operators import folds, joins, topk, windows
+from fabula.operators import annotators, folds, joins, projections, segments, topk, windows
 from fabula.plans.registry import query
 from fabula.session import table
 
@@ -132,13 +132,13 @@ def first_reply(spark: SparkSession, d: str) -> DataFrame:
 @query(
     SEG
     + """, s AS (SELECT doc_id, min(seg_order) AS f FROM seg WHERE speaker = 'assistant' GROUP BY 1)
-SELECT seg.doc_id, seg_order FROM seg JOIN s USING (doc_id) WHERE seg_order >= f AND block_id BETWEEN 1 AND 3"""
+SELECT seg.doc_id, seg_order FROM seg JOIN s USING (doc_id) WHERE seg_order >= f AND block_id BETWEEN 1 AND 3 AND doc_id IN (SELECT doc_id FROM seg WHERE block_id = 1) AND doc_id IN (SELECT doc_id FROM seg WHERE block_id = 3)"""
 )
 def tail_in_range(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-6, PRJ-7: from the first reply on, within a range of turns."""
-    rows = lines(spark, d)
-    first = A.ordered_groups(rows.where("speaker = 'assistant'"), ["doc_id"], "seg_order")
-    return rows.join(first, "doc_id").where((F.col("seg_order") >= F.col("first_order")) & F.col("block_id").between(1, 3)).select("doc_id", "seg_order")
+    tail = projections.from_first(lines(spark, d), ["doc_id"], "seg_order", F.col("speaker") == "assistant")
+    kept = projections.between_keys(lines(spark, d), ["doc_id"], "seg_order", "block_id", 1, 3, strict=False).select("doc_id", "seg_order")
+    return tail.select("doc_id", "seg_order").join(kept, ["doc_id", "seg_order"])
 
 
 @query(
@@ -289,3 +289,35 @@ def measured_or_estimate(spark: SparkSession, d: str) -> DataFrame:
     rows = lines(spark, d).withColumn("estimate", F.floor(F.length("text") * 1000 / 14))
     made = rows.where("seg_order % 3 <> 1").select("doc_id", "seg_order", F.when(F.col("seg_order") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), (F.col("seg_order") + 5000).alias("ms"))
     return joins.measured_or_estimate(rows, made, ["doc_id", "seg_order"], value="ms").select("doc_id", "seg_order", "measured", "ms")
+
+
+@query(TIMED + """SELECT doc_id, position, 'time' AS rule FROM (SELECT doc_id, seg_order::INTEGER AS position, start - CASE WHEN seg_order % 5 = 3 THEN 1000 ELSE 0 END AS start, lag("end") OVER (PARTITION BY doc_id ORDER BY seg_order) AS past FROM timed) WHERE start < past""")
+def timeline_check(spark: SparkSession, d: str) -> DataFrame:
+    """JN-7: a timeline against its segments; some rows start a second early."""
+    rows = timed(spark, d)
+    early = rows.withColumn("start", F.when(F.col("seg_order") % 5 == 3, F.col("start") - 1000).otherwise(F.col("start")))
+    return joins.verify_timeline(lines(spark, d), early, ["text", "speaker"])
+
+
+@query(SEG + """, b AS (SELECT doc_id, block_id, bool_or(contains(text, '?')) AS odd FROM seg GROUP BY 1, 2) SELECT doc_id, seg_order, NOT odd AS annotator_valid, CASE WHEN odd THEN text ELSE replace(text, 'a', 'a' || chr(769)) END AS annotated FROM seg JOIN b USING (doc_id, block_id)""")
+def annotated_segments(spark: SparkSession, d: str) -> DataFrame:
+    """UDF-1: a toy annotator marks every a, and adds a word to turns that ask."""
+    model = lambda: lambda t: t.replace("a", "a\u0301") + (" more" if "?" in t else "")
+    rows = annotators.second_annotator(lines(spark, d), ["doc_id", "block_id"], "seg_order", "text", "text", model)
+    return rows.select("doc_id", "seg_order", "annotator_valid", "annotated")
+
+
+@query(
+    SEG.replace("WITH ex", "WITH RECURSIVE ex")
+    + """, c AS (SELECT doc_id, seg_order, 0 AS piece, CASE WHEN length(t) > 60 THEN NULL ELSE t END AS part, t AS rest, length(t) <= 60 AS done FROM (SELECT doc_id, seg_order, trim(text) AS t FROM seg WHERE trim(text) <> '')
+UNION ALL SELECT doc_id, seg_order, CASE WHEN n.part IS NULL AND length(rest) > 60 THEN piece + 1 ELSE piece + 1 END, CASE WHEN length(rest) > 60 THEN trim(left(rest, cut)) ELSE rest END, CASE WHEN length(rest) > 60 THEN trim(substr(rest, cut + 1)) ELSE '' END, length(rest) <= 60
+ FROM (SELECT *, CASE WHEN instr(reverse(left(rest, 60)), ' ') BETWEEN 1 AND 59 THEN 61 - instr(reverse(left(rest, 60)), ' ') ELSE 60 END AS cut FROM c) n WHERE NOT done),
+p AS (SELECT doc_id, seg_order, piece, part, done AS last, row_number() OVER (PARTITION BY doc_id ORDER BY seg_order, piece) AS r FROM c WHERE part <> ''),
+f AS (SELECT doc_id, r, part, last, length(part) AS held, 0::BIGINT AS chunk FROM p WHERE r = 1
+UNION ALL SELECT p.doc_id, p.r, p.part, p.last, CASE WHEN f.last AND p.last AND f.held + 1 + length(p.part) <= 60 THEN f.held + 1 + length(p.part) ELSE length(p.part) END, f.chunk + CASE WHEN f.last AND p.last AND f.held + 1 + length(p.part) <= 60 THEN 0 ELSE 1 END
+ FROM f JOIN p ON p.doc_id = f.doc_id AND p.r = f.r + 1)
+SELECT doc_id, chunk, string_agg(part, ' ' ORDER BY r) AS chunk_text FROM f GROUP BY 1, 2"""
+)
+def packed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """SEG-2: lines packed up to 60 characters, longer ones cut at blanks."""
+    return segments.pack_texts(lines(spark, d), ["doc_id"], "seg_order", "text", 60)

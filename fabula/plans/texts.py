@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fabula.functions import numbers as N
 from fabula.functions import text as X
-from fabula.operators import aggregates as A
+from fabula.operators import aggregates as A, annotators
 from fabula.operators import audits, folds, joins, lexicon, segments, topk
 from fabula.plans.registry import query
 from fabula.session import table
@@ -128,7 +128,7 @@ def applied_readings(spark: SparkSession, d: str) -> DataFrame:
     """MAP-1: words of the documents that begin a benchmark item, replaced by a reading."""
     pattern = "[A-Za-z]{4,}"
     readings = table(spark, d, "benchmark").select(F.regexp_extract("text", pattern, 0).alias("fragment")).distinct().withColumn("reading", F.concat(F.lit("<"), F.lower("fragment"), F.lit(">")))
-    return A.replace_fragments(docs(spark, d), ["doc_id"], "text", readings, pattern)
+    return annotators.replace_fragments(docs(spark, d), ["doc_id"], "text", readings, pattern)
 
 
 @query(r"""SELECT doc_id, (i - 1)::INTEGER AS idx, t AS token FROM (SELECT doc_id, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}]+') AS ts FROM documents))""")
