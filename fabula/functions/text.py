@@ -44,15 +44,19 @@ def opaque_spans(col: Column, pattern: str = OPAQUE) -> Column:
     return F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
 
 
+# A mask is a private-use sign and a second one; a text's own first sign is written as itself and a third, so none is taken for a mask.
+_MASK, _SPAN, _OWN = "\ue000", "\ue001", "\ue002"
+
+
 def mask_opaque(col: Column, pattern: str = OPAQUE) -> Column:
-    """The text with a private-use mark for each opaque span; ``unmask`` puts the spans back in order."""
-    return F.regexp_replace(col, pattern, "")
+    """The text with a mark for each opaque span; ``unmask`` puts the spans back in order, whatever signs the text holds."""
+    return F.regexp_replace(F.replace(col, F.lit(_MASK), F.lit(_MASK + _OWN)), pattern, _MASK + _SPAN)
 
 
 def unmask(col: Column, spans: Column) -> Column:
     """The masked text's parts with the spans between them."""
-    parts = F.split(col, "")
-    return F.array_join(F.zip_with(parts, spans, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    parts = F.split(col, _MASK + _SPAN)
+    return F.array_join(F.zip_with(parts, spans, lambda p, s: F.concat(F.replace(p, F.lit(_MASK + _OWN), F.lit(_MASK)), F.coalesce(s, F.lit("")))), "")
 
 
 def expand_abbreviations(col: Column, rules: dict[str, str], closed: bool = True) -> Column:
@@ -74,8 +78,11 @@ def widen_years(col: Column) -> Column:
 
 # MTH-8, MTH-10, STR-12 to STR-16
 def join_thousands(col: Column) -> Column:
-    """``2 000`` to ``2000``: a blank between a group of digits and groups of three goes."""
-    return F.regexp_replace(col, r"(?<=[0-9])[   ](?=[0-9]{3}(?:[   ][0-9]{3})*(?![\w]))(?<=(?<![\w])[0-9]{1,3}[   ]|[   ][0-9]{3}[   ])", "")
+    """``2 000`` to ``2000``: the blanks of a number go that is written in groups of three after a first of one to three digits.
+    Each such number is found once, whatever its length."""
+    number = "(?<![\\w])[0-9]{1,3}(?:[\u0020\u00a0\u202f][0-9]{3}(?![\\w]))++"
+    said = F.transform(F.regexp_extract_all(col, F.lit(number), F.lit(0)), lambda n: F.translate(n, "\u0020\u00a0\u202f", ""))
+    return F.array_join(F.zip_with(F.split(col, number), said, lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
 
 
 def phone_groups(col: Column) -> Column:

@@ -18,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder of its own.
+    Only a session on a local master (tests, a laptop) that lacks the setting gets a temporary folder of its own; on a cluster
+    a missing setting is an error, since a driver's local folder is no executor's.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir is not set, and {master} has no folder that its executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)

@@ -17,21 +17,16 @@ from fabula.session import fresh_path
 def incremental(stream: DataFrame, done: str, keys: list[str], signature: str, work: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
     """ST-1: works only on rows whose (keys, signature) the table at ``done`` doesn't have, and appends what it did.
 
-    A batch that is replayed after a failure finds its rows done and does nothing again.
+    A batch that is replayed after a failure finds its rows done and does nothing again. The table is made, empty, before the
+    stream starts.
     """
+    spark = stream.sparkSession
+    work(spark.createDataFrame([], stream.schema)).write.mode("append").parquet(done)
 
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
         ident = [*keys, signature]
-        fresh = df.dropDuplicates(ident)
-        try:
-            known = spark.read.parquet(done).select(*ident)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        if known is not None:
-            fresh = fresh.join(known, ident, "left_anti")
+        known = df.sparkSession.read.parquet(done).select(*ident)
+        fresh = df.dropDuplicates(ident).join(known, ident, "left_anti")
         work(fresh).write.mode("append").parquet(done)
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

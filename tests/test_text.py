@@ -14,6 +14,12 @@ CASES = [
     (X.speech_punctuation, "5–10", "5-10"),
     (X.speech_punctuation, "как-будто", "какбудто"),
     (X.spoken_brackets, "Он вошёл (тихо).", "Он вошёл, скобка открывается, тихо, скобка закрывается."),
+    (X.spoken_brackets, "(Примечание автора.) Дальше.", "скобка открывается, Примечание автора, скобка закрывается. Дальше."),
+    (X.spoken_brackets, "«(шёпотом) Иди»", "«скобка открывается, шёпотом, скобка закрывается, Иди»"),
+    (X.spoken_brackets, "См. [а] и {б}.", "См. скобка открывается, а, скобка закрывается, и, скобка открывается, б, скобка закрывается."),
+    (X.spoken_brackets, "Да (…), нет", "Да …, нет"),
+    (lambda c: X.unmask(X.mask_opaque(c), X.opaque_spans(c)), "\ue000 a@b.cd \ue000\ue001 https://x.y/\ue000 \ue002", "\ue000 a@b.cd \ue000\ue001 https://x.y/\ue000 \ue002"),
+    (X.join_thousands, "1 234 5678 и 100 200 300 400 500", "1234 5678 и 100200300400500"),
     (X.symbol_words, "№ 7, § 3 * “a”", "номер 7, параграф 3 «a»"),
     (X.widen_years, "1813-14 годов", "1813-1814 годов"),
     (X.widen_years, "2024-05", "2024-05"),
