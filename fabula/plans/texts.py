@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.functions import numbers as N
+from fabula.functions import rules as R
 from fabula.functions import text as X
 from fabula.operators import aggregates as A, annotators
 from fabula.operators import audits, folds, joins, lexicon, segments, topk
@@ -107,12 +108,35 @@ def roman_values(spark: SparkSession, d: str) -> DataFrame:
     return n.join(N.roman_table(spark), "n").select("n", "roman")
 
 
-@query()
+def _number_sql() -> str:
+    """Prices and order numbers in words by lists of the rule tables, a row for each group of three digits."""
+    as_list = lambda words: "[" + ", ".join("NULL" if w is None else f"'{w}'" for w in words) + "]"
+    pick = lambda words, i: f"({as_list(words)})[{i} + 1]"
+
+    def group(case: int, feminine: bool) -> str:
+        of = lambda table: [w and w[case] for w in table]
+        units = [None] + [(R.FEMININE_UNITS.get(i, R.UNITS[i]) if feminine else R.UNITS[i])[case] for i in range(1, 10)]
+        return f"concat_ws(' ', {pick(of(R.HUNDREDS), 'g // 100')}, CASE WHEN g % 100 BETWEEN 10 AND 19 THEN {pick(of(R.TEENS), 'g % 10')} ELSE {pick(of(R.TENS), 'g // 10 % 10')} END, CASE WHEN g % 100 NOT BETWEEN 10 AND 19 THEN {pick(units, 'g % 10')} END)"
+
+    kind = "CASE WHEN g % 100 BETWEEN 11 AND 14 THEN 2 WHEN g % 10 = 1 THEN 0 WHEN g % 10 BETWEEN 2 AND 4 THEN 1 ELSE 2 END"
+    column = lambda power, case: f"CASE WHEN g > 0 THEN {group(case, power == 1)}" + (f" || ' ' || {pick(R.SCALES[power][case], kind)}" if power else "") + f" END AS w{power}{case}"
+    table_ = "SELECT range AS g, " + ", ".join(column(p, c) for p in (2, 1, 0) for c in (0, 1)) + " FROM range(1000)"
+    said = lambda case: f"CASE n WHEN 0 THEN '{R.UNITS[0][case]}' ELSE concat_ws(' ', a.w2{case}, b.w1{case}, c.w0{case}) END"
+    ordinals = ", ".join(f"({k}, '{N._with_ending(v, 'ый')}')" for k, v in R.ORDINALS.items())
+    return f"""WITH g AS ({table_}), t(k, said) AS (VALUES {ordinals}),
+o AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS n, o_orderkey % 9999 + 1 AS i FROM orders),
+p AS (SELECT *, CASE WHEN i IN (SELECT k FROM t) THEN i WHEN i % 100 BETWEEN 1 AND 19 THEN i % 100 WHEN i % 10 > 0 THEN i % 10 WHEN i % 100 > 0 THEN i % 100 ELSE i % 1000 END AS tail FROM o)
+SELECT o_orderkey, n, {said(0)} AS words, {said(1)} AS genitive, concat_ws(' ', nullif(regexp_replace(concat_ws(' ', d.w10, e.w00), '^одна тысяча', 'тысяча'), ''), t.said) AS ordinal
+FROM p JOIN t ON t.k = p.tail JOIN g a ON a.g = n // 1000000 JOIN g b ON b.g = n // 1000 % 1000 JOIN g c ON c.g = n % 1000 JOIN g d ON d.g = (i - tail) // 1000 JOIN g e ON e.g = (i - tail) % 1000"""
+
+
+@query(_number_sql())
 def number_words(spark: SparkSession, d: str) -> DataFrame:
     """MTH-1, MTH-2: order keys and prices in words, expanded once and joined back."""
-    orders = table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("n"))
+    orders = table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("n"), (F.col("o_orderkey") % 9999 + 1).alias("i"))
     said = N.cardinal_words(orders, "n").join(N.cardinal_words(orders, "n", 1).withColumnRenamed("words", "genitive"), "n")
-    return orders.join(said, "n").withColumn("ordinal", N.ordinal_word(F.col("o_orderkey") % 9999 + 1))
+    ordinal = N.ordinal_words(orders, "i").select(F.col("n").alias("i"), F.col("words").alias("ordinal"))
+    return orders.join(said, "n").join(ordinal, "i").drop("i")
 
 
 @query(r"""SELECT fragment, count(*) AS n, min(doc_id) AS first_doc, arg_min(context, doc_id) AS context FROM (SELECT doc_id, left(text, 200) AS context, unnest(list_distinct(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ɏ]+(?:[ ''’-]+[A-Za-zÀ-ÖØ-öø-ɏ]+)*'))) AS fragment FROM documents) GROUP BY 1""")
