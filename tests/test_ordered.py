@@ -163,3 +163,58 @@ def test_only_the_click_is_found():
     assert len(found) == 1 and abs(found[0][0] - 1.2) < 0.002 and found[0][1] - found[0][0] <= 0.004
     assert len(click_times(quiet, rate)) == 1
     assert click_times(clip[: rate // 10], rate) == [] and click_times(np.zeros(0), rate) == []
+
+
+def test_windows_and_fragments_by_trying_every_cut():
+    """Size windows against a search over all ends of every kind, and fragments that lose nothing."""
+    import re
+
+    from fabula.operators import segments
+
+    rng = random.Random(4)
+    bits = ["word", "Word ", " ", ". ", "! ", ", ", " — ", "\n", "»", "x" * 30, "« ", "; ", ": ", "…»  ", "(", ") "]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))
+        target, maximum, minimum = rng.choice([(22, 26, 10), (8, 12, 3), (50, 80, 70)])
+        want, at = [], 0
+        while len(text) - at > maximum:
+            end, kind = at + maximum, "error"
+            for name, pattern in segments._ENDS.items():
+                ends = [m.end() - at for m in re.finditer(pattern, text) if 0 < m.end() - at <= maximum]
+                for least in (minimum, min(60, target), 1):
+                    good = [e for e in ends if e >= least]
+                    if good and kind == "error":
+                        end, kind = at + min(good, key=lambda e: (abs(e - target), e)), name
+            want.append((at, end, kind))
+            at = end
+        if at < len(text):
+            want.append((at, len(text), "end"))
+        assert list(segments.windows_of(text, target, maximum, minimum)) == want
+        spans = list(segments.SpeechFragments().eval(text, 40))
+        assert [n for n, _, _ in spans] == list(range(len(spans)))
+        assert "".join("".join(text[a:b].split()) for _, a, b in spans) == "".join(text.split()) and all(text[a:b] == text[a:b].strip() for _, a, b in spans)
+
+
+def test_scanner_takes_any_text():
+    """Ten thousand random texts and very long ones: every token is a piece of the text, in order, and reading never fails."""
+    import time
+
+    from fabula.operators import normalise as M
+
+    rng = random.Random(5)
+    bits = ["5", "12", "2024", "100 200 300", "1234567890123", " ", " ", ".", ",", "/", ":", "-", "–", "мая", " года", " гг.", "IV", "MCMXIVX", "глава ", "Глава I", "кг", "%", "°C", "руб.", "+7", "8 (912) ", "345-67-89", "-я", "-ого", "НАТО", "КТО-ТО", "«", "\n", "и ", "с ", "в ", "Пётр ", "á", "\U0001f600", "₽", "0", "00", "\u00a0", "²", "_"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(10_000)]
+    began = time.time()
+    texts += ["100 200 300 400 500 600 700 " * 20_000, "Глава 1" + ", 1" * 200_000, "АБ" + "-АБ" * 200_000, "1.2.3.4." * 100_000, " " * 500_000 + "5", "8 9 " * 100_000, "5" * 500_000]
+    for text in texts:
+        last = 0
+        seen = set()
+        for start, end, kind in M.scan(text):
+            assert last <= start < end <= len(text)
+            last = end
+            if (text[start:end], kind) not in seen:
+                seen.add((text[start:end], kind))
+                said = M.read(kind, M.Token(text[start:end], "в", True, "года", True, 2025), True)
+                assert said is None or said
+    assert time.time() - began < 240
+    assert M.read("integer", M.Token("100 200 300 400 500 600 700", "", False, "", False, 2025), False) is None
