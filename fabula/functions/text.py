@@ -36,7 +36,8 @@ def drop_footnotes(col: Column) -> Column:
     return F.regexp_replace(col, r"\[[0-9]{1,5}\]", "")
 
 
-OPAQUE = r"https?://[^\s<>]+|www\.[^\s<>]+|[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]+"
+# An address is looked for at the start of a run of its signs (or where the last find ended), so that a long run is tried once.
+OPAQUE = r"https?://[^\s<>]+|www\.[^\s<>]+|(?:(?<![A-Za-z0-9_.+-])|\G)[A-Za-z0-9_.+-]++@[A-Za-z0-9_.-]+\.[A-Za-z]+"
 
 
 def opaque_spans(col: Column, pattern: str = OPAQUE) -> Column:
@@ -126,24 +127,29 @@ def spoken_brackets(col: Column, opened: str = "скобка открывает
     left, right = r"\(\[\{（［｛", r"\)\]\}）］｝"
     either = f"[{left}{right}]"
     bare = F.regexp_replace(col, rf"[{left}]([^\p{{L}}\p{{N}}{left}{right}]*+)[{right}]", "$1")
-    marks, parts = F.regexp_extract_all(bare, F.lit(either), F.lit(0)), F.split(bare, either)
-    shuts = lambda i: F.coalesce(F.get(marks, i).rlike(f"[{right}]"), F.lit(False))
-    stops = lambda i: F.when(shuts(i), F.regexp_extract(F.get(parts, i), r"([.!?…]*)[\s,]*$", 1)).otherwise("")
-
-    def body(i: Column) -> Column:
-        """Part ``i`` without what the bracket behind it takes over, and without blanks at brackets."""
-        own = F.get(parts, i)
-        behind = F.when(F.get(marks, i).isNull(), own).when(shuts(i), F.regexp_replace(own, r"[.!?…]*[\s,]*$", "")).otherwise(F.regexp_replace(own, r"[\s,]+$", ""))
-        return F.when(i > 0, F.ltrim(F.regexp_replace(behind, r"^\s+", ""))).otherwise(behind)
-
-    def said(mark: Column, i: Column) -> Column:
-        a, b = body(i), body(i + 1)
-        to_it = F.when(a == "", F.when(i == 0, "").when(stops(i - 1) != "", " ").otherwise(", ")).when(a.endswith("«"), "").when(~shuts(i) & a.rlike("[.!?…]$"), " ").otherwise(", ")
-        from_it = F.when(b == "", "").when(stops(i) != "", " ").when(b.rlike("^[,.!?…;:»]"), "").otherwise(", ")
-        return F.concat(to_it, F.when(shuts(i), F.lit(closed)).otherwise(F.lit(opened)), stops(i), from_it, b)
-
-    whole = F.concat(body(F.lit(0)), F.array_join(F.transform(marks, said), ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(whole, r"\s++,", ","), r"\s{2,}+", " "))
+    marks, parts, many = F.regexp_extract_all(bare, F.lit(either), F.lit(0)), F.split(bare, either), 1_000_000_000
+    later = lambda c: F.slice(c, 2, many)
+    shifted = lambda c: F.concat(F.array(F.lit(None).cast("string")), c)
+    # each bracket with the parts before and behind it, and the brackets (and the part) next to those
+    beside = F.slice(F.arrays_zip(marks.alias("m"), parts.alias("a"), later(parts).alias("b"), shifted(marks).alias("m0"), shifted(parts).alias("a0"), later(marks).alias("m2")), F.lit(1), F.size(marks))
+    shuts = lambda m: F.coalesce(m.rlike(f"[{right}]"), F.lit(False))
+    open_end = lambda c: F.regexp_replace(c, r"(?<![\s,])[\s,]++$", "")
+    stops = lambda m, a: F.when(shuts(m), F.regexp_extract(open_end(a), "(?<![.!?…])([.!?…]++)$", 1)).otherwise("")
+
+    def body(part: Column, ahead: Column, behind: Column) -> Column:
+        """A part without what the bracket behind it takes over, and without blanks at brackets."""
+        own = F.when(behind.isNull(), part).when(shuts(behind), F.regexp_replace(open_end(part), "(?<![.!?…])[.!?…]++$", "")).otherwise(open_end(part))
+        return F.when(ahead.isNull(), own).otherwise(F.regexp_replace(own, r"^\s+", ""))
+
+    def said(x: Column) -> Column:
+        mark, a, b, stop = x["m"], body(x["a"], x["m0"], x["m"]), body(x["b"], x["m"], x["m2"]), stops(x["m"], x["a"])
+        nothing = F.when(x["m0"].isNull(), "").when(stops(x["m0"], x["a0"]) != "", " ").otherwise(", ")
+        to_it = F.when(a == "", nothing).when(a.endswith("«"), "").when(~shuts(mark) & a.rlike("[.!?…]$"), " ").otherwise(", ")
+        from_it = F.when(b == "", "").when(stop != "", " ").when(b.rlike("^[,.!?…;:»]"), "").otherwise(", ")
+        return F.concat(to_it, F.when(shuts(mark), F.lit(closed)).otherwise(F.lit(opened)), stop, from_it, b)
+
+    whole = F.concat(body(F.get(parts, F.lit(0)), F.lit(None).cast("string"), F.get(marks, F.lit(0))), F.array_join(F.transform(beside, said), ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(whole, r"(?<!\s)\s++,", ","), r"\s{2,}+", " "))
 
 
 def _fold_table(letters: dict[str, str]):
@@ -283,9 +289,9 @@ _CLOSERS = r"[»”\"')\]]*"
 def close_phrase(col: Column) -> Column:
     """A full stop at an open end: commas, colons, dashes and blanks there give way. Text without a letter or digit, or with
     a stop before its closing quotes and brackets, stays."""
-    body = F.rtrim(F.regexp_replace(col, r"\s+$", ""))
+    body = F.rtrim(F.regexp_replace(col, r"(?<!\s)\s++$", ""))
     said = body.rlike(r"[\p{L}\p{N}]") & ~body.rlike(rf"[.!?…]{_CLOSERS}$")
-    return F.when(said, F.concat(F.regexp_replace(body, r"[\s,;:—–-]+$", ""), F.lit("."))).otherwise(col)
+    return F.when(said, F.concat(F.regexp_replace(body, r"(?<![\s,;:—–-])[\s,;:—–-]++$", ""), F.lit("."))).otherwise(col)
 
 
 def spoken_weight(col: Column) -> Column:
