@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -241,6 +242,42 @@ def test_warc_round_trip(spark):
     assert [k for k, _ in warc.LoserTree(runs)] == sorted(sum(runs, []))
 
 
+def test_warc_files_can_be_sought(spark):
+    """Files are bounded by bytes, a record by nothing; every index row finds its record; frequent payloads or not, one answer."""
+    rng = random.Random(7)
+    long = "".join(rng.choices("абвabc <>\r\n", k=400_000))
+    pages = [(i, f"http://h{i % 7}.org/{i % 11}", ["", long, f"page {i % 40} " * (i % 50)][min(i % 5, 2)]) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    first = {}
+    for i, _, h in pages:
+        first.setdefault(h, i)
+    want = sorted((i, None if first[h] == i else first[h]) for i, _, h in pages)
+    for heavy, file_bytes, range_rows in ((1, 1 << 27, 10), (10, 20_000, 1000), (10**6, 1, 1000)):
+        folder = warc.fresh_path(spark, "warc")
+        warc.write_archives(df, folder, file_bytes, heavy)
+        files = spark.read.parquet(f"{folder}/files").collect()
+        assert sum(f.n_records for f in files) == 300 and all(f.n_bytes <= file_bytes or f.n_records == 1 for f in files)
+        rows = warc.merge_index(warc.read_archives(spark, folder), range_rows).collect()
+        assert sorted((r.page_id, r.refers_to) for r in rows) == want
+        order = [(r.surt, r.capture, r.page_id) for r in rows]
+        assert order == sorted(order)
+        for r in rng.sample(rows, 20):
+            headers, block = warc.record_at(r.run, r.place, r.length)
+            html = block.partition(b"\r\n\r\n")[2].decode()
+            assert headers["warc-record-id"] == f"<urn:page:{r.page_id}>" and html == ("" if r.refers_to is not None else pages[r.page_id][2])
+    folder = warc.fresh_path(spark, "warc")
+    warc.write_archives(df.limit(0), folder)
+    assert warc.merge_index(warc.read_archives(spark, folder)).count() == 0
+    whole = warc.gzip_member(b"WARC/1.1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n")
+    assert [x[:2] for x in warc.gzip_members(io.BytesIO(whole * 3))] == [(i * len(whole), len(whole)) for i in range(3)]
+    for broken in (whole[:-5], whole + whole[:9]):
+        with pytest.raises(ValueError):
+            list(warc.gzip_members(io.BytesIO(broken)))
+    for broken in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nx\r\n\r\n", b"HTTP/1.1 200\r\n\r\n", b""):
+        with pytest.raises(ValueError):
+            warc.parse_record(broken)
+
+
 def test_decontamination_is_brute_force(spark, rows, docs, empty):
     items = [(1, rows[0][1]), (2, " ".join(rows[10][1].split()[:20])), (3, "a b c d"), (4, None), (5, " "), (6, "no such words in any of the documents here"), (7, " ".join(rows[61][1].split()[-30:]))]
     split = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", (t or "").lower()) if w]
