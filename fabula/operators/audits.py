@@ -21,7 +21,7 @@ def run_rules(df: DataFrame, keys: list[str], rules: dict[str, str | Column], de
 
 def check_registry(cast: DataFrame, doc="doc_id") -> DataFrame:
     """DQ-1: unique slug ids, known genders, texts that are there, descriptions that differ, a narrator."""
-    rows = run_rules(cast, [doc, "id"], {"slug": ~F.col("id").rlike("^[a-z][a-z0-9_]*$"), "gender": ~F.col("gender").isin("male", "female", "unknown"), "name": F.coalesce(F.trim("name"), F.lit("")) == ""})
+    rows = run_rules(cast, [doc, "id"], {"slug": ~F.col("id").rlike("^[a-z][a-z0-9_]*\\z"), "gender": ~F.col("gender").isin("male", "female", "unknown"), "name": F.coalesce(F.trim("name"), F.lit("")) == ""})
     twice = cast.groupBy(doc, "id").count().where("count > 1").select(doc, "id", F.lit("duplicate").alias("rule"), F.lit(None).cast("string").alias("detail"))
     same = cast.groupBy(doc, "voice_description").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1").select(doc, "id", F.lit("description").alias("rule"), F.lit(None).cast("string").alias("detail"))
     mute = cast.groupBy(doc).agg(F.count_if(F.col("id") == "narrator").alias("n")).where("n = 0").select(doc, F.lit("narrator").alias("id"), F.lit("narrator").alias("rule"), F.lit(None).cast("string").alias("detail"))

@@ -175,7 +175,7 @@ def token_ops(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 #: A sentence ends at a stop with its closers and the blanks after it; not after a single capital (an initial).
-SENTENCE = r"(?s).*?(?:(?<!(?<!\p{L})\p{Lu})[.!?…]+[»”\"')\]]*(?:\s+[—–-]+)?(?:\s+|$)|$)"
+SENTENCE = r"(?s).*?(?:(?<!(?<!\p{L})\p{Lu})[.!?…]+[»”\"')\]]*(?:\s+[—–-]+)?(?:\s+|\z)|\z)"
 
 
 def sentences(df: DataFrame, keys: list[str], text="text", ident: str | None = None) -> DataFrame:

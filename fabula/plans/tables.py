@@ -234,14 +234,16 @@ def progress_counts(spark: SparkSession, d: str) -> DataFrame:
     return S.run_available(spark, S.progress(_events(spark, d), "event_type", "event_id"))
 
 
-@query("""SELECT user_id, event_type, count(DISTINCT event_type) AS times FROM events GROUP BY 1, 2""")
+@query("""SELECT user_id, (count(DISTINCT event_type) + count(DISTINCT event_type) FILTER (WHERE user_id % 5 = 0 AND event_type > 'd'))::BIGINT AS times FROM events GROUP BY 1""")
 def incremental_once(spark: SparkSession, d: str) -> DataFrame:
-    """ST-1: how often a stream that is processed twice has done the work of each key and signature."""
+    """ST-1: how often work was done for each user by a stream that is run three times, the last time with other signatures for
+    some: once for each key and signature, whatever was sent again."""
     done = fresh_path(spark, "done")
     work = lambda df: df.select("user_id", "event_type", F.lit(True).alias("done"))
-    for _ in range(2):
-        S.incremental(_events(spark, d), done, ["user_id"], "event_type", work, fresh_path(spark, "incremental"))
-    return spark.read.parquet(done).groupBy("user_id", "event_type").agg(F.count("*").alias("times"))
+    changed = F.when((F.col("user_id") % 5 == 0) & (F.col("event_type") > "d"), F.concat("event_type", F.lit("+"))).otherwise(F.col("event_type"))
+    for signature in (F.col("event_type"), F.col("event_type"), changed):
+        S.incremental(_events(spark, d).withColumn("event_type", signature), done, ["user_id"], "event_type", work, fresh_path(spark, "incremental"))
+    return spark.read.parquet(done).groupBy("user_id").agg(F.count("*").alias("times"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),

@@ -313,23 +313,37 @@ def lost_identity(spark: SparkSession, d: str) -> DataFrame:
     return A.lost_identity(before, after, "key", ["c_mktsegment", "c_nationkey"])
 
 
-@query("""SELECT doc_id, length(text)::BIGINT AS chars, true AS whole, true AS sized FROM documents WHERE length(text) > 0""")
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE length(text) > 0),
+m AS (SELECT doc_id, 0 AS kind, 'sentence' AS name, regexp_extract_all(text, '(?s).*?[.!?…][»”"'')\]]*\s+') AS found FROM d UNION ALL SELECT doc_id, 1, 'clause', regexp_extract_all(text, '(?s).*?(?:[,;:][»”"'')\]]*\s+|\s+[—–]\s+)') FROM d
+ UNION ALL SELECT doc_id, 2, 'word', regexp_extract_all(text, '(?s).*?\s+') FROM d),
+e AS (SELECT doc_id, kind, name, unnest(found) AS f, unnest(range(len(found))) AS i FROM m),
+spots AS (SELECT doc_id, kind, name, (sum(length(f)) OVER (PARTITION BY doc_id, kind ORDER BY i))::INTEGER AS pos FROM e),
+w AS (SELECT doc_id, length(text)::INTEGER AS n, -1 AS piece, 0 AS char_start, 0 AS char_end, '' AS boundary FROM d
+UNION ALL SELECT doc_id, n, piece + 1, char_end, CASE WHEN char_end + 260 >= n THEN n ELSE coalesce(best.pos, char_end + 260) END, CASE WHEN char_end + 260 >= n THEN 'end' ELSE coalesce(best.name, 'error') END
+ FROM (SELECT w.doc_id, n, piece, char_end, min({'kind': s.kind, 'band': CASE WHEN s.pos >= char_end + 100 THEN 0 WHEN s.pos >= char_end + 60 THEN 1 ELSE 2 END, 'away': abs(s.pos - char_end - 220), 'pos': s.pos, 'name': s.name}) AS best
+  FROM w LEFT JOIN spots s ON s.doc_id = w.doc_id AND s.pos > char_end AND s.pos <= char_end + 260 WHERE char_end < n GROUP BY ALL))
+SELECT doc_id, piece, char_start, char_end, boundary FROM w WHERE piece >= 0""")
 def split_windows(spark: SparkSession, d: str) -> DataFrame:
-    """SEG-1: pieces of whole texts add up to them without gap, and none but an error is over the limit."""
-    pieces = segments.split_window(docs(spark, d).where(F.length("text") > 0))
-    from pyspark.sql import Window as W
+    """SEG-1: the pieces of whole texts, with what each ends at."""
+    return segments.split_window(docs(spark, d).where(F.length("text") > 0)).select("doc_id", "piece", "char_start", "char_end", "boundary")
 
-    w = W.partitionBy("doc_id").orderBy("piece")
-    placed = pieces.withColumn("joined", F.col("char_start") == F.coalesce(F.lag("char_end").over(w), F.lit(0)))
-    return placed.groupBy("doc_id").agg(F.max("char_end").cast("long").alias("chars"), F.every("joined").alias("whole"), (F.max(F.col("char_end") - F.col("char_start")) <= 260).alias("sized"))
 
+# Sentences without look-behind: a mark before each run of stops, moved behind the stop of an initial.
+_ONE, _RUN = r"""'(^|[^\p{L}])(\p{Lu})\x{02}([.!?…])', '\1\2\3', 'g')""", r"""'(^|[^\p{L}])(\p{Lu})\x{02}([.!?…])([.!?…])', '\1\2\3' || chr(2) || '\4', 'g')"""
 
-@query("""SELECT doc_id, length(text)::BIGINT AS chars, text FROM documents WHERE length(text) > 0""")
+
+@query(
+    "WITH d AS (SELECT doc_id, " + "regexp_replace(" * 4 + r"regexp_replace(text, '([.!?…]+)', chr(2) || '\1', 'g'), " + f"{_RUN}, {_RUN}, {_ONE}, {_ONE}"
+    + r""" AS t FROM documents WHERE length(text) > 0),
+f AS (SELECT doc_id, list_filter(regexp_extract_all(t, '(?s).*?(?:\x{02}[.!?…]+[»”"'')\]]*(?:\s+[—–-]+)?(?:\s+|$)|$)'), lambda x: x <> '') AS found FROM d),
+p AS (SELECT doc_id, replace(unnest(found), chr(2), '') AS s, unnest(range(len(found))) AS i FROM f),
+g AS (SELECT *, sum(CASE WHEN i = 0 OR regexp_matches(s, '[\p{L}\p{N}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p),
+j AS (SELECT doc_id, (g - 1)::INTEGER AS sentence, string_agg(s, '' ORDER BY i) AS sentence_text FROM g GROUP BY doc_id, g)
+SELECT doc_id, sentence, sentence_text, (char_end - length(sentence_text))::INTEGER AS char_start, char_end FROM (SELECT *, (sum(length(sentence_text)) OVER (PARTITION BY doc_id ORDER BY sentence))::INTEGER AS char_end FROM j)"""
+)
 def sentence_rows(spark: SparkSession, d: str) -> DataFrame:
-    """SEG-3: sentences put together again are the text."""
-    rows = segments.sentences(docs(spark, d).where(F.length("text") > 0), ["doc_id"])
-    got = rows.groupBy("doc_id").agg(F.max("char_end").cast("long").alias("chars"), F.array_sort(F.collect_list(F.struct("sentence", "sentence_text"))).alias("s"))
-    return got.select("doc_id", "chars", F.array_join(F.transform("s", lambda x: x["sentence_text"]), "").alias("text"))
+    """SEG-3: the sentences of whole texts with their offsets."""
+    return segments.sentences(docs(spark, d).where(F.length("text") > 0), ["doc_id"]).select("doc_id", "sentence", "sentence_text", "char_start", "char_end")
 
 
 @query(r"""SELECT doc_id, regexp_replace(text, '\s', '', 'g') AS kept FROM documents WHERE regexp_matches(text, '\S')""")
@@ -341,8 +355,12 @@ def fragment_cover(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", F.regexp_replace(F.array_join(F.transform("f", lambda x: x["part"]), ""), r"\s", "").alias("kept"))
 
 
-@query("""SELECT doc_id, length(text)::BIGINT AS chars FROM documents WHERE length(text) > 0""")
+@query(r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '— ' ELSE '' END || regexp_replace(text, '([.,]) ', '\1 — ', 'g') AS text FROM documents WHERE length(text) > 0),
+s AS (SELECT doc_id, regexp_matches(text, '^\s*[—–]') AS reply, string_split(regexp_replace(text, '([,.!?…]\s)([—–]\s)', '\1' || chr(2) || '\2', 'g'), chr(2)) AS parts FROM t),
+p AS (SELECT doc_id, reply, unnest(parts) AS span_text, unnest(range(len(parts)))::INTEGER AS span FROM s)
+SELECT doc_id, span, span_text, ("end" - length(span_text))::INTEGER AS start, "end", kind FROM (SELECT doc_id, span, span_text, CASE WHEN reply AND span % 2 = 0 THEN 'dialogue' ELSE 'narrator' END AS kind, (sum(length(span_text)) OVER (PARTITION BY doc_id ORDER BY span))::INTEGER AS "end" FROM p)""")
 def dialogue_cover(spark: SparkSession, d: str) -> DataFrame:
-    """SEG-5: spans cover the whole text."""
-    rows = segments.dialogue_spans(docs(spark, d).where(F.length("text") > 0), ["doc_id"])
-    return rows.groupBy("doc_id").agg(F.sum(F.length("span_text")).alias("chars"))
+    """SEG-5: spans of whole texts with dashes after their stops and commas; those of even documents begin as replies."""
+    dashed = F.concat(F.when(F.col("doc_id") % 2 == 0, "— ").otherwise(""), F.regexp_replace("text", "([.,]) ", "$1 — "))
+    texts = docs(spark, d).where(F.length("text") > 0).select("doc_id", dashed.alias("text"))
+    return segments.dialogue_spans(texts, ["doc_id"]).select("doc_id", "span", "span_text", "start", "end", "kind")

@@ -218,3 +218,17 @@ def test_scanner_takes_any_text():
                 assert said is None or said
     assert time.time() - began < 240
     assert M.read("integer", M.Token("100 200 300 400 500 600 700", "", False, "", False, 2025), False) is None
+
+
+def test_sentences_add_up(spark):
+    """A line feed at a text's end belongs to the last sentence; initials and numbers end none."""
+    from fabula.operators import segments
+
+    texts = ["abc\n", "abc\r\n", "One. Two", "One.\n", "J. R. Smith came. So. \n", "3.14 is it... — and more\n\n", ".", "\n", "A... B", "Hm! ?! «No.» Yes"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in segments.sentences(df, ["doc_id"]).orderBy("doc_id", "sentence").collect():
+        got.setdefault(r.doc_id, []).append(r)
+        assert texts[r.doc_id][r.char_start : r.char_end] == r.sentence_text
+    assert ["".join(r.sentence_text for r in got[i]) for i in range(len(texts))] == texts
+    assert [r.sentence_text for r in got[4]] == ["J. R. Smith came. ", "So. \n"] and [r.sentence_text for r in got[9]] == ["Hm! ?! ", "«No.» ", "Yes"]
