@@ -1,9 +1,11 @@
 """Reversible line dedup: sharded cuckoo filters in front of exact reference counts.
 
-A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased. The exact state is a table of references
-(key, doc_id) with the counts per key. Each shard of the key space keeps a cuckoo filter of the keys that are repeated;
-a document's lines ask the filter first, and only hits are looked up in the shard's exact counts. Documents are inserted
-and deleted by adding and taking away their references, so a deletion gives the state without them.
+A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased. The state is three written tables: references
+(key, doc_id), exact counts per key, and for each shard of the key space the cuckoo filter of its repeated keys. A reference
+asks the stored filter first, and only hits are looked up in the exact counts. Inserting documents adds their new references
+to the counts and the keys that become repeated to the filters; deleting them takes theirs away, recounts the touched keys
+from the references left, and takes keys that are repeated no more out of the filters, so a deletion gives the state without
+them. Only a filter that runs full is built anew, from its shard's exact counts.
 
 Defined cases: a null or empty text is one empty line; rows that repeat a doc_id are one document for the counts and
 lose the same lines; a null doc_id holds no references, so its lines stay.
@@ -11,6 +13,8 @@ lose the same lines; a null doc_id holds no references, so its lines stay.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +27,10 @@ MIN_DOCS = 3
 SALTS = 16
 #: A key with more than 1 / HEAVY of all references is salted; there are fewer than HEAVY such keys, which bounds the broadcast.
 HEAVY = 2000
+#: Repeated keys of a shard, at most, when a state is begun.
+SHARD_KEYS = 1_000_000
+#: Filters of up to this many bytes together go to all tasks, so that only hits are shuffled; larger ones are met shard by shard.
+FILTER_BYTES = 32 << 20
 
 
 class CuckooFilter:
@@ -91,9 +99,19 @@ class CuckooFilter:
                     self.table[bucket, hit[0]] = 0
                     break
 
+    def dumps(self) -> bytes:
+        return self.table.tobytes()
+
+    @classmethod
+    def loads(cls, data: bytes) -> CuckooFilter:
+        made = cls(0)
+        made.table = np.frombuffer(data, np.uint16).reshape(-1, cls.SLOTS).copy()
+        return made
+
     @classmethod
-    def of(cls, keys: np.ndarray) -> CuckooFilter:
-        capacity = len(keys)
+    def of(cls, keys: np.ndarray, room: int = 1) -> CuckooFilter:
+        """A filter of the keys, with room for ``room`` times as many."""
+        capacity = len(keys) * room
         while True:
             made = cls(capacity)
             try:
@@ -133,45 +151,159 @@ def reference_counts(refs: DataFrame) -> DataFrame:
     return refs.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
 
+class LineState(NamedTuple):
+    """What is kept of the documents seen: refs (h1, h2, doc_id), counts (h1, h2, n_docs, max_doc, before), filters (shard, filter)."""
+
+    refs: DataFrame
+    counts: DataFrame
+    filters: DataFrame
+    shards: int
+    min_docs: int
+    min_chars: int
+
+    def repeated(self) -> DataFrame:
+        return self.counts.where(F.col("n_docs") >= self.min_docs).select("h1", "h2", "n_docs", "max_doc")
+
+
+FILTERS = "shard int, filter binary"
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod("h1", F.lit(shards)).cast("int").alias("shard")
+
+
+def _keys(frame: pd.DataFrame) -> np.ndarray:
+    return frame["h1"].to_numpy(np.int64).view(np.uint64)
+
+
+def _built(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"shard": frame["shard"].iloc[:1].to_numpy(), "filter": [CuckooFilter.of(_keys(frame), room=2).dumps()]})
+
+
+def _changed(key: tuple, held: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+    """A shard's stored filter with keys taken out and put in; null if there is none or it runs full."""
+    if not len(steps):
+        return held
+    made = CuckooFilter.loads(held["filter"].iat[0]) if len(held) else None
+    try:
+        if made:
+            made.delete(_keys(steps[~steps["added"]]))
+            made.insert(_keys(steps[steps["added"]]))
+    except OverflowError:
+        made = None
+    return pd.DataFrame({"shard": [key[0]], "filter": [made.dumps() if made else None]})
+
+
+def _with_filters(state: LineState, changes: DataFrame) -> LineState:
+    """The state with its filters brought up to its counts by ``changes`` (h1, added)."""
+    steps = changes.select(_shard(state.shards), "h1", "added")
+    made = materialize(state.filters.groupBy("shard").cogroup(steps.groupBy("shard")).applyInPandas(_changed, FILTERS), "line-filters")
+    full = made.where(F.col("filter").isNull()).select("shard")
+    if full.isEmpty():
+        return state._replace(filters=made)
+    anew = state.repeated().select(_shard(state.shards), "h1").join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_built, FILTERS)
+    return state._replace(filters=materialize(made.where(F.col("filter").isNotNull()).unionByName(anew), "line-filters"))
+
+
+def insert_lines(docs: DataFrame, state: LineState | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineState:
+    """The state with more documents; a document that it holds already changes nothing but for its new lines. Without a
+    state, one is begun with the given limits."""
+    if state is None:
+        refs = materialize(references(docs, min_chars), "line-refs")
+        counts = materialize(reference_counts(refs).withColumn("before", F.lit(0).cast("long")), "line-counts")
+        repeated = counts.where(F.col("n_docs") >= min_docs)
+        shards = max(shuffle_partitions(docs.sparkSession) * 4, -(-repeated.count() // SHARD_KEYS))
+        filters = materialize(repeated.select(_shard(shards), "h1").groupBy("shard").applyInPandas(_built, FILTERS), "line-filters")
+        return LineState(refs, counts, filters, shards, min_docs, min_chars)
+    new = materialize(references(docs, state.min_chars).join(state.refs, ["h1", "h2", "doc_id"], "left_anti"), "line-refs")
+    known = state.counts.withColumn("before", F.col("n_docs"))
+    both = known.unionByName(reference_counts(new).withColumn("before", F.lit(0).cast("long")))
+    counts = both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.sum("before").alias("before"))
+    state = state._replace(refs=state.refs.unionByName(new), counts=materialize(counts, "line-counts"))
+    risen = state.counts.where((F.col("n_docs") >= state.min_docs) & (F.col("before") < state.min_docs))
+    return _with_filters(state, risen.select("h1", F.lit(True).alias("added")))
+
+
+def delete_lines(state: LineState, doc_ids: DataFrame) -> LineState:
+    """The state without the given documents: only keys that they hold are counted again."""
+    touched = materialize(state.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("h1", "h2").distinct(), "line-touched")
+    refs = materialize(delete_documents(state.refs, doc_ids), "line-refs")
+    known = state.counts.withColumn("before", F.col("n_docs"))
+    again = reference_counts(refs.join(touched, ["h1", "h2"], "left_semi"))
+    recounted = known.select("h1", "h2", "before").join(touched, ["h1", "h2"], "left_semi").join(again, ["h1", "h2"], "left")
+    recounted = materialize(recounted.withColumn("n_docs", F.coalesce("n_docs", F.lit(0).cast("long"))), "line-recounted")
+    counts = known.join(touched, ["h1", "h2"], "left_anti").unionByName(recounted.where("n_docs > 0"))
+    state = state._replace(refs=refs, counts=materialize(counts, "line-counts"))
+    fallen = recounted.where((F.col("before") >= state.min_docs) & (F.col("n_docs") < state.min_docs))
+    return _with_filters(state, fallen.select("h1", F.lit(False).alias("added")))
+
+
 def _probe(batches):
-    """Rows come sorted by (shard, salt, is_ref): a shard's repeated keys build its filter, then its references ask it."""
-    shard, keys, state = None, [], None
+    """Rows come sorted by (shard, salt, kind): a shard's stored filter, its exact counts, then the references that ask them."""
+    shard, sieve, keys, counts = None, None, [], None
     for batch in batches:
         if not len(batch):
             continue
-        change = np.flatnonzero(np.diff(batch["shard"].to_numpy()) | np.diff(batch["salt"].to_numpy()) | np.diff(batch["is_ref"].to_numpy())) + 1
+        change = np.flatnonzero(np.diff(batch["shard"].to_numpy()) | np.diff(batch["salt"].to_numpy()) | np.diff(batch["kind"].to_numpy())) + 1
         for a, b in zip([0, *change], [*change, len(batch)], strict=True):
             part = batch.iloc[a:b]
-            here = (part["shard"].iat[0], part["salt"].iat[0])
+            here, kind = (part["shard"].iat[0], part["salt"].iat[0]), part["kind"].iat[0]
             if here != shard:
-                shard, keys, state = here, [], None
-            if not part["is_ref"].iat[0]:
+                shard, sieve, keys, counts = here, None, [], None
+            if kind == 0:
+                sieve = CuckooFilter.loads(part["filter"].iat[0])
+            elif kind == 1:
                 keys.append(part[["h1", "h2", "max_doc"]])
-                continue
-            if state is None:
-                counts = pd.concat(keys) if keys else part[["h1", "h2", "max_doc"]].iloc[:0]
-                state = (CuckooFilter.of(counts["h1"].to_numpy().view(np.uint64)), counts)
-                keys = []
-            hits = part[state[0].contains(part["h1"].to_numpy().view(np.uint64))]
-            exact = hits[["h1", "h2", "doc_id"]].merge(state[1], on=["h1", "h2"])
-            yield exact.loc[exact["doc_id"] != exact["max_doc"], ["doc_id", "h1"]]
-
-
-def dropped_references(refs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+            elif sieve is not None:
+                hits = part[sieve.contains(_keys(part))]
+                if len(hits) and keys:
+                    counts = pd.concat(keys) if counts is None else counts
+                    exact = hits[["h1", "h2", "doc_id"]].merge(counts, on=["h1", "h2"])
+                    yield exact.loc[exact["doc_id"] != exact["max_doc"], ["doc_id", "h1"]]
+
+
+def _sieved(state: LineState, filter_bytes: int) -> DataFrame:
+    """The references that hit the filters, if those fit in every task; else all references."""
+    size = state.filters.agg(F.sum(F.octet_length("filter")), F.count("*")).first()
+    if (size[0] or 0) + 200 * size[1] > filter_bytes:
+        return state.refs
+    stored = state.refs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in state.filters.toLocalIterator()})
+    shards = state.shards
+
+    def hits(batches):
+        sieves = {k: CuckooFilter.loads(v) for k, v in stored.value.items()}
+        for batch in batches:
+            keys, shard = _keys(batch), batch["h1"].to_numpy(np.int64) % shards
+            order = np.argsort(shard, kind="stable")
+            hit = np.zeros(len(batch), bool)
+            for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                if len(own) and shard[own[0]] in sieves:
+                    hit[own] = sieves[shard[own[0]]].contains(keys[own])
+            yield batch[hit]
+
+    return state.refs.mapInPandas(hits, state.refs.schema)
+
+
+def dropped_references(state: LineState, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(doc_id, h1) of the references whose lines go: keys in at least ``min_docs`` documents, all holders but the last."""
-    repeated = reference_counts(refs).where(F.col("n_docs") >= min_docs)
-    repeated = materialize(repeated, "line-counts")
-    floor = refs.count() / HEAVY
+    repeated = state.repeated()
+    floor = state.refs.count() / HEAVY
     heavy = repeated.where(F.col("n_docs") > floor).select("h1", "h2", F.lit(True).alias("heavy"))
-    shards = shuffle_partitions(refs.sparkSession) * 4
-    shard = F.pmod("h1", F.lit(shards)).cast("int").alias("shard")
+    shard, none = _shard(state.shards), F.lit(None).cast("long")
+    kind = lambda n: F.lit(n).alias("kind")
     salts = F.when(F.col("n_docs") > floor, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    known = repeated.select(shard, F.explode(salts).alias("salt"), F.lit(False).alias("is_ref"), "h1", "h2", F.lit(None).cast("long").alias("doc_id"), "max_doc")
+    known = repeated.select(shard, F.explode(salts).alias("salt"), kind(1), "h1", "h2", none.alias("doc_id"), "max_doc", F.lit(None).cast("binary").alias("filter"))
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt")
-    asked = refs.join(F.broadcast(heavy), ["h1", "h2"], "left").select(shard, salt, F.lit(True).alias("is_ref"), "h1", "h2", "doc_id", F.lit(None).cast("long").alias("max_doc"))
+    asked = _sieved(state, filter_bytes).join(F.broadcast(heavy), ["h1", "h2"], "left")
+    asked = asked.select(shard, salt, kind(2), "h1", "h2", "doc_id", none.alias("max_doc"), F.lit(None).cast("binary").alias("filter"))
+    # only shards of heavy keys are asked with a salt
+    salted = heavy.select(shard).distinct().withColumn("salted", F.lit(True))
+    every = F.when(F.col("salted"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    zero = F.lit(0).cast("long")
+    sieves = state.filters.join(F.broadcast(salted), "shard", "left").select("shard", F.explode(every).alias("salt"), kind(0), zero.alias("h1"), zero.alias("h2"), none.alias("doc_id"), none.alias("max_doc"), "filter")
     # nulls would turn whole numbers to floats in pandas
-    both = known.unionByName(asked).na.fill(-1, ["doc_id", "max_doc"])
-    return both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "is_ref").mapInPandas(_probe, "doc_id long, h1 long")
+    rows = sieves.unionByName(known).unionByName(asked).na.fill(-1, ["doc_id", "max_doc"])
+    return rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(_probe, "doc_id long, h1 long")
 
 
 def apply_drops(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -189,8 +321,8 @@ def apply_drops(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Insert all documents, then drop their repeated lines."""
-    refs = materialize(references(docs, min_chars), "line-refs")
-    return apply_drops(docs, dropped_references(refs, min_docs), min_chars)
+    state = insert_lines(docs, min_chars=min_chars, min_docs=min_docs)
+    return apply_drops(docs, dropped_references(state), min_chars)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

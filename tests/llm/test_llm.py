@@ -165,6 +165,31 @@ def test_line_deletion_is_reversible(spark, docs):
     assert multiset(back.collect()) == multiset(refs.collect())
 
 
+def test_line_state_is_incremental(spark, docs):
+    """Inserts and deletions give the state and the drops of the documents left; the filters hold their repeated keys,
+    stored in tasks or met by shard."""
+    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    most, some = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0")
+    state = linededup.insert_lines(most)
+    for step, left in (
+        (lambda s: linededup.insert_lines(some, s), docs),
+        (lambda s: linededup.insert_lines(docs, s), docs),
+        (lambda s: linededup.delete_lines(s, docs.where("doc_id % 5 < 3")), docs.where("doc_id % 5 >= 3")),
+        (lambda s: linededup.delete_lines(s, docs), docs.limit(0)),
+        (lambda s: linededup.insert_lines(most, s), most),
+    ):
+        state, want = step(state), linededup.insert_lines(left)
+        assert multiset(state.refs.collect()) == multiset(want.refs.collect())
+        counts = lambda s: multiset(s.counts.select("h1", "h2", "n_docs", "max_doc").collect())
+        assert counts(state) == counts(want)
+        drops = multiset(linededup.dropped_references(want).collect())
+        assert multiset(linededup.dropped_references(state).collect()) == multiset(linededup.dropped_references(state, 0).collect()) == drops
+        sieves = {r.shard: linededup.CuckooFilter.loads(r.filter) for r in state.filters.collect()}
+        keys = [r.h1 for r in state.repeated().collect()]
+        assert all(sieves[k % state.shards].contains(np.array([k]).view(np.uint64)).all() for k in keys)
+        assert sum(int((f.table > 0).sum()) for f in sieves.values()) == len(keys)
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
