@@ -43,9 +43,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix is read from Parquet, whose files and rows in them are in the order in which it was served."""
-    served = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
-    return tokens.token_output(served, order=("mix_file", "mix_row"))
+    """The mix is read from Parquet, whose partitions by number, files in them and rows in those are in the order in which it
+    was served; names alone are not, since part-100000 sorts before part-99999."""
+    name = F.col("_metadata.file_name")
+    part = F.regexp_extract(name, r"part-(\d+)", 1).cast("int")
+    served = docs.select("doc_id", "text", part.alias("mix_part"), name.alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    return tokens.token_output(served, order=("mix_part", "mix_file", "mix_row"))
 
 
 STAGES = [
