@@ -6,7 +6,8 @@ queued ``max_epochs`` times over, so it runs dry at that multiple of its size an
 The mix is the globally range-sorted stream of finish times, cut at the virtual time at which the total budget is used.
 
 Defined cases: a null text has size 0 and is never taken; a null source is one source, ordered last; repeated rows are
-documents of their own; an empty table gives an empty mix.
+documents of their own; an empty table gives an empty mix. Columns of the names that are added replace those of the documents,
+whose ``mix_range``, ``end_inside``, ``mix_source``, ``base_range`` and ``range_start`` are dropped.
 """
 
 from __future__ import annotations
