@@ -78,9 +78,12 @@ def widen_years(col: Column) -> Column:
 
 
 # MTH-8, MTH-10, STR-12 to STR-16
-def join_thousands(col: Column) -> Column:
+def join_thousands(col: Column, pairs: bool = False) -> Column:
     """``2 000`` to ``2000``: the blanks of a number go that is written in groups of three after a first of one to three digits.
-    Each such number is found once, whatever its length."""
+    Each such number is found once, whatever its length. ``pairs`` joins any digit with the three after a space instead,
+    whatever stands before, each digit in one pair at most."""
+    if pairs:
+        return F.regexp_replace(col, "([0-9]) ([0-9]{3})(?![0-9A-Za-z_])", "$1$2")
     number = "(?<![\\w])[0-9]{1,3}(?:[\u0020\u00a0\u202f][0-9]{3}(?![\\w]))++"
     said = F.transform(F.regexp_extract_all(col, F.lit(number), F.lit(0)), lambda n: F.translate(n, "\u0020\u00a0\u202f", ""))
     return F.array_join(F.zip_with(F.split(col, number), said, lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
