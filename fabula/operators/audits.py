@@ -30,14 +30,17 @@ def check_registry(cast: DataFrame, doc="doc_id") -> DataFrame:
 
 def reporting_faults(value: Column, speaker: Column, verbs: list[str] | None = None, reach: int = 110) -> dict[str, Column]:
     """The guard of reporting clauses, as rules on a span: a clause behind a dash whose first ``reach`` characters have a verb
-    of speech is the narrator's (``insert``), and a narrator's span may not begin with a reply before it (``swallowed``)."""
-    verb = rf"(?iuU)\b(?:{'|'.join(verbs or REPORTING)})\b"
+    of speech is the narrator's (``insert``), and a narrator's span may not begin with a reply before it (``swallowed``): the
+    first clause with a whole verb decides, so a word that ``reach`` cuts into a verb is none there. A span is split once."""
+    verb = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(verbs or REPORTING)})(?![\p{{L}}\p{{N}}_])"
     clauses = F.split(value, r"\s+[—–]\s+")
-    reports = lambda i: F.substring(F.get(clauses, i), 1, reach).rlike(verb)
-    later = F.when(F.size(clauses) > 1, F.sequence(F.lit(1), F.size(clauses) - 1)).otherwise(F.array().cast("array<int>"))
-    reply = F.regexp_replace(F.get(clauses, F.lit(0)), "^[–— ]+", "") != ""
-    swallowed = F.exists(later, lambda i: reports(i) & ((i > 1) | reply) & ~F.exists(F.slice(clauses, F.lit(1), i), lambda c: c.rlike(verb)))
-    return {"insert": F.exists(later, reports) & ~speaker.eqNullSafe("narrator"), "swallowed": speaker.eqNullSafe("narrator") & value.rlike("^[–—]") & swallowed}
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  (an expression worked out once, by name)
+    reports = lambda c: F.substring(c, 1, reach).rlike(verb)
+    reply = lambda cs: F.regexp_replace(F.get(cs, F.lit(0)), "^[–— ]+", "") != ""
+    told = lambda cs, n: (n > 1) & reports(F.get(cs, (n - 1).cast("int"))) & ((n > 2) | reply(cs))
+    swallowed = bound(clauses, lambda cs: bound(F.array_position(F.transform(cs, lambda c: c.rlike(verb)), True), lambda n: told(cs, n)))
+    insert = F.exists(F.slice(clauses, 2, 1_000_000_000), reports)
+    return {"insert": ~speaker.eqNullSafe("narrator") & insert, "swallowed": speaker.eqNullSafe("narrator") & value.rlike("^[–—]") & swallowed}
 
 
 def check_spans(blocks: DataFrame, spans: DataFrame, cast: DataFrame, doc="doc_id", block="block_id", verbs: list[str] | None = None) -> DataFrame:

@@ -33,3 +33,10 @@ def test_thousands_behind_a_longer_number(against_sql):
     texts = ["+1 (826) 555-4081 190.137.223.204", "1 234 567 и 100 200 300 400", "a1 000 b 5 0001 6 000x 7 000_ 8 000é 9 000", "", None]
     got, want = against_sql("thousands_joined", "documents", list(enumerate(texts)), "doc_id long, text string")
     assert got == want and "4081190" in got[0][1]
+
+
+def test_reporting_clause_cut_inside_a_word(against_sql):
+    cut = "x" * 106 + " then"  # its first 110 characters end in "the"
+    texts = [f"a, {cut}, the end", "the a", f"a, {cut}", "hey", "a, bé the c", "b", "a, and", "b, and", None, f"a, {'y' * 110} the, and"]
+    got, want = against_sql("reporting_clauses", "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert got == want == [(0, "swallowed"), (4, "swallowed"), (6, "swallowed"), (7, "insert"), (9, "insert")]
