@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fabula.operators.projections import drop_derived
 
@@ -115,22 +118,25 @@ def outer_quotes(text: str):
         yield signs.at[a], signs.at[b] + 1
 
 
+def fragments_of(text: str, limit: int):
+    """Fragments (start, end) of speech and narrator, long ones also cut at sentences; all but the blanks around them."""
+    signs = Signs(text)
+    edges = [0, *sorted(signs.at[k] for k in signs.turns()), len(text)]
+    new = [at for k, at in enumerate(signs.at) if k and text[at].isupper() and signs.ends_sentence(k)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        inner = [] if b - a <= limit else [at for at in new[bisect_left(new, a + SHORT_FRAGMENT) : bisect_right(new, b - SHORT_FRAGMENT)]]
+        for x, y in zip([a, *inner], [*inner, b], strict=True):
+            part = text[x:y]
+            if part.strip():
+                yield x + len(part) - len(part.lstrip()), x + len(part.rstrip())
+
+
 class SpeechFragments:
-    """SEG-6 as a table function: fragments of speech and narrator, long ones also cut at sentences; all but the blanks
-    around them."""
+    """SEG-6 as a table function: (fragment, char_start, char_end)."""
 
     def eval(self, text: str, limit: int):
-        text, n = text or "", 0
-        signs = Signs(text)
-        edges = [0, *sorted(signs.at[k] for k in signs.turns()), len(text)]
-        new = [at for k, at in enumerate(signs.at) if k and text[at].isupper() and signs.ends_sentence(k)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            inner = [] if b - a <= limit else [at for at in new[bisect_left(new, a + SHORT_FRAGMENT) : bisect_right(new, b - SHORT_FRAGMENT)]]
-            for x, y in zip([a, *inner], [*inner, b], strict=True):
-                part = text[x:y]
-                if part.strip():
-                    yield n, x + len(part) - len(part.lstrip()), x + len(part.rstrip())
-                    n += 1
+        for n, (a, b) in enumerate(fragments_of(text or "", limit)):
+            yield n, a, b
 
 
 class TokenOps:
@@ -169,6 +175,21 @@ def speech_fragments(df: DataFrame, text="text", limit=LONG_FRAGMENT) -> DataFra
     return _lateral(df, f"speech_fragments(d.{text}, {limit})", ["fragment", "char_start", "char_end"])
 
 
+def fragment_texts(df: DataFrame, text="text", limit=LONG_FRAGMENT) -> DataFrame:
+    """SEG-6 with a row a text: ``text`` gives way to ``fragments``, their texts in order. No text is repeated beside its
+    fragments or shuffled."""
+    rest = [c for c in df.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                made = [[t[a:b] for a, b in fragments_of(t, limit)] for t in (x or "" for x in batch.column(text).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(made, pa.list_(pa.string()))], [*rest, "fragments"])
+
+    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in rest], T.StructField("fragments", T.ArrayType(T.StringType()))]))
+
+
 def token_ops(df: DataFrame, a: str, b: str) -> DataFrame:
     """UDTF-2."""
     return _lateral(df, f"token_ops(d.{a}, d.{b})", ["op", "a_start", "a_end", "b_start", "b_end", "fresh_number"])

@@ -46,3 +46,15 @@ def test_tail_of_conversations_that_lack_a_bound(against_sql):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b\nc"), (1, 2, "user", "d"), (2, 1, "user", "a"), (2, 2, "assistant", "b"), (2, 4, "user", "c"), (3, 2, "assistant", "a")]
     got, want = against_sql("tail_in_range", "conversations", rows, "conv_id long, turn int, role string, text string")
     assert got == want == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 0)]
+
+
+def test_fragments_of_one_text_stay_with_it(spark, against_sql):
+    from fabula.operators import segments
+
+    rows = [(1, "— Да, — сказал он. — Иду. «Кто там? Я!» " * 90), (1, 'He said: "Come. Now!" and left.'), (2, " \n\t"), (3, ""), (4, None), (5, "a")]
+    got, want = against_sql("fragment_cover", "documents", rows, "doc_id long, text string")
+    assert got == want and len(got) == 3
+    made = segments.fragment_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    spans = segments.speech_fragments(spark.createDataFrame(rows[:1], "doc_id long, text string")).collect()
+    assert [rows[0][1][r.char_start : r.char_end] for r in spans] == made.first().fragments
