@@ -261,9 +261,14 @@ def foreign_fragments(col: Column, letter: str = "A-Za-zÀ-ÖØ-öø-ɏ") -> Col
 
 
 def fragment_contexts(df: DataFrame, key: str, text: str, size: int = 200) -> DataFrame:
-    """STR-24: (fragment, n, first, context): in how many rows a fragment stands, the first of them by key, and that row's first characters."""
-    each = df.select(F.col(key).alias("k"), F.substring(text, 1, size).alias("c"), F.explode(F.array_distinct(foreign_fragments(F.col(text)))).alias("fragment"))
-    return each.groupBy("fragment").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.min_by("c", "k").alias("context"))
+    """STR-24: (fragment, n, first, context): in how many rows a fragment stands, the first of them by key, and that row's first
+    characters. Fragments travel with their row's key alone (and a hash of its text, where rows share a key); each row's
+    context is joined to them at the end."""
+    row = F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h"))
+    each = df.select(row.alias("row"), F.explode(F.array_distinct(foreign_fragments(F.col(text)))).alias("fragment"))
+    found = each.groupBy("fragment").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    contexts = df.select(row.alias("first"), F.substring(text, 1, size).alias("context")).dropDuplicates(["first"])
+    return found.join(contexts, "first").select("fragment", "n", F.col("first.k").alias("first"), "context")
 
 
 def _word_parts(col: Column) -> Column:

@@ -58,3 +58,14 @@ def test_fragments_of_one_text_stay_with_it(spark, against_sql):
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     spans = segments.speech_fragments(spark.createDataFrame(rows[:1], "doc_id long, text string")).collect()
     assert [rows[0][1][r.char_start : r.char_end] for r in spans] == made.first().fragments
+
+
+def test_contexts_travel_apart_from_fragments(spark, against_sql):
+    from fabula.functions import text as X
+
+    rows = [(2, "uno dos, tres"), (1, "tres! uno dos"), (3, "x" * 300 + ", tres"), (4, None), (5, ""), (1, "zwei")]
+    got, want = against_sql("foreign_fragments", "documents", rows, "doc_id long, text string")
+    assert got == want and (1, "tres! uno dos") in [(r[2], r[3]) for r in got]
+    plan = X.fragment_contexts(spark.createDataFrame(rows, "k long, t string"), "k", "t")._jdf.queryExecution().optimizedPlan().toString()
+    aggregated = next(line for line in plan.splitlines() if "Aggregate [fragment" in line)
+    assert "context" not in aggregated and "substring" not in aggregated
