@@ -108,10 +108,10 @@ def judged_takes(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH g AS (SELECT l_returnflag, CASE l_returnflag WHEN 'A' THEN 6.0 WHEN 'R' THEN -6.0 END AS db FROM (SELECT DISTINCT l_returnflag FROM lineitem))
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity * pow(10, coalesce(db, 0) / 20), 6) AS level FROM lineitem JOIN g USING (l_returnflag)""")
 def applied_gain(spark: SparkSession, d: str) -> DataFrame:
-    """JN-18."""
+    """JN-18: a row of gains a flag, which goes to all tasks; a shuffle by flag would give nearly all lines to three of them."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.col("l_quantity").alias("level"))
     gains = rows.select("l_returnflag").distinct().withColumn("gain_db", F.when(F.col("l_returnflag") == "A", 6.0).when(F.col("l_returnflag") == "R", -6.0))
-    return joins.apply_gain(rows, gains, "l_returnflag", "level").drop("l_returnflag").withColumn("level", F.round("level", 6))
+    return joins.apply_gain(rows, F.broadcast(gains), "l_returnflag", "level").drop("l_returnflag").withColumn("level", F.round("level", 6))
 
 
 @query("""SELECT o_orderkey, rule FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 9 = 0 THEN ['missing'] ELSE list_filter([CASE WHEN abs(o_totalprice / 1000 - 100) > 90 THEN 'level' END, CASE WHEN o_totalprice / 10000 > 15.15 THEN 'peak' END], lambda x: x IS NOT NULL) END) AS rule FROM orders)""")

@@ -69,3 +69,19 @@ def test_contexts_travel_apart_from_fragments(spark, against_sql):
     plan = X.fragment_contexts(spark.createDataFrame(rows, "k long, t string"), "k", "t")._jdf.queryExecution().optimizedPlan().toString()
     aggregated = next(line for line in plan.splitlines() if "Aggregate [fragment" in line)
     assert "context" not in aggregated and "substring" not in aggregated
+
+
+def test_gains_go_to_the_lines(spark):
+    from pyspark.sql import functions as F
+
+    from fabula.plans import tables
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for lines too many for Spark's own choice
+    try:
+        df = tables.applied_gain(spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert df.agg(F.count("*")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
