@@ -80,25 +80,32 @@ def check_edits(df: DataFrame, keys: list[str], original: str, prepared: str, fa
 
     ``families`` (word to number) lets a number word take another form of the same number, in the same case of its first
     letter. A null or blank edited text breaks ``empty``; keys of rows that break nothing are not returned.
+
+    Words are found once; what is equal is not compared sign by sign, and links are looked for where their signs are.
     """
-    o, p = F.coalesce(F.col(original), F.lit("")), F.coalesce(F.col(prepared), F.lit(""))
+    o, p, wo, wp = map(F.col, ("_original", "_prepared", "_words_o", "_words_p"))
     words = lambda c: F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
+    df = df.select(*keys, F.coalesce(F.col(original), F.lit("")).alias("_original"), F.coalesce(F.col(prepared), F.lit("")).alias("_prepared"))
+    df = df.withColumns({"_words_o": words(o), "_words_p": words(p)})
     bare = lambda c: F.replace(c, F.lit(ACUTE), F.lit(""))
     links = lambda c: F.regexp_extract_all(c, F.lit(r"(?:https?://|www\.)[^\s<>]+|[\w.+-]+@[\w.-]+\.[A-Za-z]+"), F.lit(0))
     skeleton = lambda c: F.regexp_replace(F.regexp_replace(c, _WORD, "W"), "[,.!?;:—–…]", "")
-    pairs = F.arrays_zip(words(o).alias("o"), words(p).alias("p"))
+    linked = lambda c: c.contains("@") | c.contains("://") | c.contains("www.")
+    pairs = F.arrays_zip(wo.alias("o"), wp.alias("p"))
     upper = lambda c: F.substring(c, 1, 1).rlike(r"\p{Lu}")
     number = F.create_map(*[F.lit(x) for pair in (families or {"": ""}).items() for x in pair])
     alike = lambda t: F.coalesce((F.element_at(number, F.lower(bare(t["o"]))) == F.element_at(number, F.lower(bare(t["p"])))) & (upper(t["o"]) == upper(t["p"])), F.lit(False))
     same = lambda t: letters(t["o"]).eqNullSafe(letters(t["p"])) | alike(t)
-    stops = lambda c: F.transform(F.split(c, _WORD), lambda g: F.regexp_replace(g, f"[^{_STOPS}]", ""))
+    stops = lambda g: F.regexp_replace(g, f"[^{_STOPS}]", "")
+    gaps = F.arrays_zip(F.split(o, _WORD).alias("o"), F.split(p, _WORD).alias("p"))
     markup = lambda c, sign: F.length(c) - F.length(F.replace(c, F.lit(sign), F.lit("")))
-    counted = (F.size(words(o)) == F.size(words(p))) & (F.trim(p) != "")
+    counted = (F.size(wo) == F.size(wp)) & (F.trim(p) != "")
+    changed = counted & (wo != wp)
     return run_rules(df, keys, {
-        "empty": F.trim(p) == "", "words": (F.size(words(o)) != F.size(words(p))) & (F.trim(p) != ""), "letters": counted & F.exists(pairs, lambda t: ~same(t)), "links": links(o) != links(p),
-        "yo": counted & F.exists(pairs, lambda t: F.lower(t["o"]).contains("ё") & ~F.lower(t["p"]).contains("ё")), "mark": counted & F.exists(pairs, lambda t: t["o"].contains(ACUTE) & (t["o"] != t["p"])),
-        "bad mark": F.exists(words(p), lambda w: w.rlike(f"{ACUTE}.*{ACUTE}") | w.rlike(rf"(?iu)(?<![{RU_VOWELS}]){ACUTE}")), "skeleton": counted & (skeleton(o) != skeleton(p)),
-        "stops": counted & F.exists(F.arrays_zip(stops(o).alias("o"), stops(p).alias("p")), lambda g: ~_kept_in_order(g["o"], g["p"])), "markup": p.rlike("[<>`]") & ((markup(p, "<") != markup(o, "<")) | (markup(p, ">") != markup(o, ">")) | (markup(p, "`") != markup(o, "`"))),
+        "empty": F.trim(p) == "", "words": (F.size(wo) != F.size(wp)) & (F.trim(p) != ""), "letters": changed & F.exists(pairs, lambda t: ~same(t)), "links": (o != p) & (linked(o) | linked(p)) & (links(o) != links(p)),
+        "yo": changed & F.exists(pairs, lambda t: F.lower(t["o"]).contains("ё") & ~F.lower(t["p"]).contains("ё")), "mark": changed & F.exists(pairs, lambda t: t["o"].contains(ACUTE) & (t["o"] != t["p"])),
+        "bad mark": p.contains(ACUTE) & F.exists(wp, lambda w: w.rlike(f"{ACUTE}.*{ACUTE}") | w.rlike(rf"(?iu)(?<![{RU_VOWELS}]){ACUTE}")), "skeleton": counted & (o != p) & (skeleton(o) != skeleton(p)),
+        "stops": counted & (o != p) & F.exists(gaps, lambda g: (g["o"] != g["p"]) & ~_kept_in_order(stops(g["o"]), stops(g["p"]))), "markup": p.rlike("[<>`]") & ((markup(p, "<") != markup(o, "<")) | (markup(p, ">") != markup(o, ">")) | (markup(p, "`") != markup(o, "`"))),
     })
 
 

@@ -85,3 +85,14 @@ def test_gains_go_to_the_lines(spark):
         assert df.agg(F.count("*")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_words_of_edits_are_found_once(spark):
+    from fabula.operators import audits
+
+    df = spark.createDataFrame([(1, "a.b", "a b")], "k long, o string, p string")
+    plan = audits.check_edits(df, ["k"], "o", "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(_original") + plan.count("regexp_extract_all(_prepared") <= 4  # words and links, of each side
+    rows = [(1, "Да. Нет!", "Да, нет"), (2, "a www.x y", "a www.z y"), (3, "a. b", "a, b"), (4, "a. b", "a. b"), (5, "ё", "е"), (6, "a", None), (7, "за́мок", "замо́к"), (8, "a b", "a b b́")]
+    got = sorted((r.k, r.rule) for r in audits.check_edits(spark.createDataFrame(rows, df.schema), ["k"], "o", "p").collect())
+    assert got == [(1, "stops"), (2, "letters"), (2, "links"), (3, "stops"), (5, "yo"), (6, "empty"), (7, "mark"), (8, "bad mark"), (8, "words")]
