@@ -7,15 +7,19 @@ import posixpath
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import TYPE_CHECKING
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:  # workers that need no pandas don't load it
+    import pandas as pd
+
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "dt", "dd"}
 _CLOSE_P = LEAVES | {"div", "ul", "ol", "dl", "table", "section", "article", "hr", "pre", "form"}
 _SKIP = {"script", "style", "head", "title", "template"}
@@ -94,27 +98,39 @@ def shown_text(html: str | None) -> str:
     return "".join(parser.shown)
 
 
+#: Pages that a task holds as Python objects at a time.
+PAGES_AT_ONCE = 32
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that what a task holds of them doesn't grow with a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+            yield batch.slice(at, PAGES_AT_ONCE)
+
+
 def html_blocks(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """SRC-2: (key, block_order, tag, element_id, text), a page at a time in Arrow batches."""
+    """SRC-2: (key, block_order, tag, element_id, text), a few pages at a time out of Arrow batches."""
     kind = pages.schema[key].dataType
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, i, tag, eid, text) for k, h in zip(pdf[key], pdf[html], strict=True) for i, (tag, eid, text) in enumerate(blocks_of(h)[0])]
-            yield pd.DataFrame(rows, columns=[key, "block_order", "tag", "element_id", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            rows = [(n, i, *block) for n, h in enumerate(batch.column(html).to_pylist()) for i, block in enumerate(blocks_of(h)[0])]
+            n, i, *block = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(n, pa.int32())), pa.array(i, pa.int32()), *[pa.array(c, pa.string()) for c in block]], [key, "block_order", "tag", "element_id", "text"])
 
     schema = T.StructType([T.StructField(key, kind), T.StructField("block_order", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("element_id", T.StringType()), T.StructField("text", T.StringType())])
-    return pages.select(key, html).mapInPandas(run, schema)
+    return pages.select(key, html).mapInArrow(run, schema)
 
 
 def visible_text(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """The text that SRC-4 holds the blocks against."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "visible": [shown_text(h) for h in pdf[html]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([shown_text(h) for h in batch.column(html).to_pylist()], pa.string())], [key, "visible"])
 
-    return pages.select(key, html).mapInPandas(run, T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField("visible", T.StringType())]))
+    return pages.select(key, html).mapInArrow(run, T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField("visible", T.StringType())]))
 
 
 XHTML = "application/xhtml+xml"
@@ -139,6 +155,8 @@ def epub_blocks(files: DataFrame) -> DataFrame:
     """SRC-1: blocks of packages read with Spark's ``binaryFile`` source, one package at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
                 rows, n = [], 0

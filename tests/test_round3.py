@@ -96,3 +96,16 @@ def test_words_of_edits_are_found_once(spark):
     rows = [(1, "Да. Нет!", "Да, нет"), (2, "a www.x y", "a www.z y"), (3, "a. b", "a, b"), (4, "a. b", "a. b"), (5, "ё", "е"), (6, "a", None), (7, "за́мок", "замо́к"), (8, "a b", "a b b́")]
     got = sorted((r.k, r.rule) for r in audits.check_edits(spark.createDataFrame(rows, df.schema), ["k"], "o", "p").collect())
     assert got == [(1, "stops"), (2, "letters"), (2, "links"), (3, "stops"), (5, "yo"), (6, "empty"), (7, "mark"), (8, "bad mark"), (8, "words")]
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark):
+    from fabula.sources import blocks as B
+
+    n = 3 * B.PAGES_AT_ONCE + 1
+    rows = [(i, None if i % 7 == 0 else "<body>x</body>" if i % 7 == 1 else f"<p id='a'>one {i}</p><ul><li>two</ul>") for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+    want = [(i, j, *b) for i, h in rows for j, b in enumerate(B.blocks_of(h)[0])]
+    assert sorted(map(tuple, B.html_blocks(pages).collect())) == want
+    assert dict(map(tuple, B.visible_text(pages).collect())) == {i: B.shown_text(h) for i, h in rows}
+    for made in (B.html_blocks(pages), B.visible_text(pages)):
+        assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
