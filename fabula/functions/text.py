@@ -51,7 +51,12 @@ _MASK, _SPAN, _OWN = "\ue000", "\ue001", "\ue002"
 
 def mask_opaque(col: Column, pattern: str = OPAQUE) -> Column:
     """The text with a mark for each opaque span; ``unmask`` puts the spans back in order, whatever signs the text holds."""
-    return F.regexp_replace(F.replace(col, F.lit(_MASK), F.lit(_MASK + _OWN)), pattern, _MASK + _SPAN)
+    return F.regexp_replace(own_masks(col), pattern, _MASK + _SPAN)
+
+
+def own_masks(col: Column) -> Column:
+    """A text's own first signs of a mask, written so that none is taken for a mask."""
+    return F.replace(col, F.lit(_MASK), F.lit(_MASK + _OWN))
 
 
 def unmask(col: Column, spans: Column) -> Column:
@@ -61,9 +66,12 @@ def unmask(col: Column, spans: Column) -> Column:
 
 
 def expand_abbreviations(col: Column, rules: dict[str, str], closed: bool = True) -> Column:
-    """Whole words of a rule table, in any case; ``closed`` also asks for a word's end."""
+    """Whole words of a rule table, in any case; ``closed`` also asks for a word's end. A text is looked through once for any of
+    them, and rule by rule only if it has one."""
     end = r"(?![\w])" if closed else ""
-    return reduce(lambda c, p: F.regexp_replace(c, rf"(?iuU)(?<![\w]){_quoted(p[0])}{end}", p[1]), rules.items(), col)
+    each = lambda text: reduce(lambda c, p: F.regexp_replace(c, rf"(?iuU)(?<![\w]){_quoted(p[0])}{end}", p[1]), rules.items(), text)
+    some = rf"(?iu)(?:{'|'.join(map(_quoted, rules))})"
+    return F.get(F.transform(F.array(col), lambda t: F.when(t.rlike(some), each(t)).otherwise(t)), F.lit(0))
 
 
 def fix_spacing(col: Column, letters: str = RU) -> Column:

@@ -109,3 +109,14 @@ def test_pages_are_parsed_a_few_at_a_time(spark):
     assert dict(map(tuple, B.visible_text(pages).collect())) == {i: B.shown_text(h) for i, h in rows}
     for made in (B.html_blocks(pages), B.visible_text(pages)):
         assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_atoms_are_cut_where_a_rule_can_begin(monkeypatch):
+    from fabula.operators import normalise as NM
+
+    made = []
+    own = NM.Atoms._more
+    monkeypatch.setattr(NM.Atoms, "_more", lambda self: (made.append(self.end), own(self))[1])
+    assert list(NM.scan("lorem ipsum dolor " * 5000 + "12 км, XIV век")) == [(90000, 90005, "measure"), (90007, 90010, "roman")]
+    assert len(made) < 100
+    assert list(NM.scan("text II\n \t III.\nIV x")) == [(5, 7, "roman"), (8, 15, "heading"), (16, 18, "roman")]
