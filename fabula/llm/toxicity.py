@@ -11,8 +11,10 @@ and over every run of ``RUNS`` words (an insult is a few words of a long text),
 logistic curve over these, fitted on at most ``CURVE_ROWS`` labelled rows that the counts leave out (a fifth by a hash of
 doc_id), gives the score from 0 to 1.
 
-The table of logarithms goes to all tasks if it has at most ``SHARED_KEYS`` rows; beyond that the texts' words are joined
-to it instead, with the same scores.
+The table of logarithms goes to all tasks if it has at most ``SHARED_KEYS`` rows; beyond that tasks write it by ranges of keys
+into files of the shared folder, in which workers look the words of a piece of texts up, with the same scores. The files are
+mapped into memory, not read, so that an executor's workers share their pages and hold no table of their own; of a store
+that cannot be mapped each worker keeps a copy on its disk. Neither texts nor words are shuffled.
 
 Defined cases: a null text counts as empty; an empty text scores what a text of no evidence scores; A to Z count as lower
 case; words are ``[^\\x20\\x09-\\x0D]+`` without ASCII punctuation at their ends; repeated labels of a document are
@@ -23,12 +25,18 @@ stand, and scored alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm.common import documents, id_fold, materialize, mix64, new_name, pieces, release, span_hashes, table, utf8
+from fabula.llm.common import documents, fresh_path, id_fold, materialize, mix64, pieces, release, span_hashes, table, utf8
 
 DISCOUNT = 0.75
 RUNS = (1, 3, 10)
@@ -38,6 +46,8 @@ THRESHOLD = 0.3
 RIDGE = 1e-3
 #: Rows of the table of logarithms (20 bytes each) that every worker may hold.
 SHARED_KEYS = 8_000_000
+#: Rows of one file of a larger table.
+FILE_KEYS = 2_000_000
 #: Labelled rows (16 bytes each) that may be sent to all tasks to find their texts.
 SHARED_LABELS = 4_000_000
 PIECE = 1_000_000
@@ -129,7 +139,7 @@ class KneserNey:
     """Log ratios of the two classes: table ``rows`` (kind 0 word: a, b for the word and for what follows it; kind 1 pair: a)."""
 
     def __init__(self, rows: DataFrame | None, unknown: float = 0.0):
-        self.rows, self.unknown = rows, unknown
+        self.rows, self.unknown, self.files = rows, unknown, None
 
 
 def fit_counts(texts: DataFrame) -> KneserNey | None:
@@ -169,40 +179,98 @@ def fit_counts(texts: DataFrame) -> KneserNey | None:
     return KneserNey(materialize(words.unionByName(expressions), "toxic-model"), unknown)
 
 
+class Table:
+    """Keys and the values of each, in parts (keys in order, values) that follow one another by their keys."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], n_values: int):
+        self.parts, self.n_values = parts, n_values
+        self.firsts = np.array([keys[0] for keys, _ in parts], np.int64)
+
+    def find(self, asked: np.ndarray):
+        """Whether each key is in the table, and its values (any if it is not). Keys are looked up once and in order, so memory is read in order too."""
+        distinct, place = np.unique(asked, return_inverse=True)
+        known, got = np.zeros(len(distinct), bool), np.zeros((self.n_values, len(distinct)), np.float32)
+        cuts = np.searchsorted(distinct, self.firsts).tolist() + [len(distinct)]
+        for (keys, values), a, b in zip(self.parts, cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                at = np.minimum(np.searchsorted(keys, distinct[a:b]), len(keys) - 1)
+                known[a:b], got[:, a:b] = keys[at] == distinct[a:b], values[:, at]
+        return known[place], got[:, place]
+
+
+def in_memory(key: np.ndarray, *values: np.ndarray) -> Table:
+    order = np.argsort(key)
+    return Table([(key[order], np.stack([x[order].astype(np.float32) for x in values]))] if len(key) else [], len(values))
+
+
+def _mapped(path: str) -> np.ndarray:
+    fs, place = pafs.FileSystem.from_uri(path)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.memmap(place, np.uint8, "r")
+    with tempfile.TemporaryFile() as own, fs.open_input_stream(place, compression=None) as source:  # it has no name, and goes with its map
+        shutil.copyfileobj(source, own)
+        own.flush()
+        return np.memmap(own, np.uint8, "r")
+
+
+@lru_cache(maxsize=2)
+def in_files(files: tuple, n_values: int) -> Table:
+    """The table of some files (first key, rows, path), each the keys and then the values of its rows. A worker keeps those of words and of pairs open from task to task."""
+    raw = [(_mapped(path), n) for _, n, path in files]
+    return Table([(x[: 8 * n].view(np.int64), x[8 * n :].view(np.float32).reshape(n_values, n)) for x, n in raw], n_values)
+
+
+def write_files(rows: DataFrame, *names: str) -> tuple:
+    """(first key, rows, path) of the files of a table (key and the values named) in the shared folder, in order."""
+    folder = fresh_path(rows.sparkSession, "toxic-files")
+
+    def written(batches):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        held, size = [], 0
+
+        def flush():
+            key, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+            path = f"part-{uuid.uuid4().hex}"
+            with fs.open_output_stream(f"{base}/{path}", compression=None) as out:
+                for x in (key, *values):
+                    out.write(x.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((key[0], pa.int64()), (len(key), pa.int64()), (f"{folder}/{path}", pa.string()))], ["first", "n", "path"])
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, FILE_KEYS):
+                own = batch.slice(a, FILE_KEYS)
+                if size + own.num_rows > FILE_KEYS and held:
+                    yield flush()
+                    held, size = [], 0
+                held.append([own.column("key").to_numpy(), *(own.column(c).to_numpy().astype(np.float32) for c in names)])
+                size += own.num_rows
+        if held:
+            yield flush()
+
+    parts = max(1, -(-rows.count() // FILE_KEYS))
+    ordered = rows.select("key", *[F.col(c).cast("float").alias(c) for c in names]).repartitionByRange(parts, "key").sortWithinPartitions("key")
+    return tuple(sorted((r.first, r.n, r.path) for r in ordered.mapInArrow(written, "first long, n long, path string").collect()))  # a row a file
+
+
 class Evidence:
-    """The table of log ratios as sorted arrays: values of each word by the word model and by the pair model."""
-
-    def __init__(self, kind: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, unknown: float):
-        order = np.lexsort((key, kind))
-        words = int((kind == 0).sum())
-        self.unknown, self.words, self.pairs = unknown, key[order[:words]].view(np.uint64), key[order[words:]].view(np.uint64)
-        self.words.sort(), self.pairs.sort()
-        at = np.searchsorted(self.words, key[order[:words]].view(np.uint64))
-        self.a, self.v = np.zeros((2, words), np.float32), np.zeros(len(self.pairs), np.float32)
-        self.a[0, at], self.a[1, at] = a[order[:words]], b[order[:words]]
-        self.v[np.searchsorted(self.pairs, key[order[words:]].view(np.uint64))] = a[order[words:]]
-
-    @staticmethod
-    def _found(keys: np.ndarray, asked: np.ndarray):
-        if not len(keys):
-            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return at, keys[at] == asked
+    """The table of log ratios: values of each word by the word model and by the pair model."""
+
+    def __init__(self, words: Table, pairs: Table, unknown: float):
+        self.words, self.pairs, self.unknown = words, pairs, unknown
 
     def values(self, words: np.ndarray, row: np.ndarray):
         before = contexts(words, row)
-        at, known = self._found(self.words, words)
-        by_word = np.where(known, self.a[0, at] if len(self.words) else 0, self.unknown)
+        known, (alone, next_to) = self.words.find(words.view(np.int64))
+        by_word = np.where(known, alone, self.unknown)
         after = np.zeros(len(words))
         if len(words):
-            follow = np.where(known, self.a[1, at] if len(self.words) else 0, 0.0)
+            follow = np.where(known, next_to, 0.0)
             after[1:] = follow[:-1]
-            at, known = self._found(self.words, before[:1])
-            start, known = self._found(self.words, np.array([START]))
-            after[before == START] = self.a[1, start[0]] if known[0] else 0.0
-        at, known = self._found(self.pairs, pair_keys(before, words))
-        by_pair = np.where(known, self.v[at] if len(self.pairs) else 0, by_word + after)
-        return by_word, by_pair
+            known, (_, start) = self.words.find(np.array([START]).view(np.int64))
+            after[before == START] = start[0] if known[0] else 0.0
+        known, (of_pair,) = self.pairs.find(pair_keys(before, words).view(np.int64))
+        return by_word, np.where(known, of_pair, by_word + after)
 
 
 FEATURES = 2 * (1 + len(RUNS)) + 1
@@ -235,16 +303,20 @@ def _as_arrays(ids: pa.Array, values: np.ndarray) -> pa.RecordBatch:
 
 def document_evidence(docs: DataFrame, model: KneserNey) -> DataFrame:
     """(doc_id, stats) of every whole text."""
-    spark, rows = docs.sparkSession, model.rows
+    spark, rows, unknown = docs.sparkSession, model.rows, model.unknown
     if rows.limit(SHARED_KEYS + 1).count() > SHARED_KEYS:
-        return _joined_evidence(docs, model)
-    slim = rows.select(F.col("kind").cast("tinyint").alias("kind"), "key", F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b"))
-    got = pa.concat_tables([slim.where(F.pmod("key", F.lit(SLICES)) == i).toArrow() for i in range(SLICES)])  # SHARED_KEYS rows at most
-    shared = spark.sparkContext.broadcast(Evidence(*(got.column(c).to_numpy() for c in ("kind", "key", "a", "b")), model.unknown))
-    del got
+        files = model.files = model.files or (write_files(rows.where("kind = 0"), "a", "b"), write_files(rows.where("kind = 1"), "a"))
+        made_of = lambda: Evidence(in_files(files[0], 2), in_files(files[1], 1), unknown)
+    else:
+        slim = rows.select(F.col("kind").cast("tinyint").alias("kind"), "key", F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b"))
+        got = pa.concat_tables([slim.where(F.pmod("key", F.lit(SLICES)) == i).toArrow() for i in range(SLICES)])  # SHARED_KEYS rows at most
+        kind, *columns = (got.column(c).to_numpy() for c in ("kind", "key", "a", "b"))
+        shared = spark.sparkContext.broadcast(Evidence(in_memory(*(x[kind == 0] for x in columns)), in_memory(*(x[kind == 1] for x in columns[:2])), unknown))
+        made_of = lambda: shared.value
+        del got, kind, columns
 
     def scored(batches):
-        evidence = shared.value
+        evidence = made_of()
         for batch in batches:
             raw, at = utf8(batch.column("text"))
             made = []
@@ -256,38 +328,6 @@ def document_evidence(docs: DataFrame, model: KneserNey) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, stats array<double>")
 
 
-def _joined_evidence(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """The same by a join: a row for each word of a text, its ratios joined, put in order again by document."""
-    key = new_name("row", docs)
-    numbered = materialize(docs.select("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "toxic-rows")
-
-    def asked(batches):
-        for batch in batches:
-            raw, at = utf8(batch.column("text"))
-            ids = batch.column(key).to_numpy()
-            for a, b in pieces(at, PIECE):
-                words, row = toxic_words(raw[at[a] : at[b]], at[a : b + 1] - at[a])
-                before = contexts(words, row)
-                made = [ids[a:b][row], np.arange(len(words)), *(x.view(np.int64) for x in (words, before, pair_keys(before, words)))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["row", "place", "w", "h", "hw"])
-
-    tokens = numbered.select(key, "text").mapInArrow(asked, "row long, place long, w long, h long, hw long")
-    words, pairs = model.rows.where("kind = 0"), model.rows.where("kind = 1")
-    tokens = tokens.join(words.select(F.col("key").alias("w"), F.col("a").alias("u")), "w", "left").join(words.select(F.col("key").alias("h"), F.col("b").alias("g")), "h", "left")
-    tokens = tokens.join(pairs.select(F.col("key").alias("hw"), F.col("a").alias("v")), "hw", "left")
-    by_word = F.coalesce("u", F.lit(model.unknown))
-    listed = tokens.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", by_word.alias("u"), F.coalesce("v", by_word + F.coalesce("g", F.lit(0.0))).alias("v")))).alias("t"))
-    whole = numbered.select(F.col(key).alias("row"), "doc_id").join(listed, "row", "left").select("doc_id", F.coalesce("t.u", F.array().cast("array<double>")).alias("u"), F.coalesce("t.v", F.array().cast("array<double>")).alias("v"))
-
-    def gathered(batches):
-        for batch in batches:
-            n = np.asarray(batch.column("u").value_lengths())
-            u, v = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float) for c in ("u", "v"))
-            yield _as_arrays(batch.column("doc_id"), features(u, v, np.repeat(np.arange(len(n)), n), len(n)))
-
-    return whole.mapInArrow(gathered, "doc_id long, stats array<double>")
-
-
 class Curve:
     """A logistic curve over standardised statistics, fitted by Newton steps with a ridge."""
 
