@@ -47,7 +47,7 @@ RIDGE = 1e-3
 #: Rows of the table of logarithms (20 bytes each) that every worker may hold.
 SHARED_KEYS = 8_000_000
 #: Rows of one file of a larger table.
-FILE_KEYS = 2_000_000
+FILE_KEYS = 1_000_000
 #: Labelled rows (16 bytes each) that may be sent to all tasks to find their texts.
 SHARED_LABELS = 4_000_000
 PIECE = 1_000_000
